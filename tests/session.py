@@ -1,0 +1,24 @@
+"""A local session as the tests and tools use it."""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import SparkSession
+
+
+def local_session(name: str, cores: str | None = None) -> SparkSession:
+    cores = cores or os.environ.get("BENCH_CPUS", "8")
+    spark = (
+        SparkSession.builder.master(f"local[{cores}]")
+        .appName(name)
+        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.driver.memory", "12g")
+        .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .getOrCreate()
+    )
+    spark.sparkContext.setLogLevel("ERROR")
+    return spark

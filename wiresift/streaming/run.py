@@ -12,10 +12,10 @@ from wiresift.scratch import scratch_dir
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-# A packet far past all others; its only purpose is to move the watermark on.
+# A SYN far past all others; its only purpose is to move the watermark on. Its
+# own window never closes, so it is in no result.
 CLOSING_MS = 7258118400000  # 2200-01-01
-CLOSING_SOURCE = 0
-CLOSING = (-1, CLOSING_MS, CLOSING_SOURCE, 0, 0, 0, "Tcp", 3, b"")
+CLOSING = (-1, CLOSING_MS, 0, 0, 0, 0, "Tcp", 1, b"")
 
 COUNTERS = T.StructType([
     T.StructField("batch_id", T.LongType()),
