@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # TCP flag bits.
 SYN, ACK, FIN, RST = 1, 2, 4, 8
@@ -51,46 +51,55 @@ def _bytes_of(value: Column | str, width: int) -> list[Column]:
             for i in reversed(range(width))]
 
 
-def _xor_multiply(octets: list[Column]) -> Column:
-    """Fold bytes into a 64-bit hash held as struct(hi, lo) of 32-bit halves.
+def _start_hash(df: DataFrame) -> DataFrame:
+    return df.withColumns({
+        "_high": F.lit(HASH_START >> 32).cast("long"),
+        "_low": F.lit(HASH_START & _MASK32).cast("long"),
+    })
+
+
+def _hash_bytes(df: DataFrame, octets: list[Column]) -> DataFrame:
+    """Take some bytes into the 64-bit xor-multiply hash held in _high and _low.
 
     Multiplying by 2^40 + 435 modulo 2^64 splits into a product by 435 and a
     shift, and with 32-bit halves no step leaves the signed 64-bit range, so
-    it also runs under ANSI arithmetic.
+    it also runs under ANSI arithmetic. One projection per byte keeps every
+    step compiled; a lambda over an array of bytes is interpreted, and one
+    expression for all bytes grows too large to compile well.
     """
-    start = F.struct(
-        F.lit(HASH_START >> 32).cast("long").alias("hi"),
-        F.lit(HASH_START & _MASK32).cast("long").alias("lo"),
-    )
     mask = F.lit(_MASK32).cast("long")
+    for octet in octets:
+        df = df.withColumn("_mixed", F.col("_low").bitwiseXOR(octet))
+        product = F.col("_mixed") * HASH_PRIME_LOW
+        high = F.col("_high") * HASH_PRIME_LOW + F.shiftright(product, 32) + F.shiftleft("_mixed", 8)
+        df = df.withColumns({"_high": high.bitwiseAND(mask), "_low": product.bitwiseAND(mask)})
+    return df.drop("_mixed")
 
-    def step(acc: Column, octet: Column) -> Column:
-        low = acc["lo"].bitwiseXOR(octet)
-        product = low * HASH_PRIME_LOW
-        high = acc["hi"] * HASH_PRIME_LOW + F.shiftright(product, 32) + F.shiftleft(low, 8)
-        return F.struct(high.bitwiseAND(mask).alias("hi"), product.bitwiseAND(mask).alias("lo"))
 
-    return F.reduce(F.array(*octets), start, step)
+def _hex64() -> Column:
+    return F.lower(F.concat(*[F.lpad(F.hex(half), 8, "0") for half in ("_high", "_low")]))
 
 
-def _hex64(limbs: Column) -> Column:
-    return F.lower(F.concat(*[F.lpad(F.hex(limbs[half]), 8, "0") for half in ("hi", "lo")]))
+def with_flow_key(df: DataFrame, name: str = "flow_key", shard_key: str | None = None) -> DataFrame:
+    """Add the connection hash, over both addresses and both ports, as 16 hex digits.
 
-
-def flow_key(src_ip="src_ip", dst_ip="dst_ip", src_port="src_port", dst_port="dst_port") -> Column:
-    """Connection hash over both addresses and both ports, as 16 hex digits."""
-    octets = (_bytes_of(src_ip, 4) + _bytes_of(dst_ip, 4)
-              + _bytes_of(src_port, 2) + _bytes_of(dst_port, 2))
-    return _hex64(_xor_multiply(octets))
+    The protocol is not part of it. The source comes first, so the source hash
+    is an intermediate state of it and can be had as column ``shard_key``.
+    """
+    df = _hash_bytes(_start_hash(df), _bytes_of("src_ip", 4))
+    if shard_key:
+        df = df.withColumn(shard_key, _hex64())
+    rest = _bytes_of("dst_ip", 4) + _bytes_of("src_port", 2) + _bytes_of("dst_port", 2)
+    return _hash_bytes(df, rest).withColumn(name, _hex64()).drop("_high", "_low")
 
 
-def shard_key(src_ip="src_ip") -> Column:
-    """Source hash as 16 hex digits."""
-    return _hex64(_xor_multiply(_bytes_of(src_ip, 4)))
+def with_shard_key(df: DataFrame, name: str = "shard_key") -> DataFrame:
+    """Add the source hash as 16 hex digits."""
+    return _hash_bytes(_start_hash(df), _bytes_of("src_ip", 4)).withColumn(name, _hex64()).drop("_high", "_low")
 
 
-def shard_of(shards: int, src_ip="src_ip") -> Column:
-    """Source hash modulo ``shards``, taken over the two halves."""
-    limbs = _xor_multiply(_bytes_of(src_ip, 4))
-    return F.pmod(F.pmod(limbs["hi"], F.lit(shards)) * ((1 << 32) % shards) + limbs["lo"],
-                  F.lit(shards)).cast("int")
+def with_shard(df: DataFrame, shards: int, name: str = "shard") -> DataFrame:
+    """Add the source hash modulo ``shards``, taken over the two halves."""
+    n = F.lit(shards)
+    shard = F.pmod(F.pmod("_high", n) * ((1 << 32) % shards) + F.col("_low"), n)
+    return _hash_bytes(_start_hash(df), _bytes_of("src_ip", 4)).withColumn(name, shard.cast("int")).drop("_high", "_low")

@@ -31,6 +31,8 @@ def with_spans(rows: DataFrame, time: str, within: int, span: int | None = None)
     ``_own`` is false on the copy that only serves as lead-in.
     """
     span = span or SPAN_FACTOR * within
+    if span < within:
+        raise ValueError("a span must be at least as long as the limit")
     index = floor_div(time, span)
     own = F.struct(index.alias("_span"), F.lit(True).alias("_own"))
     lead = F.struct((index + 1).alias("_span"), F.lit(False).alias("_own"))

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from wiresift.operators.alerts import to_alert
 from wiresift.rules import DEFAULT_SIGNATURES, SignatureRule
 
+# Bytes per block when locating occurrences.
+BLOCK = 64
+
 
 def _contains_any(payload: Column, rules: Sequence[SignatureRule]) -> Column:
     return reduce(lambda a, b: a | b, [payload.contains(F.lit(bytearray(r.pattern))) for r in rules])
@@ -45,10 +48,23 @@ def signature_hits(
 def signature_matches(
     rows: DataFrame, rules: Sequence[SignatureRule] = DEFAULT_SIGNATURES, payload: str = "payload_sample"
 ) -> DataFrame:
-    """One row per occurrence, with 1-based byte positions match_pos..match_end."""
+    """One row per occurrence, with 1-based byte positions match_pos..match_end.
+
+    Payloads are looked at in blocks: binary ``contains`` picks the blocks in
+    which an occurrence starts, and only those are compared byte by byte.
+    """
     body, pattern = F.col(payload), F.col("rule.pattern")
-    starts = F.sequence(F.lit(1), F.length(body) - F.length(pattern) + 1)
-    hits = F.filter(starts, lambda i: F.substring(body, i, F.length(pattern)) == pattern)
+    size, width = F.length(body), F.length(pattern)
+
+    def starts_in(block: Column) -> Column:
+        first = block * BLOCK + 1
+        last = F.least(first + BLOCK - 1, size - width + 1)
+        return F.filter(F.sequence(first, last), lambda i: F.substring(body, i, width) == pattern)
+
+    blocks = F.filter(
+        F.sequence(F.lit(0), F.floor((size - 1) / BLOCK).cast("int")),
+        lambda b: F.substring(body, b * BLOCK + 1, width + BLOCK - 1).contains(pattern))
+    hits = F.flatten(F.transform(blocks, starts_in))
     return (
         signature_hits(rows, rules, payload)
         .select("*", F.explode(hits).alias("match_pos"))

@@ -279,11 +279,15 @@ _cte("ports", """
   FROM packets""", "packets")
 
 
-def _hll(keys: str, head: str, tail: str) -> str:
+def _hll(keys: str, head: str, tail: str, textbook: bool = False) -> str:
     rest = f"(({head} & 3) * 4503599627370496 + {tail})"
+    linear = "1024 * ln(1024 / (1024 - used))"
+    raw = "0.7213 / (1 + 1.079 / 1024) * 1048576 / (1024 - used + inv)"
+    extra = f""",
+         round(CASE WHEN used < 1024 AND {raw} <= 2560 THEN {linear} ELSE {raw} END, 6) AS n_textbook"""
     return f"""
-  SELECT {keys}, round(CASE WHEN (1024 - used) / 1024 > 0.9 THEN 1024 * ln(1024 / (1024 - used))
-                ELSE 0.7213 / (1 + 1.079 / 1024) * 1048576 / (1024 - used + inv) END, 6) AS n_estimate
+  SELECT {keys}, round(CASE WHEN (1024 - used) / 1024 > 0.9 THEN {linear} ELSE {raw} END, 6)
+         AS n_estimate{extra if textbook else ''}
   FROM (SELECT {keys}, CAST(count(*) AS DOUBLE) AS used, sum(pow(2.0, -rank)) AS inv
         FROM (SELECT {keys}, {head} // 4 AS bucket,
                      max(CASE WHEN {rest} = 0 THEN 55 ELSE 55 - length(bin({rest})) END) AS rank
@@ -387,13 +391,16 @@ ORACLE = {
     "signature_alerts": _with(_ALERTS + "sig", "sig"),
     "signature_match_count": _with("""SELECT packet_id, rule_name, count(*) AS n_matches
         FROM hits GROUP BY ALL""", "hits"),
+    # Neither pattern can overlap itself, so splitting at it finds every occurrence.
     "signature_pages": """
-        SELECT page_id, rule_name, CAST(strlen(substr(html, 1, pos - 1)) + 1 AS INTEGER) AS match_pos,
-               CAST(strlen(substr(html, 1, pos - 1)) + length(pattern) AS INTEGER) AS match_end
-        FROM (SELECT page_id, html, rule_name, pattern,
-                     unnest(range(1, length(html) - length(pattern) + 2)) AS pos
-              FROM pages, (VALUES ('script-tag', '<script>'), ('root-link', 'href="/')) AS r(rule_name, pattern))
-        WHERE substr(html, pos, length(pattern)) = pattern""",
+        SELECT page_id, rule_name, CAST(before + 1 AS INTEGER) AS match_pos,
+               CAST(before + length(pattern) AS INTEGER) AS match_end
+        FROM (SELECT page_id, rule_name, pattern,
+                     list_sum(list_transform(parts[1:i], lambda p: strlen(p))) + (i - 1) * length(pattern) AS before
+              FROM (SELECT *, unnest(range(1, len(parts))) AS i
+                    FROM (SELECT page_id, rule_name, pattern, string_split(html, pattern) AS parts
+                          FROM pages, (VALUES ('script-tag', '<script>'), ('root-link', 'href="/'))
+                               AS r(rule_name, pattern))))""",
     "syn_counts": _with("SELECT * FROM syn_counts", "syn_counts"),
     "syn_counts_sliding": _with("""SELECT src_ip, w AS window_start_ms, count(*) AS n_syn
         FROM (SELECT src_ip, timestamp_ms,
@@ -424,7 +431,7 @@ ORACLE = {
     "cms_builtin": _with("""SELECT timestamp_ms - timestamp_ms % 86400000 AS day_ms, 65588 AS n_bytes,
         count(*) AS n_syn FROM syns GROUP BY ALL""", "syns"),
     "hll_estimate": _with(_hll("src_ip, window_start_ms", "dh", "dt"), "ports"),
-    "hll_estimate_dense": _with(_hll("dst_port", "sh", "st"), "ports"),
+    "hll_estimate_dense": _with(_hll("dst_port", "sh", "st", textbook=True), "ports"),
     "hll_merge": _with(_hll("src_ip", "dh", "dt"), "ports"),
     "hll_scan_alerts": _with(_ALERTS + "bucket_scan", "bucket_scan"),
     "alert_ids": _with("""SELECT id, detector, rule_name, timestamp_ms, packet_id, match_pos

@@ -16,6 +16,7 @@ from wiresift.operators import frames, rates, sequence, signature, sketches, tel
 from wiresift.plans.capture import captured_by_polls
 from wiresift.plans.detection import all_alerts
 from wiresift.rules import DEFAULT_SEQUENCE, SignatureRule, catalogue
+from wiresift.schema import ALERT, CAPTURED_ALERT
 from wiresift.scratch import scratch_dir
 from wiresift.sources import tables, trace
 from wiresift.streaming import processors, run, windows
@@ -43,8 +44,15 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_alerts(packets(spark, sf_dir))
 
 
+def stored_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alert table written out, for queries that read it more than once."""
+    path = scratch_dir(spark, "alerts")
+    alerts(spark, sf_dir).write.parquet(path)
+    return spark.read.schema(ALERT).parquet(path)
+
+
 def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return al.number_alerts(alerts(spark, sf_dir))
+    return al.number_alerts(stored_alerts(spark, sf_dir))
 
 
 def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,10 +75,10 @@ def event_scan(spark, sf_dir):
 
 def alerts_csv_roundtrip(spark, sf_dir):
     path = scratch_dir(spark, "alerts-csv")
-    captured = numbered(spark, sf_dir).select(*al.CAPTURED_ALERT.names)
+    captured = numbered(spark, sf_dir).select(*CAPTURED_ALERT.names)
     tables.write_csv(captured, path)
     return tables.read_alerts_csv(spark, path).select(
-        *al.CAPTURED_ALERT.names, F.unix_millis("ts").alias("ts_ms"))
+        *CAPTURED_ALERT.names, F.unix_millis("ts").alias("ts_ms"))
 
 
 def stats_scan(spark, sf_dir):
@@ -117,13 +125,13 @@ def tcp_flags(spark, sf_dir):
 
 
 def flow_key(spark, sf_dir):
-    return packets(spark, sf_dir).select(
-        "packet_id", net.flow_key().alias("flow_key"), net.shard_key().alias("shard_key"))
+    flows = net.with_flow_key(packets(spark, sf_dir), shard_key="shard_key")
+    return flows.select("packet_id", "flow_key", "shard_key")
 
 
 def shard_load(spark, sf_dir):
     per_source = packets(spark, sf_dir).groupBy("src_ip").agg(F.count("*").alias("n"))
-    return per_source.groupBy(net.shard_of(4).alias("shard")).agg(F.sum("n").alias("n_events"))
+    return net.with_shard(per_source, 4).groupBy("shard").agg(F.sum("n").alias("n_events"))
 
 
 def epoch_to_ts(spark, sf_dir):
@@ -270,7 +278,11 @@ def hll_estimate(spark, sf_dir):
 
 def hll_estimate_dense(spark, sf_dir):
     registers = sketches.hll_registers(packets(spark, sf_dir), ["dst_port"], "src_port")
-    return rounded(sketches.hll_estimate(registers, ["dst_port"]), "n_estimate")
+    literal = sketches.hll_estimate(registers, ["dst_port"])
+    textbook = sketches.hll_estimate(registers, ["dst_port"], textbook=True)
+    return rounded(
+        literal.join(textbook.withColumnRenamed("n_estimate", "n_textbook"), "dst_port"),
+        "n_estimate", "n_textbook")
 
 
 def hll_merge(spark, sf_dir):
@@ -321,12 +333,12 @@ def dedup_alerts(spark, sf_dir):
 
 
 def unseen_alerts(spark, sf_dir):
-    every = alerts(spark, sf_dir)
+    every = stored_alerts(spark, sf_dir)
     return al.unseen_alerts(every, every.where(F.col("timestamp_ms") < SEEN_BEFORE_MS))
 
 
 def alert_timeline(spark, sf_dir):
-    every = alerts(spark, sf_dir)
+    every = stored_alerts(spark, sf_dir)
     now = every.agg(F.max("timestamp_ms")).scalar()
     return rounded(triage.alert_timeline(every, now), "position")
 
