@@ -1,0 +1,132 @@
+from __future__ import annotations
+
+import random
+
+import pytest
+
+from tests.conftest import exploit, packet, rows, syn
+from wiresift.functions.net import payload_contains, port_above, syn_only
+from wiresift.operators.rates import port_scans, syn_counts, syn_floods
+from wiresift.operators.sequence import sequence_alerts
+from wiresift.operators.signature import signature_alerts
+from wiresift.rules import SequenceRule
+from wiresift.schema import ALERT, EVENT
+from wiresift.scratch import scratch_dir
+from wiresift.sources.tables import stream_events
+from wiresift.streaming import processors, run, windows
+
+ALERT_COLUMNS = ("timestamp_ms", "rule_name", "src_ip", "dst_ip", "detail", "packet_id", "match_pos")
+
+
+def traffic(seed, n=1500):
+    """Two minutes of mixed traffic in time order, one source with most of it."""
+    rng, out, ms = random.Random(seed), [], 0
+    for i in range(n):
+        ms += rng.randrange(0, 160)
+        src = 7 if rng.random() < 0.6 else rng.randrange(1, 6)
+        kind = rng.random()
+        if kind < 0.55:
+            out.append(syn(i, ms, src, dport=rng.randrange(60)))
+        elif kind < 0.7:
+            out.append(exploit(i, ms, src))
+        else:
+            out.append(packet(i, ms, src, dport=rng.randrange(2000)))
+    return out
+
+
+@pytest.fixture
+def landed(spark, packets):
+    """Packets as files of a directory, shuffled within a few seconds, one file per micro-batch."""
+
+    def land(trace, files=6, jitter_ms=4000):
+        rng = random.Random(1)
+        mixed = sorted(trace, key=lambda p: p[1] + rng.randrange(jitter_ms))
+        path = scratch_dir(spark, "test-landed")
+        size = -(-len(mixed) // files)
+        for at in range(0, len(mixed), size):
+            packets(mixed[at:at + size]).coalesce(1).write.mode("append").parquet(path)
+        return stream_events(spark, path, max_files_per_trigger=1)
+
+    return land
+
+
+def test_window_counts_equal_batch(packets, landed):
+    trace = traffic(1)
+    got = run.drain(landed(trace), windows.stream_syn_counts, "test-syn")
+    columns = ("src_ip", "window_start_ms", "n_syn")
+    assert rows(got, *columns) == rows(syn_counts(packets(trace)), *columns)
+
+
+def test_scanners_equal_batch(packets, landed):
+    trace = traffic(2)
+    got = run.drain(landed(trace), lambda p: windows.stream_port_scans(p, threshold=15), "test-scan")
+    want = port_scans(packets(trace), threshold=15)
+    assert got.count() == want.count() > 3
+
+
+def test_flood_alerts_equal_batch(packets, landed):
+    trace = traffic(3)
+    got = run.drain(landed(trace), lambda p: processors.stream_flood_alerts(p, threshold=12), "test-flood")
+    want = rows(syn_floods(packets(trace), threshold=12), *ALERT_COLUMNS)
+    assert rows(got, *ALERT_COLUMNS) == want and len(want) > 5
+
+
+def test_sequence_alerts_equal_batch(packets, landed):
+    """Micro-batches out of order, matches across batches and spans."""
+    trace = traffic(4)
+    got = run.drain(landed(trace), processors.stream_sequence_alerts, "test-sequence")
+    want = rows(sequence_alerts(packets(trace)), *ALERT_COLUMNS)
+    assert rows(got, *ALERT_COLUMNS) == want and len(want) > 50
+
+
+def test_three_step_sequence_equals_batch(packets, landed):
+    trace = traffic(5)
+    rule = SequenceRule("probe-high-port-exploit", "High",
+                        [syn_only, lambda: port_above(1023), lambda: payload_contains(b"passwd")], 3000)
+    got = run.drain(landed(trace), lambda p: processors.stream_sequence_alerts(p, rule), "test-three")
+    want = rows(sequence_alerts(packets(trace), rule), *ALERT_COLUMNS)
+    assert rows(got, *ALERT_COLUMNS) == want and len(want) > 10
+
+
+def test_signatures_and_counters(spark, packets, landed):
+    trace = traffic(6)
+    root = scratch_dir(spark, "test-stats")
+    query = run.run_with_counters(landed(trace), signature_alerts, root, f"{root}/checkpoint")
+    counters = run.read_counters(spark, root).collect()
+    want = signature_alerts(packets(trace))
+    assert len(counters) == 6 and sum(c["events_processed"] for c in counters) == len(trace)
+    assert sum(c["alerts_fired"] for c in counters) == want.count()
+    assert run.late_rows(query) == 0
+    stored = spark.read.schema(ALERT).parquet(f"{root}/alerts")
+    assert rows(stored, *ALERT_COLUMNS) == rows(want, *ALERT_COLUMNS)
+
+
+def test_late_packets_are_counted_as_dropped(spark, packets):
+    path, root = scratch_dir(spark, "test-late"), scratch_dir(spark, "test-late-out")
+    packets([syn(1, 100_000)]).coalesce(1).write.parquet(path)
+    source = stream_events(spark, path)
+    out = windows.stream_syn_counts(source, lateness="1 second")
+    run.run_available(out, f"{root}/out", f"{root}/checkpoint")
+    packets([syn(2, 200_000), syn(3, 5_000)]).coalesce(1).write.mode("append").parquet(path)
+    query = run.run_available(out, f"{root}/out", f"{root}/checkpoint")
+    assert run.late_rows(query) == 1
+    assert rows(spark.read.parquet(f"{root}/out"), "window_start_ms", "n_syn") == [(100_000, 1)]
+
+
+def test_capture_keeps_each_alert_once(spark, packets, landed):
+    """Each poll repeats alerts of the poll before."""
+    trace = traffic(7, 600)
+    path = scratch_dir(spark, "test-polls")
+    every = signature_alerts(packets(trace)).orderBy("timestamp_ms", "packet_id", "match_pos").collect()
+    for end in range(20, len(every) + 20, 20):
+        poll = spark.createDataFrame(every[max(0, end - 50):end], ALERT)
+        poll.coalesce(1).write.mode("append").parquet(path)
+    polled = spark.readStream.schema(ALERT).option("maxFilesPerTrigger", 1).parquet(path)
+    out = scratch_dir(spark, "test-captured")
+    run.run_available(run.capture_unseen(polled), f"{out}/out", f"{out}/checkpoint")
+    got = spark.read.schema(ALERT).parquet(f"{out}/out")
+    assert rows(got, "packet_id", "match_pos") == sorted((a["packet_id"], a["match_pos"]) for a in every)
+
+
+def test_schema_of_the_source(spark, landed):
+    assert landed(traffic(8, 10)).schema.names == EVENT.names
