@@ -15,7 +15,7 @@ LATEST_DEFAULT = 200
 STORE_SIZE = 5000
 
 # Alerts are numbered per detector and time slice of this length.
-NUMBERING_SLICE_MS = 60000
+NUMBERING_SLICE_MS = 10000
 
 
 def to_alert(
@@ -50,7 +50,10 @@ def to_alert(
 
 
 def number_alerts(alerts: DataFrame, slice_ms: int = NUMBERING_SLICE_MS) -> DataFrame:
-    """Add ``id``: 1, 2, … per detector in arrival order."""
+    """Add ``id``: 1, 2, … per detector in arrival order.
+
+    Reads ``alerts`` twice, so give it a stored alert table.
+    """
     numbered = running_total(
         alerts,
         keys=["detector"],

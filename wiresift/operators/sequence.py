@@ -138,15 +138,20 @@ def sequence_detail(rule: SequenceRule) -> Column:
                  f"{duration_text(rule.within_ms)}")
 
 
-def sequence_alerts(events: DataFrame, rule: SequenceRule = DEFAULT_SEQUENCE) -> DataFrame:
+def sequence_alerts(
+    events: DataFrame, rule: SequenceRule = DEFAULT_SEQUENCE, span_ms: int | None = None
+) -> DataFrame:
     """One alert per completed sequence of a source, at its last packet.
 
     Two-step rules run on window functions alone; longer ones track steps over
-    sorted Arrow batches.
+    sorted Arrow batches. ``span_ms`` is the stretch of a source's history that
+    one task takes, at least the rule's limit and four times that by default;
+    the shorter, the more tasks share a busy source and the more rows are read
+    twice.
     """
     steps = rule.conditions()
     common = dict(key="src_ip", time="timestamp_ms", tie="packet_id",
-                  within=rule.within_ms, carry=["dst_ip"])
+                  within=rule.within_ms, carry=["dst_ip"], span=span_ms)
     if len(steps) == 2:
         done = two_step_matches(events, first=steps[0], second=steps[1], **common)
     else:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 
@@ -33,11 +34,10 @@ def all_alerts(
     Each branch reads only the columns it needs. ``stage`` and the match
     position give the order in which a packet's alerts arrive.
     """
-    out = signature_alerts(events, signatures)
-    for branch in (
+    branches = [
+        *([signature_alerts(events, signatures)] if signatures else []),
         syn_floods(events, syn_threshold, width_ms),
         port_scans(events, port_threshold, width_ms),
         *[sequence_alerts(events, rule) for rule in sequences],
-    ):
-        out = out.unionByName(branch)
-    return out
+    ]
+    return reduce(DataFrame.unionByName, branches)

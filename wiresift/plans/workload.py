@@ -397,12 +397,17 @@ def _drained(name, build):
 
 
 def stream_stats(spark, sf_dir):
-    root = scratch_dir(spark, "stream-stats")
-    query = run.run_with_counters(
-        packet_stream(spark, sf_dir), signature.signature_alerts, root, f"{root}/checkpoint")
+    root, totals = scratch_dir(spark, "stream-stats"), run.StreamTotals()
+    spark.streams.addListener(totals)
+    try:
+        query = run.run_with_counters(
+            packet_stream(spark, sf_dir), signature.signature_alerts, root, f"{root}/checkpoint")
+        totals.await_end(query)
+    finally:
+        spark.streams.removeListener(totals)
     return run.read_counters(spark, root).agg(
         F.sum("events_processed").alias("events_processed"),
-        F.lit(run.late_rows(query)).cast("long").alias("events_dropped"),
+        F.lit(totals.dropped.get(str(query.id), 0)).cast("long").alias("events_dropped"),
         F.sum("alerts_fired").alias("alerts_fired"))
 
 

@@ -18,6 +18,10 @@ class SignatureRule:
     pattern: bytes
     severity: str
 
+    def __post_init__(self):
+        if not self.pattern:
+            raise ValueError("a signature needs a pattern")
+
 
 @dataclass(frozen=True)
 class SequenceRule:

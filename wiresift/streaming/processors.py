@@ -158,7 +158,10 @@ def stream_flood_alerts(
 
 
 def stream_sequence_alerts(
-    packets: DataFrame, rule: SequenceRule = DEFAULT_SEQUENCE, lateness: str = LATENESS
+    packets: DataFrame,
+    rule: SequenceRule = DEFAULT_SEQUENCE,
+    lateness: str = LATENESS,
+    span_ms: int | None = None,
 ) -> DataFrame:
     """Sequence alerts, emitted once the watermark passes the completing packet.
 
@@ -172,7 +175,7 @@ def stream_sequence_alerts(
     marked = packets.select(
         "src_ip", "timestamp_ms", "packet_id", "dst_ip", steps.cast("long").alias("steps")
     ).where(F.col("steps") != 0)
-    span = SPAN_FACTOR * rule.within_ms
+    span = span_ms or SPAN_FACTOR * rule.within_ms
     keyed = with_event_time(
         with_spans(marked, "timestamp_ms", rule.within_ms, span).withColumnsRenamed(
             {"_span": "span", "_own": "own"}),

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from wiresift.schema import ALERT_KEY, EVENT
 from wiresift.scratch import scratch_dir
@@ -24,13 +28,38 @@ COUNTERS = T.StructType([
 ])
 
 
-def run_available(out: DataFrame, path: str, checkpoint: str):
-    """Append everything that has arrived to a parquet table; returns the finished query."""
-    query = (
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Keep the state of queries started inside in RocksDB.
+
+    Keyed processors need it, and large windowed state then lies outside the heap.
+    """
+    previous = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(STATE_STORE, previous)
+
+
+def append_stream(out: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Append a stream's rows to a parquet table; returns the started query.
+
+    With ``every`` (such as "10 seconds") it keeps running on that rhythm;
+    otherwise it ends when it has read what has arrived.
+    """
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    writer = (
         out.writeStream.format("parquet").outputMode("append")
-        .option("path", path).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
+        .option("path", path).option("checkpointLocation", checkpoint).trigger(**trigger)
     )
+    with rocksdb_state(out.sparkSession):
+        return writer.start()
+
+
+def run_available(out: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append everything that has arrived; returns the finished query."""
+    query = append_stream(out, path, checkpoint)
     query.awaitTermination()
     return query
 
@@ -47,20 +76,15 @@ def drain(packets: DataFrame, build: Callable[[DataFrame], DataFrame], name: str
     spark.createDataFrame([], EVENT).write.parquet(f"{root}/closing")
     closing = spark.readStream.schema(EVENT).parquet(f"{root}/closing")
     out = build(packets.select(*EVENT.names).unionByName(closing))
-    previous = spark.conf.get(STATE_STORE)
-    spark.conf.set(STATE_STORE, ROCKSDB)  # keyed processors need it
-    try:
-        run_available(out, f"{root}/out", f"{root}/checkpoint")
-        spark.createDataFrame([CLOSING], EVENT).write.mode("append").parquet(f"{root}/closing")
-        run_available(out, f"{root}/out", f"{root}/checkpoint")
-    finally:
-        spark.conf.set(STATE_STORE, previous)
+    run_available(out, f"{root}/out", f"{root}/checkpoint")
+    spark.createDataFrame([CLOSING], EVENT).write.mode("append").parquet(f"{root}/closing")
+    run_available(out, f"{root}/out", f"{root}/checkpoint")
     return spark.read.schema(out.schema).parquet(f"{root}/out")
 
 
 def run_with_counters(
     packets: DataFrame, detect: Callable[[DataFrame], DataFrame], path: str, checkpoint: str
-):
+) -> StreamingQuery:
     """Append a stateless detector's alerts and count packets and alerts per micro-batch.
 
     Both are counted while they stream through to the alert sink, in one pass.
@@ -88,12 +112,39 @@ def read_counters(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(COUNTERS).parquet(f"{path}/counters")
 
 
-def late_rows(query) -> int:
-    """Rows a query dropped as too late: what a stream counts as dropped events."""
-    return sum(
-        op.get("numRowsDroppedByWatermark", 0)
-        for progress in query.recentProgress
-        for op in progress["stateOperators"])
+class StreamTotals(StreamingQueryListener):
+    """Running totals over all stream queries of a session, however long they run.
+
+    Register with ``spark.streams.addListener``. ``dropped`` counts the rows
+    that came after the watermark had passed them: a stream reads its source no
+    faster than it can, so these are the only events it ever drops.
+    """
+
+    def __init__(self):
+        self.read: dict[str, int] = {}
+        self.dropped: dict[str, int] = {}
+        self.finished: set[str] = set()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        progress, query = event.progress, str(event.progress.id)
+        late = sum(op.numRowsDroppedByWatermark for op in progress.stateOperators)
+        self.read[query] = self.read.get(query, 0) + progress.numInputRows
+        self.dropped[query] = self.dropped.get(query, 0) + late
+
+    def onQueryTerminated(self, event) -> None:
+        self.finished.add(str(event.runId))
+
+    def await_end(self, query: StreamingQuery, seconds: float = 30.0) -> None:
+        """Wait until the end of a terminated query has been reported."""
+        deadline = time.monotonic() + seconds
+        while str(query.runId) not in self.finished and time.monotonic() < deadline:
+            time.sleep(0.05)
 
 
 def capture_unseen(alerts: DataFrame, horizon: str = "1 hour") -> DataFrame:
