@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import sys
 from bisect import bisect_right
 from collections import deque
 
+from pyspark import cloudpickle
+
+# Python workers get this code with the task, so they need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 class StepTracker:
     """Feed it a key's rows in order; it reports the completed sequences.

@@ -7,9 +7,11 @@ drop all state of a key when its window or span is over.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -29,6 +31,9 @@ from wiresift.rules import (
 )
 from wiresift.streaming.windows import LATENESS, with_event_time
 
+# Python workers get the processors with the task, so they need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CROSSING = T.StructType([
     T.StructField("packet_id", T.LongType()),
     T.StructField("timestamp_ms", T.LongType()),
