@@ -1,17 +1,18 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import packet, rows, syn
-from wiresift.functions.net import port_above
+from wiresift.functions.net import payload_contains, port_above, syn_only
 from wiresift.operators import alerts as al
 from wiresift.operators import triage
 from wiresift.plans.capture import captured_by_polls, poll_counts
-from wiresift.plans.detection import all_alerts
-from wiresift.rules import SequenceRule, SignatureRule, catalogue
+from wiresift.plans.detection import all_alerts, store_suspects
+from wiresift.rules import DEFAULT_SEQUENCE, SequenceRule, SignatureRule, catalogue
 from wiresift.schema import ALERT, CAPTURED_ALERT
 from wiresift.scratch import scratch_dir
 from wiresift.sources.tables import read_alerts_csv, write_csv, write_json
@@ -59,6 +60,32 @@ def test_own_rules(packets):
     assert rows(got, "rule_name", "packet_id") == [("greeting", 1), ("low-then-high", 2)]
 
 
+def test_stored_suspects_change_nothing(spark, packets):
+    """Probes come in a flood, mostly in spans without any exploit, and from a busy source."""
+    rng = random.Random(11)
+    trace = []
+    for i in range(6000):
+        src = 7 if rng.random() < 0.4 else rng.randrange(50)
+        ms = rng.randrange(400_000)
+        kind = rng.random()
+        if kind < 0.06:
+            trace.append(packet(i, ms, src, payload=rng.choice([ATTACK, b"passwd", b"cmd.exe", b"UNION SELECT"])))
+        elif kind < 0.08:
+            trace.append(syn(i, ms, src, payload=b"passwd"))
+        else:
+            trace.append(syn(i, ms, src, dport=rng.randrange(100)))
+    events = packets(trace)
+    rules = dict(sequences=(DEFAULT_SEQUENCE, SequenceRule(
+        "three", "Low", [syn_only, syn_only, lambda: payload_contains(b"cmd.exe")], 4000)))
+    plain = all_alerts(events, syn_threshold=8, port_threshold=6, **rules)
+    stored = store_suspects(events, scratch_dir(spark, "test-suspects"), **rules)
+    staged = all_alerts(events, syn_threshold=8, port_threshold=6, suspects=stored, **rules)
+    columns = ALERT.names
+    assert rows(staged, *columns) == rows(plain, *columns)
+    assert stored.count() < 600
+    assert {r[0] for r in rows(plain, "detector")} == {"Signature", "Anomaly", "Cep"}
+
+
 @pytest.mark.parametrize("slice_ms", [1, 60_000, 10**9])
 def test_numbering(table, slice_ms):
     df = table([(1000 * (i % 90), "AB"[i % 2], "r", "Low") for i in range(300)])

@@ -40,6 +40,35 @@ def with_spans(rows: DataFrame, time: str, within: int, span: int | None = None)
     return rows.select("*", F.inline(F.when(late, F.array(own, lead)).otherwise(F.array(own))))
 
 
+def _marked_rows(
+    rows: DataFrame, keep: list[str], time: str, first: Column, second: Column, within: int, span: int | None
+) -> DataFrame:
+    """Openings (+1) and closings (-1) by span; a row that is both closes first."""
+    close = F.struct(F.lit(0).alias("_turn"), F.lit(-1).alias("_x"))
+    open_ = F.struct(F.lit(1).alias("_turn"), F.lit(1).alias("_x"))
+    none = F.lit(None).cast("struct<_turn:int,_x:int>")
+    roles = F.array_compact(F.array(
+        F.when(second, close).otherwise(none), F.when(first, open_).otherwise(none)))
+    marked = rows.where(first | second).select(*keep, F.inline(roles))
+    return with_spans(marked, time, within, span)
+
+
+def _marked_apart(
+    rows: DataFrame, seconds: DataFrame, keep: list[str], key: str, time: str,
+    first: Column, second: Column, within: int, span: int | None,
+) -> DataFrame:
+    """The same from two tables, without the openings of spans that close nothing."""
+
+    def mark(part: DataFrame, turn: int, x: int) -> DataFrame:
+        return with_spans(
+            part.select(*keep, F.lit(turn).alias("_turn"), F.lit(x).alias("_x")), time, within, span)
+
+    closings = mark(seconds.where(second), 0, -1)
+    needed = closings.where("_own").select(key, "_span").distinct()
+    openings = mark(rows.where(first), 1, 1).join(needed, [key, "_span"], "left_semi")
+    return openings.select(*closings.columns).unionByName(closings)
+
+
 def two_step_matches(
     rows: DataFrame,
     key: str,
@@ -50,6 +79,7 @@ def two_step_matches(
     within: int,
     carry: Sequence[str] = (),
     span: int | None = None,
+    seconds: DataFrame | None = None,
 ) -> DataFrame:
     """Rows that complete a first-then-second pair, with the pair's ``started``.
 
@@ -59,16 +89,15 @@ def two_step_matches(
     newest open first is too old, so are all others, so pairs are matched first
     and filtered by age. A row that is both closes before it opens.
 
-    One shuffle, on key and span; both window passes use it.
+    One shuffle, on key and span; both window passes use it. ``seconds`` may
+    give a (much smaller) table with all the second rows; firsts without a
+    second in their span are then dropped before that shuffle.
     """
-    close = F.struct(F.lit(0).alias("_turn"), F.lit(-1).alias("_x"))
-    open_ = F.struct(F.lit(1).alias("_turn"), F.lit(1).alias("_x"))
-    none = F.lit(None).cast("struct<_turn:int,_x:int>")
-    roles = F.array_compact(F.array(
-        F.when(second, close).otherwise(none), F.when(first, open_).otherwise(none)))
-    marked = rows.where(first | second).select(
-        *dict.fromkeys([key, time, tie, *carry]), F.inline(roles))
-    spans = with_spans(marked, time, within, span)
+    keep = list(dict.fromkeys([key, time, tie, *carry]))
+    if seconds is None:
+        spans = _marked_rows(rows, keep, time, first, second, within, span)
+    else:
+        spans = _marked_apart(rows, seconds, keep, key, time, first, second, within, span)
 
     order = [*dict.fromkeys([time, tie]), "_turn"]
     along = Window.partitionBy(key, "_span").orderBy(*order)
@@ -84,7 +113,7 @@ def two_step_matches(
         # On one level openings and closings alternate.
         .withColumn("started", F.lag(time).over(level))
         .where((F.col("_x") == -1) & F.col("_own") & (F.col(time) - F.col("started") <= within))
-        .select(*dict.fromkeys([key, time, tie, *carry]), "started")
+        .select(*keep, "started")
     )
 
 
@@ -139,7 +168,10 @@ def sequence_detail(rule: SequenceRule) -> Column:
 
 
 def sequence_alerts(
-    events: DataFrame, rule: SequenceRule = DEFAULT_SEQUENCE, span_ms: int | None = None
+    events: DataFrame,
+    rule: SequenceRule = DEFAULT_SEQUENCE,
+    span_ms: int | None = None,
+    seconds: DataFrame | None = None,
 ) -> DataFrame:
     """One alert per completed sequence of a source, at its last packet.
 
@@ -147,13 +179,14 @@ def sequence_alerts(
     sorted Arrow batches. ``span_ms`` is the stretch of a source's history that
     one task takes, at least the rule's limit and four times that by default;
     the shorter, the more tasks share a busy source and the more rows are read
-    twice.
+    twice. ``seconds`` may name a table with all packets that fulfil the second
+    of two steps.
     """
     steps = rule.conditions()
     common = dict(key="src_ip", time="timestamp_ms", tie="packet_id",
                   within=rule.within_ms, carry=["dst_ip"], span=span_ms)
     if len(steps) == 2:
-        done = two_step_matches(events, first=steps[0], second=steps[1], **common)
+        done = two_step_matches(events, first=steps[0], second=steps[1], seconds=seconds, **common)
     else:
         done = step_matches(events, steps=steps, **common)
     return to_alert(done, rule.name, rule.severity, sequence_detail(rule), "Cep", stage=4)

@@ -14,7 +14,8 @@ from wiresift.rules import DEFAULT_SIGNATURES, SignatureRule
 BLOCK = 64
 
 
-def _contains_any(payload: Column, rules: Sequence[SignatureRule]) -> Column:
+def contains_any(payload: Column, rules: Sequence[SignatureRule]) -> Column:
+    """Whether a payload contains at least one of the patterns."""
     return reduce(lambda a, b: a | b, [payload.contains(F.lit(bytearray(r.pattern))) for r in rules])
 
 
@@ -40,7 +41,7 @@ def signature_hits(
     plain filter over binary ``contains``, before anything is exploded.
     """
     body = F.col(payload)
-    found = rows.where((F.length(body) > 0) & _contains_any(body, rules))
+    found = rows.where((F.length(body) > 0) & contains_any(body, rules))
     matching = F.filter(_rule_array(rules), lambda r: body.contains(r["pattern"]))
     return found.select("*", F.explode(matching).alias("rule"))
 

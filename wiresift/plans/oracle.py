@@ -350,6 +350,7 @@ _ALERTS = f"SELECT {ALERT_COLUMNS} FROM "
 
 ORACLE = {
     "all_alerts": _with(_ALERTS + "alerts", "alerts"),
+    "all_alerts_staged": _with(_ALERTS + "alerts", "alerts"),
     "event_scan": _with("""SELECT packet_id, timestamp_ms, src_ip, dst_ip, src_port, dst_port, protocol,
         flags, payload AS payload_sample FROM packets""", "packets"),
     "alerts_csv_roundtrip": _with("""SELECT id, timestamp_ms, rule_name, severity, src_ip, dst_ip, detail,

@@ -14,7 +14,7 @@ from wiresift.functions.severity import severity_rank
 from wiresift.operators import alerts as al
 from wiresift.operators import frames, rates, sequence, signature, sketches, telemetry, triage
 from wiresift.plans.capture import captured_by_polls
-from wiresift.plans.detection import all_alerts
+from wiresift.plans.detection import all_alerts, store_suspects
 from wiresift.rules import DEFAULT_SEQUENCE, SignatureRule, catalogue
 from wiresift.schema import ALERT, CAPTURED_ALERT
 from wiresift.scratch import scratch_dir
@@ -44,6 +44,11 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_alerts(packets(spark, sf_dir))
 
 
+def all_alerts_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = packets(spark, sf_dir)
+    return all_alerts(events, suspects=store_suspects(events, scratch_dir(spark, "suspects")))
+
+
 def stored_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The alert table written out, for queries that read it more than once."""
     path = scratch_dir(spark, "alerts")
@@ -419,6 +424,7 @@ def _polled_twice(packet_rows: DataFrame) -> DataFrame:
 
 QUERIES = {
     "all_alerts": alerts,
+    "all_alerts_staged": all_alerts_staged,
     "event_scan": event_scan,
     "alerts_csv_roundtrip": alerts_csv_roundtrip,
     "stats_scan": stats_scan,
