@@ -57,6 +57,13 @@ def test_window_counts_equal_batch(packets, landed):
     assert rows(got, *columns) == rows(syn_counts(packets(trace)), *columns)
 
 
+def test_sliding_counts_equal_batch(packets, landed):
+    trace = traffic(9, 400)
+    got = run.drain(landed(trace, files=2), lambda p: windows.stream_syn_counts(p, slide_ms=1000), "test-slide")
+    columns = ("src_ip", "window_start_ms", "n_syn")
+    assert rows(got, *columns) == rows(syn_counts(packets(trace), slide_ms=1000), *columns)
+
+
 def test_scanners_equal_batch(packets, landed):
     trace = traffic(2)
     got = run.drain(landed(trace), lambda p: windows.stream_port_scans(p, threshold=15), "test-scan")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wiresift.functions.severity import SEVERITIES, severity_lane, severity_table
+from wiresift.functions.severity import SEVERITIES, severity_lane
 from wiresift.operators.alerts import newest_first
 
 # Rows of the triage page, length of the timeline.
@@ -46,15 +46,15 @@ def alert_timeline(alerts: DataFrame, now_ms: Column | int, window_ms: int = TIM
 def severity_distribution(alerts: DataFrame) -> DataFrame:
     """Alerts per severity in display order, absent severities as 0.
 
-    Counted first, so the join is between a handful of rows.
+    One row of conditional counts, turned into a row per severity: neither a
+    join to fill the gaps nor a sort is needed.
     """
-    counts = alerts.where(F.col("severity").isin(*SEVERITIES)).groupBy("severity").count()
-    return (
-        severity_table(alerts.sparkSession)
-        .join(counts, "severity", "left")
-        .select("severity", "severity_rank", F.coalesce("count", F.lit(0)).alias("n_alerts"))
-        .orderBy("severity_rank")
-    )
+    counts = alerts.agg(*[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES])
+    entries = [
+        F.struct(F.lit(s).alias("severity"), F.lit(i + 1).alias("severity_rank"), F.col(s).alias("n_alerts"))
+        for i, s in enumerate(SEVERITIES)
+    ]
+    return counts.select(F.inline(F.array(*entries)))
 
 
 def detector_distribution(alerts: DataFrame) -> DataFrame:

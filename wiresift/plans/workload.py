@@ -16,7 +16,7 @@ from wiresift.operators import frames, rates, sequence, signature, sketches, tel
 from wiresift.plans.capture import captured_by_polls
 from wiresift.plans.detection import all_alerts, store_suspects
 from wiresift.rules import DEFAULT_SEQUENCE, SignatureRule, catalogue
-from wiresift.schema import ALERT, CAPTURED_ALERT
+from wiresift.schema import ALERT, CAPTURED_ALERT, STATS
 from wiresift.scratch import scratch_dir
 from wiresift.sources import tables, trace
 from wiresift.streaming import processors, run, windows
@@ -61,7 +61,10 @@ def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trace.stats_series(trace.read_table(spark, sf_dir, "events"))
+    """The polled counters as a written table, as a capture leaves them."""
+    path = scratch_dir(spark, "stats")
+    trace.stats_series(trace.read_table(spark, sf_dir, "events")).write.parquet(path)
+    return spark.read.schema(STATS).parquet(path)
 
 
 def raw_frames(spark: SparkSession, sf_dir: str) -> DataFrame:

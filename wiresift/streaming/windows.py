@@ -17,15 +17,19 @@ def with_event_time(packets: DataFrame, lateness: str = LATENESS) -> DataFrame:
     return packets.withColumn("ts", ms_to_ts("timestamp_ms")).withWatermark("ts", lateness)
 
 
-def _windowed(packets: DataFrame, width_ms: int, *aggregates) -> DataFrame:
-    grouped = packets.groupBy(F.window("ts", f"{width_ms} milliseconds"), "src_ip").agg(*aggregates)
+def _windowed(packets: DataFrame, width_ms: int, slide_ms: int | None, *aggregates) -> DataFrame:
+    slide = None if slide_ms is None else f"{slide_ms} milliseconds"
+    pane = F.window("ts", f"{width_ms} milliseconds", slide)
+    grouped = packets.groupBy(pane, "src_ip").agg(*aggregates)
     return grouped.withColumn("window_start_ms", F.unix_millis("window.start")).drop("window")
 
 
-def stream_syn_counts(packets: DataFrame, width_ms: int = WINDOW_MS, lateness: str = LATENESS) -> DataFrame:
-    """SYN-only packets per source and window, in append mode."""
+def stream_syn_counts(
+    packets: DataFrame, width_ms: int = WINDOW_MS, lateness: str = LATENESS, slide_ms: int | None = None
+) -> DataFrame:
+    """SYN-only packets per source and window, in append mode; with ``slide_ms``, windows overlap."""
     syns = with_event_time(packets.where(syn_only()).select("src_ip", "timestamp_ms"), lateness)
-    return _windowed(syns, width_ms, F.count("*").alias("n_syn")).select(
+    return _windowed(syns, width_ms, slide_ms, F.count("*").alias("n_syn")).select(
         "src_ip", "window_start_ms", "n_syn")
 
 
@@ -46,7 +50,7 @@ def stream_port_counts(packets: DataFrame, width_ms: int = WINDOW_MS, lateness:
     each micro-batch is reduced to such sets before the shuffle.
     """
     timed = with_event_time(packets.select("src_ip", "dst_port", "timestamp_ms"), lateness)
-    counted = _windowed(timed, width_ms, F.collect_set("dst_port").alias("ports"))
+    counted = _windowed(timed, width_ms, None, F.collect_set("dst_port").alias("ports"))
     return counted.select("src_ip", "window_start_ms", F.size("ports").cast("long").alias("n_ports"))
 
 
