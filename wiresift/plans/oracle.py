@@ -435,6 +435,12 @@ ORACLE = {
     "hll_estimate_dense": _with(_hll("dst_port", "sh", "st", textbook=True), "ports"),
     "hll_merge": _with(_hll("src_ip", "dh", "dt"), "ports"),
     "hll_scan_alerts": _with(_ALERTS + "bucket_scan", "bucket_scan"),
+    # Spark's sketch of this size stores up to about a hundred values as they are,
+    # and no source touches that many ports, so its estimates are exact here.
+    "port_distinct_hll": _with(f"""SELECT src_ip, {WIN} AS window_start_ms, count(DISTINCT dst_port) AS n_estimate
+        FROM packets GROUP BY ALL""", "packets"),
+    "hll_builtin_merge": _with("""SELECT src_ip, count(DISTINCT dst_port) AS n_estimate
+        FROM packets GROUP BY ALL""", "packets"),
     "alert_ids": _with("""SELECT id, detector, rule_name, timestamp_ms, packet_id, match_pos
         FROM numbered""", "numbered"),
     "latest_alerts": _with(f"{_ALERTS} alerts ORDER BY {ARRIVAL_DESC} LIMIT 200", "alerts"),

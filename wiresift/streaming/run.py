@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
@@ -147,11 +147,13 @@ class StreamTotals(StreamingQueryListener):
             time.sleep(0.05)
 
 
-def capture_unseen(alerts: DataFrame, horizon: str = "1 hour") -> DataFrame:
+def capture_unseen(
+    alerts: DataFrame, horizon: str = "1 hour", key: Sequence[str] = tuple(ALERT_KEY)
+) -> DataFrame:
     """A stream of polled alerts without the ones that came before.
 
     ``alerts`` may repeat alerts from poll to poll; keys are remembered for
     ``horizon`` of event time, which must exceed the reach of a poll.
     """
     timed = alerts.withColumn("ts", F.timestamp_millis("timestamp_ms")).withWatermark("ts", horizon)
-    return timed.dropDuplicatesWithinWatermark(ALERT_KEY).drop("ts")
+    return timed.dropDuplicatesWithinWatermark(list(key)).drop("ts")
