@@ -85,12 +85,13 @@ class KthPacket(StatefulProcessor):
             kept = sorted(kept)[: self.k]
         self.earliest.put(kept)
         self.handle.registerTimer(key[1] + self.width_ms)
-        yield _crossings(key[0], [])
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         kept = [tuple(r) for r in self.earliest.get()] if self.earliest.exists() else []
         self.earliest.clear()
-        yield _crossings(key[0], kept[self.k - 1:])
+        if len(kept) == self.k:
+            yield _crossings(key[0], kept[-1:])
 
     def close(self) -> None:
         pass
@@ -117,7 +118,7 @@ class StepSequence(StatefulProcessor):
         if first is not None:
             self.handle.registerTimer(first)
         self.handle.registerTimer((key[1] + 1) * self.span)
-        yield _crossings(key[0], [])
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
@@ -137,7 +138,8 @@ class StepSequence(StatefulProcessor):
             if later:
                 self.waiting.put(later)
                 self.handle.registerTimer(later[0][0])
-        yield _crossings(key[0], done)
+        if done:
+            yield _crossings(key[0], done)
 
     def close(self) -> None:
         pass
