@@ -1,0 +1,68 @@
+import hashlib
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from wiresift.llm.exact_dedup import exact_dedup, op8_stream_dedup, update_state
+
+SCHEMA = "doc_id long, text string, keep string, group_size int, digest string"
+
+
+def brute_force(rows):
+    groups = defaultdict(list)
+    for doc_id, text in rows:
+        groups[text or ""].append(doc_id)
+    out = []
+    for text, ids in groups.items():
+        keep = max(ids, key=lambda i: (i is not None, i or 0))
+        out += [(i, keep, len(ids), hashlib.sha256(text.encode()).hexdigest()) for i in ids]
+    return sorted(map(str, out))
+
+
+def table(spark, rows, path, files=3):
+    spark.createDataFrame([(i, t, "x", 1, "y") for i, t in rows], SCHEMA).repartition(files).write.mode("append").parquet(path)
+    return path
+
+
+ROWS = [(i, f"text {i % 17}") for i in range(90)] + [(900, None), (901, ""), (None, "text 3"), (None, "alone"), (5, "text 5"), (5, "text 5"), (950, "long " * 50000), (951, "long " * 50000), (952, " text 1")]
+
+
+@pytest.mark.parametrize("digest", [None, lambda t: F.substring(F.sha2(t, 256), 1, 1)])
+def test_brute_force_and_colliding_digests(spark, tmp_path, digest):
+    path = table(spark, ROWS, str(tmp_path / "docs"))
+    out = exact_dedup(spark, path, **({"digest": digest} if digest else {})).collect()
+    if digest is None:
+        assert sorted(str((r["doc_id"], r["keep_id"], r["group_size"], r["digest"])) for r in out) == brute_force(ROWS)
+    else:
+        assert len({r["digest"] for r in out}) <= 16
+        assert sorted(str((r["doc_id"], r["keep_id"], r["group_size"])) for r in out) == sorted(str(x) for x in [eval(s)[:3] for s in brute_force(ROWS)])
+    assert sum(r["kept"] for r in out) == len({t or "" for _, t in ROWS})
+    assert all(r["doc_id"] == r["keep_id"] for r in out if r["kept"])
+
+
+def test_state_goes_on_from_where_it_was(spark, tmp_path):
+    path, checkpoint = str(tmp_path / "docs"), str(tmp_path / "state")
+    table(spark, [(1, "a"), (2, "b"), (3, "a")], path)
+    update_state(spark, path, checkpoint)
+    table(spark, [(9, "a"), (0, "c")], path, 1)
+    state = {r["keep"]["doc_id"]: r["group_size"] for r in update_state(spark, path, checkpoint).collect()}
+    assert state == {9: 3, 2: 1, 0: 1}
+
+
+def test_many_micro_batches(spark, tmp_path):
+    path = table(spark, ROWS, str(tmp_path / "docs"), 6)
+    out = exact_dedup(spark, path, bytes_per_trigger=1).collect()
+    assert sorted(str((r["doc_id"], r["keep_id"], r["group_size"], r["digest"])) for r in out) == brute_force(ROWS)
+
+
+def test_empty_table(spark, tmp_path):
+    path = table(spark, [], str(tmp_path / "docs"), 1)
+    assert exact_dedup(spark, path).count() == 0
+
+
+def test_registered_query(spark):
+    path = "/root/testdata/sf0.001"
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{path}/documents.parquet").collect()]
+    out = op8_stream_dedup(spark, path).collect()
+    assert sorted(str((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"])) for r in out) == brute_force(rows)

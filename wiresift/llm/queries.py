@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from wiresift.llm import mixing, packing, sharding
+from wiresift.llm import exact_dedup, mixing, packing, sharding
 
 QUERIES = {
     "op1_best_two_fit": packing.op1_best_two_fit,
     "op2_subset_sum_mix": mixing.op2_subset_sum_mix,
     "op6_feistel_shards": sharding.op6_feistel_shards,
+    "op8_stream_dedup": exact_dedup.op8_stream_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+OP8 = """
+WITH rows AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY text) AS keep_id, count(*) OVER (PARTITION BY text) AS group_size,
+       doc_id = max(doc_id) OVER (PARTITION BY text) AS kept, sha256(text) AS text_sha256
+FROM rows
+"""
+
+ORACLE: dict[str, str] = {
+    "op8_stream_dedup": OP8,
+}
