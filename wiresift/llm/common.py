@@ -43,3 +43,18 @@ def expand(frame: DataFrame, count: str, number: str) -> DataFrame:
         .withColumn(number, F.col("_block") * step + F.col("_within"))
         .drop("_block", "_within")
     )
+
+
+def blocks(batches, text_at: int, most_bytes: int):
+    """Rows of Arrow batches as lists of Python tuples whose texts come to about ``most_bytes`` (one row at least)."""
+    for batch in batches:
+        columns, rows, held = batch.columns, [], 0
+        for i in range(batch.num_rows):
+            row = tuple(c[i].as_py() for c in columns)
+            rows.append(row)
+            held += len(row[text_at] or "")
+            if held >= most_bytes:
+                yield rows
+                rows, held = [], 0
+        if rows:
+            yield rows
