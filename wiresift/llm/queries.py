@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from wiresift.llm import exact_dedup, mixing, packing, sharding, toxicity
+from wiresift.llm import exact_dedup, langid, mixing, packing, sharding, toxicity
 
 QUERIES = {
     "op1_best_two_fit": packing.op1_best_two_fit,
     "op2_subset_sum_mix": mixing.op2_subset_sum_mix,
     "op6_feistel_shards": sharding.op6_feistel_shards,
     "op8_stream_dedup": exact_dedup.op8_stream_dedup,
+    "op9_byte_gru_language": langid.op9_byte_gru_language,
     "op10_ordinal_toxicity": toxicity.op10_ordinal_toxicity,
 }
 
