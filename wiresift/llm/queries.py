@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from wiresift.llm import exact_dedup, langid, mixing, nearest, packing, sharding, toxicity
+from wiresift.llm import exact_dedup, langid, mixing, nearest, packing, sharding, substring_dedup, toxicity
 
 QUERIES = {
     "op1_best_two_fit": packing.op1_best_two_fit,
     "op2_subset_sum_mix": mixing.op2_subset_sum_mix,
+    "op3_gear_chunk_dedup": substring_dedup.op3_gear_chunk_dedup,
     "op5_one_bit_neighbours": nearest.op5_one_bit_neighbours,
     "op6_feistel_shards": sharding.op6_feistel_shards,
     "op8_stream_dedup": exact_dedup.op8_stream_dedup,
