@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wiresift.llm import exact_dedup, langid, mixing, nearest, packing, sharding, substring_dedup, toxicity
+from wiresift.llm import exact_dedup, langid, mixing, nearest, ngram_join, packing, sharding, substring_dedup, toxicity
 
 QUERIES = {
     "op1_best_two_fit": packing.op1_best_two_fit,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_gear_chunk_dedup": substring_dedup.op3_gear_chunk_dedup,
     "op5_one_bit_neighbours": nearest.op5_one_bit_neighbours,
     "op6_feistel_shards": sharding.op6_feistel_shards,
+    "op7_minhash_forest_join": ngram_join.op7_minhash_forest_join,
     "op8_stream_dedup": exact_dedup.op8_stream_dedup,
     "op9_byte_gru_language": langid.op9_byte_gru_language,
     "op10_ordinal_toxicity": toxicity.op10_ordinal_toxicity,
