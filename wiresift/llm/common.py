@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from wiresift.scratch import scratch_dir
 
 EXPAND_STEP = 1 << 16
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,10 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stored(frame: DataFrame, purpose: str, compression: str = "zstd") -> DataFrame:
-    """The frame written below ``spark.checkpoint.dir`` and read back: its lineage ends there."""
-    path = scratch_dir(frame.sparkSession, purpose)
-    frame.write.option("compression", compression).parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    """The frame written below ``spark.checkpoint.dir`` and read back: its lineage ends there.
+
+    The shuffle files of the job are removed with it, as nothing else reads them.
+    """
+    spark = frame.sparkSession
+    path, before = scratch_dir(spark, purpose), spark.conf.get(CLEAN_SHUFFLES)
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        frame.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(CLEAN_SHUFFLES, before)
+    return spark.read.schema(frame.schema).parquet(path)
 
 
 def text_key(text: Column | str = "text") -> Column:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from wiresift.llm import exact_dedup, langid, mixing, nearest, ngram_join, packing, sharding, substring_dedup, toxicity
+from wiresift.llm import exact_dedup, langid, line_dedup, mixing, nearest, ngram_join, packing, sharding, substring_dedup, toxicity
 
 QUERIES = {
     "op1_best_two_fit": packing.op1_best_two_fit,
     "op2_subset_sum_mix": mixing.op2_subset_sum_mix,
     "op3_gear_chunk_dedup": substring_dedup.op3_gear_chunk_dedup,
+    "op4_prefix_line_dedup": line_dedup.op4_prefix_line_dedup,
     "op5_one_bit_neighbours": nearest.op5_one_bit_neighbours,
     "op6_feistel_shards": sharding.op6_feistel_shards,
     "op7_minhash_forest_join": ngram_join.op7_minhash_forest_join,
@@ -23,6 +24,38 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY text) AS keep_id, count(*) OVER (P
 FROM rows
 """
 
+OP4 = r"""
+WITH lines AS (
+  SELECT doc_id, u.no, u.line FROM (
+    SELECT doc_id, unnest(list_transform(range(len(s)), i -> {'no': i, 'line': s[i + 1]})) AS u
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)
+  )
+),
+sets AS (
+  SELECT doc_id, no, line, list_filter(list_distinct(regexp_split_to_array(lower(line), '[\x20\x09-\x0D]+')), w -> w <> '') AS words FROM lines
+),
+firsts AS (SELECT words, min({'doc_id': doc_id, 'no': no}) AS spot FROM (SELECT doc_id, no, list_sort(words) AS words FROM sets) WHERE len(words) > 0 GROUP BY words),
+numbered AS (SELECT row_number() OVER (ORDER BY spot) AS id, spot, words, len(words) AS n FROM firsts),
+each AS (SELECT id, n, unnest(words) AS word FROM numbered),
+common AS (SELECT word, count(*) AS df FROM each GROUP BY word),
+placed AS (SELECT id, n, word, row_number() OVER (PARTITION BY id ORDER BY df, word) AS place FROM each JOIN common USING (word)),
+prefix AS (SELECT * FROM placed WHERE place <= n - ceil(0.8 * n - 1e-9) + 1),
+pairs AS (
+  SELECT DISTINCT a.id AS x, b.id AS y FROM prefix a JOIN prefix b ON a.word = b.word AND a.id < b.id
+  WHERE least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) - 1e-9
+),
+gone AS (
+  SELECT DISTINCT y FROM pairs JOIN numbered a ON a.id = x JOIN numbered b ON b.id = y
+  WHERE len(list_intersect(a.words, b.words)) >= 0.8 * (a.n + b.n - len(list_intersect(a.words, b.words))) - 1e-9
+),
+kept AS (SELECT spot.doc_id AS doc_id, spot.no AS no FROM numbered WHERE id NOT IN (SELECT y FROM gone)),
+marked AS (SELECT s.doc_id, s.no, s.line, len(s.words) = 0 OR k.no IS NOT NULL AS stays FROM sets s LEFT JOIN kept k ON k.doc_id = s.doc_id AND k.no = s.no)
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE stays), '') AS text,
+       count(*)::INTEGER AS lines, count(*) FILTER (WHERE NOT stays)::INTEGER AS removed_lines
+FROM marked GROUP BY doc_id
+"""
+
 ORACLE: dict[str, str] = {
+    "op4_prefix_line_dedup": OP4,
     "op8_stream_dedup": OP8,
 }
