@@ -25,16 +25,14 @@ FROM rows
 """
 
 OP4 = r"""
-WITH lines AS (
-  SELECT doc_id, u.no, u.line FROM (
-    SELECT doc_id, unnest(list_transform(range(len(s)), i -> {'no': i, 'line': s[i + 1]})) AS u
-    FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)
-  )
+WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents),
+lines AS (SELECT doc_id, no, s[no + 1] AS line FROM (SELECT doc_id, s, unnest(range(len(s))) AS no FROM split)),
+each_word AS (
+  SELECT DISTINCT doc_id, no, word
+  FROM (SELECT doc_id, no, unnest(regexp_split_to_array(lower(line), '[\x20\x09-\x0D]+')) AS word FROM lines) WHERE word <> ''
 ),
-sets AS (
-  SELECT doc_id, no, line, list_filter(list_distinct(regexp_split_to_array(lower(line), '[\x20\x09-\x0D]+')), w -> w <> '') AS words FROM lines
-),
-firsts AS (SELECT words, min({'doc_id': doc_id, 'no': no}) AS spot FROM (SELECT doc_id, no, list_sort(words) AS words FROM sets) WHERE len(words) > 0 GROUP BY words),
+sets AS (SELECT doc_id, no, list(word ORDER BY word) AS words FROM each_word GROUP BY doc_id, no),
+firsts AS (SELECT words, min({'doc_id': doc_id, 'no': no}) AS spot FROM sets GROUP BY words),
 numbered AS (SELECT row_number() OVER (ORDER BY spot) AS id, spot, words, len(words) AS n FROM firsts),
 each AS (SELECT id, n, unnest(words) AS word FROM numbered),
 common AS (SELECT word, count(*) AS df FROM each GROUP BY word),
@@ -49,7 +47,10 @@ gone AS (
   WHERE len(list_intersect(a.words, b.words)) >= 0.8 * (a.n + b.n - len(list_intersect(a.words, b.words))) - 1e-9
 ),
 kept AS (SELECT spot.doc_id AS doc_id, spot.no AS no FROM numbered WHERE id NOT IN (SELECT y FROM gone)),
-marked AS (SELECT s.doc_id, s.no, s.line, len(s.words) = 0 OR k.no IS NOT NULL AS stays FROM sets s LEFT JOIN kept k ON k.doc_id = s.doc_id AND k.no = s.no)
+marked AS (
+  SELECT l.doc_id, l.no, l.line, s.words IS NULL OR k.no IS NOT NULL AS stays FROM lines l
+  LEFT JOIN sets s ON s.doc_id = l.doc_id AND s.no = l.no LEFT JOIN kept k ON k.doc_id = l.doc_id AND k.no = l.no
+)
 SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE stays), '') AS text,
        count(*)::INTEGER AS lines, count(*) FILTER (WHERE NOT stays)::INTEGER AS removed_lines
 FROM marked GROUP BY doc_id
