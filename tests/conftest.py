@@ -7,7 +7,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from tests.session import local_session  # noqa: E402
+from tools.session import local_session  # noqa: E402
 from wiresift.schema import EVENT  # noqa: E402
 
 

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import csv
 import json
+from pathlib import Path
 import random
 
 import pytest
@@ -98,7 +100,8 @@ def test_latest_and_retention(table):
     df = table([(i, "Cep", "r", "Low") for i in range(6000)])
     assert [r["timestamp_ms"] for r in al.latest_alerts(df, 3).collect()] == [5999, 5998, 5997]
     assert al.latest_alerts(df).count() == 200
-    assert al.latest_alerts(df, 9999).count() == 5000
+    assert al.latest_alerts(df, 9999).count() == 6000
+    assert al.latest_alerts(df, 5500).count() == 5500
     assert al.retain(df).agg(F.min("timestamp_ms")).first()[0] == 1000
 
 
@@ -148,14 +151,38 @@ def test_csv_roundtrip_and_empty_sink(spark, table):
     numbered = al.number_alerts(table([(1704067200123 + i, "Cep", "r, \"x\"", "Low") for i in range(5)]))
     path = scratch_dir(spark, "test-csv")
     captured = numbered.select(*CAPTURED_ALERT.names)
-    assert write_csv(captured, path)
+    write_csv(captured, path)
     back = read_alerts_csv(spark, path)
     assert rows(back, *CAPTURED_ALERT.names) == rows(captured, *CAPTURED_ALERT.names)
     assert back.agg(F.min(F.unix_millis("ts"))).first()[0] == 1704067200123
     empty = scratch_dir(spark, "test-csv-empty")
-    assert not write_csv(captured.limit(0), empty)
-    with pytest.raises(Exception):
-        spark.read.csv(empty).count()
+    assert read_alerts_csv(spark, empty).count() == 0  # nothing written yet
+    write_csv(captured, empty)
+    write_csv(captured.limit(0), empty)
+    assert read_alerts_csv(spark, empty).count() == 0  # and nothing left of the older table
+    assert read_alerts_csv(spark, empty).columns == back.columns
+
+
+def test_csv_of_other_writers(spark, tmp_path):
+    """The dialect that spreadsheets and most languages' csv modules write."""
+    details = ['plain', 'a "quoted", word', 'two\nlines', '', 'back\\slash', ',,']
+    lines = [(i, 1704067200000 + i, "r", "Low", "10.0.0.1", "10.0.0.2", d, "Cep") for i, d in enumerate(details)]
+    path = tmp_path / "alerts.csv"
+    with path.open("w", newline="") as out:
+        writer = csv.writer(out)
+        writer.writerow(CAPTURED_ALERT.names)
+        writer.writerows(lines)
+    got = {r["id"]: r for r in read_alerts_csv(spark, str(path)).collect()}
+    assert [got[i]["detail"] or "" for i in range(len(details))] == details
+    assert all(r["detector"] == "Cep" for r in got.values())
+    ours = str(tmp_path / "ours")
+    write_csv(spark.createDataFrame(lines, CAPTURED_ALERT).coalesce(1), ours)
+    (part,) = Path(ours).glob("*.csv")
+    with part.open(newline="") as rows_:
+        assert [tuple(r) for r in csv.reader(rows_)][1:] == [tuple(map(str, line)) for line in lines]
+    path.write_text(path.read_text() + "not a number,1,r,Low,a,b,c,Cep\n")
+    with pytest.raises(Exception, match="MALFORMED|Malformed"):
+        read_alerts_csv(spark, str(path)).collect()
 
 
 def test_json(spark, table):
@@ -167,7 +194,13 @@ def test_json(spark, table):
     assert spark.read.json(path).count() == 1
 
 
-def test_incremental_capture_equals_polling(table):
+def test_capture_takes_every_alert_once(table):
+    numbered = al.number_alerts(table([(100 * i, "AB"[i % 2], "r", "Low") for i in range(200)]))
+    got = captured_by_polls(numbered, 3000)
+    assert rows(got, "packet_id", "poll_ms") == [(i, (100 * i // 3000 + 1) * 3000) for i in range(200)]
+
+
+def test_pages_that_are_asked_for_equal_polling(table):
     entries = [(100 * i + 1000 * (i // 40), "AB"[i % 2], "r", "Low") for i in range(200)]
     numbered = al.number_alerts(table(entries))
     every = sorted(map(tuple, numbered.select(*al.ARRIVAL, "id", "detector").collect()))

@@ -69,7 +69,8 @@ def test_clock(spark):
     df = spark.createDataFrame([(4999,), (5000,), (-1,)], "ms long")
     assert rows(df, "ms", clock.window_start(5000, "ms"), clock.floor_div("ms", 5000)) == [
         (-1, -5000, -1), (4999, 0, 0), (5000, 5000, 1)]
-    assert [clock.duration_text(ms) for ms in (5000, 1500, 250)] == ["5s", "1.5s", "250ms"]
+    assert [clock.duration_text(ms) for ms in (5000, 1500, 250, 1_234_567, 1_000_000_000, 1005)] == [
+        "5s", "1.5s", "250ms", "1234.567s", "1000000s", "1.005s"]
     got = spark.range(1).select(F.unix_micros(clock.seconds_to_ts(F.lit(1785439205.219682)))).first()[0]
     assert got == 1785439205219682
 

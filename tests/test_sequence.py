@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import random
 
 import pytest
@@ -12,24 +13,21 @@ from wiresift.operators.sequence import pair_counts, sequence_alerts, step_match
 from wiresift.rules import SequenceRule
 
 
-def by_rule_text(trace, n_steps, within):
-    """The rule's wording, applied literally to one key's (time, id, fulfilled steps) rows."""
-    open_, fired = [], []
-    for time, ident, mask in sorted(trace):
-        open_ = [p for p in open_ if time - p[1] <= within]
-        finished = None
-        for p in reversed(open_):
-            if mask >> p[0] & 1:
-                p[0] += 1
-                if p[0] == n_steps:
-                    finished = p
-                    fired.append((ident, p[1]))
-                    break
-        if finished is not None:
-            open_ = [p for p in open_ if p is not finished]
-        if mask & 1 and n_steps > 1:
-            open_.append([1, time])
-    return fired
+def matched_pairs(trace, within):
+    """Two-step matches of one key's (time, id, mask) rows, from what a match is and not by replaying rows.
+
+    Write an opening for every first step and, before it if a row is both, a
+    closing for every second step. A closing belongs to the nearest opening
+    before it with only complete pairs in between, as brackets do; it counts if the two are near enough.
+    """
+    marks = [(t, i, x) for t, i, mask in sorted(trace) for x in [-1] * (mask >> 1 & 1) + [1] * (mask & 1)]
+    depth = [0, *itertools.accumulate(x for _, _, x in marks)]
+    return [
+        (ident, marks[p][0])
+        for e, (time, ident, x) in enumerate(marks) if x == -1
+        for p in [next((p for p in range(e - 1, -1, -1) if marks[p][2] == 1 and depth[p + 1] == depth[e] and min(depth[p + 1 : e + 1]) == depth[e]), None)]
+        if p is not None and time - marks[p][0] <= within
+    ]
 
 
 @pytest.mark.parametrize("trace, want", [
@@ -88,21 +86,60 @@ def random_marks(seed, sources, n, n_steps, horizon, within):
     return out
 
 
-@pytest.mark.parametrize("seed, n_steps, span", [(1, 2, None), (2, 2, 10), (3, 3, None), (4, 3, 13), (5, 4, 10)])
-def test_random_traces_equal_the_rule_text(spark, seed, n_steps, span):
+@pytest.mark.parametrize("seed, span", [(1, None), (2, 10)])
+def test_random_two_step_traces(spark, seed, span):
     within = 10
-    marks = random_marks(seed, 60, 80, n_steps, 200, within)
+    marks = random_marks(seed, 60, 80, 2, 200, within)
     df = spark.createDataFrame(marks, "src long, at long, ident long, mask long").repartition(5)
     want = sorted(
-        (src, *m) for src in {m[0] for m in marks}
-        for m in by_rule_text([t[1:] for t in marks if t[0] == src], n_steps, within))
-    conditions = [F.col("mask").bitwiseAND(F.lit(1 << i)) != 0 for i in range(n_steps)]
-    tracked = step_matches(df, "src", "at", "ident", conditions, within, span=span)
-    assert rows(tracked, "src", "ident", "started") == want
+        (src, *m) for src in {m[0] for m in marks} for m in matched_pairs([t[1:] for t in marks if t[0] == src], within))
+    conditions = [F.col("mask").bitwiseAND(F.lit(1 << i)) != 0 for i in range(2)]
+    for found in (step_matches, two_step_matches):
+        steps = [conditions] if found is step_matches else conditions
+        assert rows(found(df, "src", "at", "ident", *steps, within, span=span), "src", "ident", "started") == want
     assert len(want) > 50
-    if n_steps == 2:
-        matched = two_step_matches(df, "src", "at", "ident", *conditions, within, span=span)
-        assert rows(matched, "src", "ident", "started") == want
+
+
+# Traces of (time, fulfilled steps) for a rule of three steps within 10, and the (row, start) of each completion, by hand.
+THREE_STEPS = [
+    ("abc", [(0, "a"), (1, "b"), (2, "c")], [(2, 0)]),
+    ("what does not fit in between is passed over", [(0, "a"), (1, "c"), (2, "b"), (3, "a"), (4, "c")], [(4, 0)]),
+    ("a step cannot be skipped", [(0, "a"), (1, "c")], []),
+    ("exactly at the limit", [(0, "a"), (5, "b"), (10, "c")], [(2, 0)]),
+    ("past the limit", [(0, "a"), (5, "b"), (11, "c")], []),
+    ("one b serves all that wait for it", [(0, "a"), (1, "a"), (2, "b"), (3, "c"), (4, "c")], [(3, 1), (4, 0)]),
+    ("the newest that is ready completes", [(0, "a"), (1, "b"), (2, "a"), (3, "b"), (4, "c")], [(4, 2)]),
+    ("the older one is still there afterwards", [(0, "a"), (1, "b"), (2, "a"), (3, "b"), (4, "c"), (5, "c")], [(4, 2), (5, 0)]),
+    ("a row takes a sequence one step on, not two", [(0, "a"), (1, "bc"), (2, "c")], [(2, 0)]),
+    ("the row that completes may begin another", [(0, "a"), (1, "b"), (2, "ac"), (3, "b"), (4, "c")], [(2, 0), (4, 2)]),
+    ("sequences older than the one that completes stay put", [(0, "a"), (1, "a"), (2, "b"), (3, "bc"), (4, "c")], [(3, 1), (4, 0)]),
+    ("the newer ones move on", [(0, "a"), (1, "b"), (2, "a"), (3, "bc"), (4, "c")], [(3, 0), (4, 2)]),
+]
+
+
+@pytest.mark.parametrize("span", [None, 10])
+def test_three_steps_by_hand(spark, span):
+    data = [(k, t, i, sum(1 << "abc".index(x) for x in steps)) for k, (_, trace, _) in enumerate(THREE_STEPS) for i, (t, steps) in enumerate(trace)]
+    df = spark.createDataFrame(data, "src long, at long, ident long, mask long").repartition(3)
+    conditions = [F.col("mask").bitwiseAND(F.lit(1 << i)) != 0 for i in range(3)]
+    got = rows(step_matches(df, "src", "at", "ident", conditions, 10, span=span), "src", "ident", "started")
+    assert got == sorted((k, *m) for k, (_, _, done) in enumerate(THREE_STEPS) for m in done)
+
+
+@pytest.mark.parametrize("seed, n_steps, span", [(3, 3, 13), (4, 3, 10), (5, 4, 10)])
+def test_spans_change_nothing_and_matches_have_their_steps(spark, seed, n_steps, span):
+    within = 10
+    marks = random_marks(seed, 60, 80, n_steps, 200, within)
+    df = spark.createDataFrame(marks, "src long, at long, ident long, mask long").repartition(5)
+    conditions = [F.col("mask").bitwiseAND(F.lit(1 << i)) != 0 for i in range(n_steps)]
+    got = [rows(step_matches(df, "src", "at", "ident", conditions, within, span=s), "src", "ident", "started") for s in (span, 300)]
+    assert got[0] == got[1] and len(got[0]) > 20
+    for src, ident, started in got[0]:
+        own = sorted(m[1:] for m in marks if m[0] == src)
+        end = next(k for k, m in enumerate(own) if m[1] == ident)
+        assert own[end][2] >> (n_steps - 1) & 1 and 0 <= own[end][0] - started <= within
+        inner = [m[2] for m in own[:end] if m[0] >= started]
+        assert any(all(mask >> s & 1 for s, mask in enumerate(c)) for c in itertools.combinations(inner, n_steps - 1))
 
 
 def test_tracker_state_can_be_saved_at_any_row():
@@ -128,8 +165,7 @@ def test_one_source_with_most_rows_is_spread_over_spans(spark, packets):
             ms = second * 1000 + rng.randrange(1000)
             trace.append(exploit(ident, ms) if rng.random() < 0.4 else syn(ident, ms))
     df = packets(trace)
-    want = sorted(i for i, _ in by_rule_text(
-        [(p[1], p[0], 1 if p[7] == 1 else 2) for p in trace], 2, 5000))
+    want = sorted(i for i, _ in matched_pairs([(p[1], p[0], 1 if p[7] == 1 else 2) for p in trace], 5000))
     assert [i for (i,) in rows(sequence_alerts(df), "packet_id")] == want
 
 

@@ -58,3 +58,9 @@ def test_positions_and_counts_against_a_scan(packets):
 def test_matching_needs_no_shuffle(packets):
     plan = signature_alerts(packets([packet(1, 0)]))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_no_rules_give_no_alerts(packets):
+    df = packets([packet(1, 0, payload=b"GET /etc/passwd")])
+    assert signature_alerts(df, []).count() == 0
+    assert signature_alerts(df, []).columns == signature_alerts(df).columns

@@ -127,11 +127,38 @@ def test_positions_cover_all_registers(spark):
     assert r[:4] == (0, 1023, 1024, 1) and 10 < r[4] <= 55
 
 
-def test_registers_needed_for_the_scan_threshold():
-    assert sk.registers_for(25) == 25
-    assert 1024 * math.log(1024 / 1000) < 25 <= 1024 * math.log(1024 / 999)
-    with pytest.raises(ValueError):
-        sk.registers_for(500)
+@pytest.mark.parametrize("threshold", [25, 90, 130, 200, 700])
+def test_scan_alerts_at_any_threshold_follow_the_sketch_packet_by_packet(spark, packets, threshold):
+    ports = [(7919 * i) % 60_000 for i in range(1500)]
+    placed = dict(spark.createDataFrame([(p,) for p in set(ports)], "p int").select("p", sk.hll_position("p").alias("at")).collect())
+    ranks, want, m = {}, None, 1024
+    for i, p in enumerate(ports):
+        bucket, rank = placed[p]
+        ranks[bucket] = max(rank, ranks.get(bucket, 0))
+        empty = m - len(ranks)
+        raw = 0.7213 / (1 + 1.079 / m) * m * m / (empty + sum(2.0**-r for r in ranks.values()))
+        if (m * math.log(m / empty) if empty / m > 0.9 else raw) >= threshold:
+            want = i
+            break
+    df = packets([packet(i, i, dport=p) for i, p in enumerate(ports)])
+    assert rows(sk.hll_port_scans(df, threshold=threshold), "packet_id") == [(want,)]
+
+
+@pytest.mark.parametrize("width, depth", [(2048, 4), (16, 2), (5, 6), (64, 1)])
+def test_flood_alerts_of_any_size_follow_the_sketch_packet_by_packet(spark, packets, width, depth):
+    rng = random.Random(width)
+    trace = [syn(i, rng.randrange(5000), src=rng.choice([1, 2, 2, 2, 3, 4, 5, 6, 7, 8, 9])) for i in range(700)]
+    sources = sorted({p[2] for p in trace})
+    cells = {r["s"]: [tuple(c) for c in r["c"]] for r in spark.createDataFrame([(s,) for s in sources], "s long").select("s", sk.cms_cells("s", width, depth).alias("c")).collect()}
+    counts, alerted, want = {}, set(), []
+    for p in sorted(trace, key=lambda p: (p[1], p[0])):
+        for cell in cells[p[2]]:
+            counts[cell] = counts.get(cell, 0) + 1
+        if p[2] not in alerted and min(counts[c] for c in cells[p[2]]) >= 50:
+            alerted.add(p[2])
+            want.append(p[0])
+    got = sk.cms_syn_floods(packets(trace), threshold=50, width=width, depth=depth)
+    assert [i for (i,) in rows(got, "packet_id")] == sorted(want)
 
 
 def test_scan_alerts_on_estimates_follow_the_running_sketch(spark, packets):

@@ -9,8 +9,9 @@ from wiresift.functions.net import payload_contains, port_above, syn_only
 from wiresift.operators.rates import port_scans, syn_counts, syn_floods
 from wiresift.operators.sequence import sequence_alerts
 from wiresift.operators.signature import signature_alerts
+from wiresift.operators.telemetry import events_per_sec
 from wiresift.rules import SequenceRule
-from wiresift.schema import ALERT, EVENT
+from wiresift.schema import ALERT, EVENT, STATS
 from wiresift.scratch import scratch_dir
 from wiresift.sources.tables import stream_events
 from wiresift.streaming import processors, run, windows
@@ -108,6 +109,22 @@ def test_signatures_and_counters(spark, packets, landed):
     assert rows(stored, *ALERT_COLUMNS) == rows(want, *ALERT_COLUMNS)
 
 
+def test_late_packets_count_one_by_one_and_feed_the_telemetry(spark, packets):
+    path, root = scratch_dir(spark, "test-late-many"), scratch_dir(spark, "test-late-many-out")
+    packets([syn(1, 100_000)]).coalesce(1).write.parquet(path)
+    late = [syn(10 + i, 5_000 + i % 3) for i in range(100)]
+    run.run_with_counters(stream_events(spark, path), signature_alerts, root, f"{root}/checkpoint", lateness_ms=1000)
+    packets([syn(2, 200_000), *late, syn(3, 99_500)]).coalesce(1).write.mode("append").parquet(path)
+    run.run_with_counters(stream_events(spark, path), signature_alerts, root, f"{root}/checkpoint", lateness_ms=1000)
+    counters = run.read_counters(spark, root)
+    assert rows(counters, "batch_id", "events_processed", "events_dropped") == [(0, 1, 0), (1, 102, 100)]
+    series = run.counter_series(counters, "r")
+    assert series.schema.names == STATS.names
+    assert rows(series, "events_processed", "events_dropped") == [(1, 0), (103, 100)]
+    rates = [r["events_per_sec"] for r in events_per_sec(series).orderBy("poll_time").collect()]
+    assert rates[0] is None and rates[1] > 0
+
+
 def test_late_packets_are_counted_as_dropped(spark, packets):
     path, root = scratch_dir(spark, "test-late"), scratch_dir(spark, "test-late-out")
     packets([syn(1, 100_000)]).coalesce(1).write.parquet(path)

@@ -34,5 +34,8 @@ def window_start(width_ms: int, ms: Column | str = "timestamp_ms") -> Column:
 
 
 def duration_text(ms: int) -> str:
-    """5000 as '5s', 1500 as '1.5s', 250 as '250ms'."""
-    return f"{ms / 1000:g}s" if ms >= 1000 else f"{ms}ms"
+    """5000 as '5s', 1500 as '1.5s', 250 as '250ms', 1234567 as '1234.567s'."""
+    if ms < 1000:
+        return f"{ms}ms"
+    seconds, rest = divmod(ms, 1000)
+    return f"{seconds}.{rest:03d}".rstrip("0") + "s" if rest else f"{seconds}s"

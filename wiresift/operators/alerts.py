@@ -9,8 +9,8 @@ from wiresift.functions.net import ip_to_string
 from wiresift.operators.ordered import running_total
 from wiresift.schema import ALERT, ALERT_KEY, ARRIVAL, CAPTURED_ALERT
 
-# Default and largest page of the latest-alerts query, and how
-# many alerts the store keeps.
+# Default page of the latest-alerts query, and how many alerts the
+# store keeps.
 LATEST_DEFAULT = 200
 STORE_SIZE = 5000
 
@@ -70,8 +70,8 @@ def newest_first() -> list[Column]:
 
 
 def latest_alerts(alerts: DataFrame, limit: int = LATEST_DEFAULT) -> DataFrame:
-    """The newest alerts, newest first; ``limit`` is at most the store size."""
-    return alerts.orderBy(*newest_first()).limit(min(limit, STORE_SIZE))
+    """The newest ``limit`` alerts, newest first."""
+    return alerts.orderBy(*newest_first()).limit(limit)
 
 
 def retain(alerts: DataFrame, keep: int = STORE_SIZE) -> DataFrame:

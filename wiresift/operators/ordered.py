@@ -7,19 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Spark cuts each map task's share of a group to k rows before the shuffle
-# (WindowGroupLimit) only for k up to this value.
-GROUP_LIMIT = 1000
+# (WindowGroupLimit) only for k up to this setting.
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 SALTS = 64
 
 
 def kth_row(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int) -> DataFrame:
     """The k-th row of each group in ``order``; groups with fewer rows give none.
 
-    No task ever receives a whole group: up to ``GROUP_LIMIT`` Spark keeps k
-    rows per group and map task before shuffling, and beyond it a first pass
-    over salted groups keeps k rows of each salt.
+    No task ever receives a whole group: up to the session's ``GROUP_LIMIT``
+    Spark keeps k rows per group and map task before shuffling, and beyond it a
+    first pass over salted groups keeps k rows of each salt.
     """
-    if k > GROUP_LIMIT:
+    if k > int(df.sparkSession.conf.get(GROUP_LIMIT)):
         df = (
             df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
             .withColumn("_n", F.row_number().over(

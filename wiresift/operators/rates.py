@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, functions as F
 
 from wiresift.functions.clock import duration_text, ms_to_ts, window_start
@@ -68,13 +70,20 @@ def port_counts(events: DataFrame, width_ms: int = WINDOW_MS) -> DataFrame:
 def first_sightings(events: DataFrame, item: str, width_ms: int = WINDOW_MS) -> DataFrame:
     """The first packet per source, window and value of ``item``.
 
-    A minimum, so each map task sends one row per group at most.
+    A minimum, so each map task sends one row per group at most. Time and
+    packet id are one decimal, which a hash aggregate can keep: nothing is
+    sorted on the map side.
     """
-    first = F.min(F.struct("timestamp_ms", "packet_id", "dst_ip"))
+    shift, unsigned = F.lit(Decimal(10**20)), F.lit(Decimal(2**63))
+    order = F.col("timestamp_ms").cast("decimal(17,0)") * shift + (F.col("packet_id").cast("decimal(19,0)") + unsigned)
+    first = F.col("_first")
     return (
         events.groupBy("src_ip", window_start(width_ms).alias("window_start_ms"), item)
-        .agg(first.alias("first"))
-        .select("src_ip", "window_start_ms", item, "first.*")
+        .agg(F.min(order.cast("decimal(38,0)")).alias("_first"), F.min_by("dst_ip", order.cast("decimal(38,0)")).alias("dst_ip"))
+        .select(
+            "src_ip", "window_start_ms", item,
+            F.floor(first / shift).cast("long").alias("timestamp_ms"),
+            (first % shift - unsigned).cast("long").alias("packet_id"), "dst_ip")
     )
 
 

@@ -12,11 +12,12 @@ from wiresift.rules import DEFAULT_SIGNATURES, SignatureRule
 
 # Bytes per block when locating occurrences.
 BLOCK = 64
+RULES = "array<struct<rule_id:int,rule_name:string,severity:string,pattern:binary>>"
 
 
 def contains_any(payload: Column, rules: Sequence[SignatureRule]) -> Column:
     """Whether a payload contains at least one of the patterns."""
-    return reduce(lambda a, b: a | b, [payload.contains(F.lit(bytearray(r.pattern))) for r in rules])
+    return reduce(lambda a, b: a | b, [payload.contains(F.lit(bytearray(r.pattern))) for r in rules], F.lit(False))
 
 
 def _rule_array(rules: Sequence[SignatureRule]) -> Column:
@@ -29,7 +30,7 @@ def _rule_array(rules: Sequence[SignatureRule]) -> Column:
             F.lit(bytearray(r.pattern)).alias("pattern"),
         )
         for i, r in enumerate(rules)
-    ])
+    ]).cast(RULES)
 
 
 def signature_hits(

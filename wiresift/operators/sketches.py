@@ -7,10 +7,9 @@ is a join. Windows play the part of clearing: each has its own cells.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wiresift.functions.clock import floor_div, window_start
 from wiresift.functions.net import syn_only, with_shard
@@ -41,15 +40,20 @@ HLL_SPARSE = 0.9  # share of empty registers above which linear counting is used
 
 # --- Count-Min ---------------------------------------------------------------
 
+def cms_hash(row: int) -> tuple[int, int]:
+    """Multiplier and offset of a hash row; those past the named ones follow a rule."""
+    if row < len(CMS_HASHES):
+        return CMS_HASHES[row]
+    return (536870912 + 15485863 * row) % 1073741789, 104729 * row
+
+
 def cms_cells(key: str, width: int = CMS_WIDTH, depth: int = CMS_DEPTH) -> Column:
     """Array of (cms_row, cell), one per hash row."""
-    if depth > len(CMS_HASHES):
-        raise ValueError(f"at most {len(CMS_HASHES)} hash rows are defined")
     k = F.col(key).cast("long")
     return F.array(*[
         F.struct(F.lit(r).alias("cms_row"),
                  F.pmod(F.pmod(k * a + b, F.lit(MODULUS)), F.lit(width)).cast("int").alias("cell"))
-        for r, (a, b) in enumerate(CMS_HASHES[:depth])
+        for r, (a, b) in enumerate(map(cms_hash, range(depth)))
     ])
 
 
@@ -102,18 +106,26 @@ def cms_syn_floods(
     threshold: int = SYN_FLOOD_THRESHOLD,
     width_ms: int = WINDOW_MS,
     slice_ms: int = CELL_SLICE_MS,
+    width: int = CMS_WIDTH,
+    depth: int = CMS_DEPTH,
 ) -> DataFrame:
     """One alert per source and window, when its running estimate reaches the threshold.
 
     The estimate after a SYN is the least running count among its source's
-    cells, which other sources share, so it may jump past the threshold. The
-    running counts are taken per time slice of a cell, and only rows at or past
-    the threshold go on.
+    cells, which other sources share, so it may jump past the threshold. Only
+    sources whose estimate ends at or past the threshold can reach it: cells
+    are totalled per window first, and running counts, per time slice of a
+    cell, are taken in the cells of those sources alone.
     """
+    key, size = ["window_start_ms"], {"width": width, "depth": depth}
+    counts = syn_counts(events, width_ms)
+    table = cms_table(counts, "src_ip", "n_syn", key, **size)
+    over = cms_lookup(counts, "src_ip", table, key, **size).where(F.col("n_estimate") >= threshold).select("src_ip", *key)
+    wanted = over.select(*key, F.inline(cms_cells("src_ip", **size))).distinct()
     syns = events.where(syn_only()).select(
         "packet_id", "timestamp_ms", "src_ip", "dst_ip",
         window_start(width_ms).alias("window_start_ms"))
-    cells = syns.select("*", F.inline(cms_cells("src_ip")))
+    cells = syns.select("*", F.inline(cms_cells("src_ip", **size))).join(wanted, [*key, "cms_row", "cell"], "left_semi")
     filled = running_total(
         cells,
         keys=["window_start_ms", "cms_row", "cell"],
@@ -124,10 +136,10 @@ def cms_syn_floods(
     )
     packet = ["src_ip", "window_start_ms", "timestamp_ms", "packet_id", "dst_ip"]
     reached = (
-        filled.where(F.col("n_cell") >= threshold)
+        filled.where(F.col("n_cell") >= threshold).join(over, ["src_ip", *key], "left_semi")
         .groupBy(*packet)
         .agg(F.count("*").alias("n_rows"), F.min("n_cell").alias("n_estimate"))
-        .where(F.col("n_rows") == CMS_DEPTH)
+        .where(F.col("n_rows") == depth)
     )
     crossing = kth_row(reached, ["src_ip", "window_start_ms"], ["timestamp_ms", "packet_id"], 1)
     return to_alert(
@@ -194,28 +206,21 @@ def hll_estimate(
     use and about 2.5 values per register the raw estimate is then too high.
     ``textbook`` applies linear counting up to that point instead.
     """
-    m = float(1 << bits)
-    alpha = 0.7213 / (1.0 + 1.079 / m)  # fixed values of the estimator
-    empty = F.lit(m) - F.col("n_used")
-    raw = F.lit(alpha * m * m) / (empty + F.col("inverse_sum"))
-    sparse = (empty > 0) & (raw <= 2.5 * m) if textbook else empty / m > HLL_SPARSE
-    linear = F.lit(m) * F.log(F.lit(m) / empty)
     return (
         registers.groupBy(*keys)
         .agg(F.count("*").alias("n_used"), F.sum(F.pow(F.lit(2.0), -F.col("rank"))).alias("inverse_sum"))
-        .select(*keys, F.when(sparse, linear).otherwise(raw).alias("n_estimate"))
+        .select(*keys, hll_formula(bits, textbook).alias("n_estimate"))
     )
 
 
-def registers_for(threshold: float, bits: int = HLL_BITS) -> int:
-    """How many registers must be in use for the sparse estimate to reach ``threshold``."""
-    m = 1 << bits
-    used = 1
-    while (m - used) / m > HLL_SPARSE:
-        if m * math.log(m / (m - used)) >= threshold:
-            return used
-        used += 1
-    raise ValueError(f"threshold {threshold} lies beyond the sparse range of {m} registers")
+def hll_formula(bits: int, textbook: bool = False) -> Column:
+    """The estimate from ``n_used`` registers and the sum of 2 to the minus rank over them."""
+    m = float(1 << bits)
+    alpha = 0.7213 / (1.0 + 1.079 / m)  # fixed values of the estimator
+    empty = F.lit(m) - F.col("n_used")
+    raw = F.lit(alpha * m * m) / (empty + F.col("inverse_sum"))
+    sparse = (empty > 0) & (raw <= 2.5 * m) if textbook else empty / m > HLL_SPARSE
+    return F.when(sparse, F.lit(m) * F.log(F.lit(m) / empty)).otherwise(raw)
 
 
 def hll_port_scans(
@@ -223,21 +228,27 @@ def hll_port_scans(
 ) -> DataFrame:
     """Port-scan alerts on the running estimate instead of the exact distinct count.
 
-    The sparse estimate depends only on how many registers are in use, so the
-    alert falls on the packet that first uses the register that makes it reach
-    the threshold. Ports that share a register delay it.
+    The estimate changes only where a packet raises a register. The first
+    packets per register and rank give these steps, at most a few dozen a
+    register; their running sums give the estimate after each, and the first
+    at or past the threshold alerts.
     """
-    m, used = 1 << bits, registers_for(threshold, bits)
-    placed = events.select(
-        "src_ip", "timestamp_ms", "packet_id", "dst_ip",
-        hll_position("dst_port", bits)["bucket"].alias("bucket"))
-    crossing = kth_row(
-        first_sightings(placed, "bucket", width_ms),
-        ["src_ip", "window_start_ms"], ["timestamp_ms", "packet_id"], used)
-    estimate = round(m * math.log(m / (m - used)))
+    m = float(1 << bits)
+    group, arrival = ["src_ip", "window_start_ms"], ["timestamp_ms", "packet_id"]
+    place = hll_position("dst_port", bits)
+    placed = events.select("src_ip", *arrival, "dst_ip", (place["bucket"] * 64 + place["rank"]).alias("placed"))
+    seen = first_sightings(placed, "placed", width_ms).withColumn("bucket", F.floor(F.col("placed") / 64)).withColumn("rank", F.col("placed") % 64)
+    before = F.max("rank").over(Window.partitionBy(*group, "bucket").orderBy(*arrival).rowsBetween(Window.unboundedPreceding, -1))
+    steps = seen.withColumn("_before", before).where(F.col("_before").isNull() | (F.col("rank") > F.col("_before")))
+    upto = Window.partitionBy(*group).orderBy(*arrival).rowsBetween(Window.unboundedPreceding, 0)
+    half = lambda c: F.pow(F.lit(2.0), -F.col(c))
+    running = steps.withColumn("n_used", F.sum(F.col("_before").isNull().cast("int")).over(upto)).withColumn(
+        "inverse_sum", F.sum(half("rank") - F.coalesce(half("_before"), F.lit(0.0))).over(upto))
+    reached = running.withColumn("n_estimate", hll_formula(bits)).where(F.col("n_estimate") >= threshold - 1e-9)
+    crossing = kth_row(reached, group, arrival, 1)
     return to_alert(
         crossing, PORT_SCAN_RULE, PORT_SCAN_SEVERITY,
-        scan_detail(F.lit(estimate), width_ms), "Anomaly", stage=3)
+        scan_detail(F.round("n_estimate").cast("long"), width_ms), "Anomaly", stage=3)
 
 
 def builtin_port_sketches(events: DataFrame, width_ms: int = WINDOW_MS, bits: int = HLL_BITS) -> DataFrame:

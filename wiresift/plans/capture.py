@@ -1,4 +1,4 @@
-"""Incremental capture: what repeated polls of the latest alerts would collect."""
+"""Incremental capture: what repeated polls of the alert store collect."""
 
 from __future__ import annotations
 
@@ -8,25 +8,23 @@ from wiresift.functions.clock import floor_div
 from wiresift.operators.ordered import running_total
 from wiresift.schema import ARRIVAL
 
-# Fixed value: how many alerts a poll asks for.
-POLL_LIMIT = 2000
-
 
 def captured_by_polls(
-    numbered: DataFrame, interval_ms: int, limit: int = POLL_LIMIT, slice_ms: int = 60000
+    numbered: DataFrame, interval_ms: int, page: int | None = None, slice_ms: int = 60000
 ) -> DataFrame:
-    """Alerts that a poller sees which asks for the newest ``limit`` every interval.
+    """Every alert once, with ``poll_ms``: the time of the first poll after it.
 
-    A poll at the end of an interval returns the newest alerts up to then, and
-    only those it does not have yet are kept. An alert is therefore captured,
-    at the first poll after it, unless ``limit`` or more alerts followed it in
-    the same interval; later polls cannot bring it back. ``poll_ms`` is the
-    time of the poll that captures it.
+    Polls come at the end of each interval and keep what they do not have yet.
+    A ``page`` must be asked for: each poll then sees the newest ``page``
+    alerts only, and what more than that many followed in its interval is lost
+    to the capture.
     """
-    newest = numbered.withColumn("poll_ms", (floor_div("timestamp_ms", interval_ms) + 1) * interval_ms)
+    polled = numbered.withColumn("poll_ms", (floor_div("timestamp_ms", interval_ms) + 1) * interval_ms)
+    if page is None:
+        return polled
     # Rank from the newest backwards: order and slices run on negated values.
     back = [f"_back_{c}" for c in ARRIVAL if c != "rule_name"]
-    negated = newest.withColumns({b: -F.col(b.removeprefix("_back_")) for b in back})
+    negated = polled.withColumns({b: -F.col(b.removeprefix("_back_")) for b in back})
     ranked = running_total(
         negated,
         keys=["poll_ms"],
@@ -35,7 +33,7 @@ def captured_by_polls(
         value=F.lit(1),
         name="_rank",
     )
-    return ranked.where(F.col("_rank") <= limit).select(*numbered.columns, "poll_ms")
+    return ranked.where(F.col("_rank") <= page).select(*numbered.columns, "poll_ms")
 
 
 def poll_counts(captured: DataFrame) -> DataFrame:

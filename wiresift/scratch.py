@@ -7,16 +7,19 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+SHARED = "spark.checkpoint.dir"
+
 
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder name below the session's ``spark.checkpoint.dir``.
 
-    All executors must see the folder, so a machine-local one is used only when
-    the setting is absent and the session itself is local, as in tests.
+    All executors must see the folder. A cluster session that names none is
+    refused; a local one gets a folder of its own, once.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get(SHARED, None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError(f"set {SHARED} to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="wiresift-")
+        spark.conf.set(SHARED, base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from wiresift.functions.clock import ms_to_ts, seconds_to_ts
 from wiresift.schema import CAPTURED_ALERT, EVENT, STATS
 
 
+# The usual dialect: fields with commas, quotes or line breaks are quoted, and a
+# quote in one is doubled. A row that does not fit the schema ends the reading.
+CSV = {"header": True, "quote": '"', "escape": '"'}
+CSV_IN = {**CSV, "multiLine": True, "mode": "FAILFAST"}
+
+
+def read_csv(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
+    """A CSV table; where none was written, an empty one."""
+    try:
+        return spark.read.schema(schema).options(**CSV_IN).csv(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """A parquet table of packet events."""
     return spark.read.schema(EVENT).parquet(path)
@@ -27,7 +44,7 @@ def stream_events(spark: SparkSession, path: str, max_files_per_trigger: int | N
 
 def read_alerts_csv(spark: SparkSession, path: str) -> DataFrame:
     """Captured alerts, with ``ts`` from the millisecond column."""
-    df = spark.read.schema(CAPTURED_ALERT).option("header", True).csv(path)
+    df = read_csv(spark, CAPTURED_ALERT, path)
     return df.withColumn("ts", ms_to_ts("timestamp_ms"))
 
 
@@ -38,21 +55,19 @@ def read_stats_csv(spark: SparkSession, path: str, run_id: str | None = None) ->
     """
     fields = [f for f in STATS if run_id is None or f.name != "run_id"]
     schema = T.StructType(fields)
-    df = spark.read.schema(schema).option("header", True).csv(path)
+    df = read_csv(spark, schema, path)
     if run_id is not None:
         df = df.select(F.lit(run_id).alias("run_id"), "*")
     return df.withColumn("ts", seconds_to_ts("poll_time"))
 
 
-def write_csv(df: DataFrame, path: str) -> bool:
-    """Write a table as CSV with a header; an empty one writes nothing.
+def write_csv(df: DataFrame, path: str) -> None:
+    """Write a table as CSV with a header, in place of any older one.
 
-    Returns whether anything was written.
+    Files without rows hold nothing, not even a header; the readers give an
+    empty table for them.
     """
-    if df.isEmpty():
-        return False
-    df.write.mode("overwrite").option("header", True).csv(path)
-    return True
+    df.write.mode("overwrite").options(**CSV).option("emptyValue", '""').csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:

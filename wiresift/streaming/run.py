@@ -6,11 +6,11 @@ import time
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, SparkSession, Window, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
-from wiresift.schema import ALERT_KEY, EVENT
+from wiresift.schema import ALERT_KEY, EVENT, STATS
 from wiresift.scratch import scratch_dir
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -23,8 +23,11 @@ CLOSING = (-1, CLOSING_MS, 0, 0, 0, 0, "Tcp", 1, b"")
 
 COUNTERS = T.StructType([
     T.StructField("batch_id", T.LongType()),
+    T.StructField("poll_time", T.DoubleType()),
     T.StructField("events_processed", T.LongType()),
+    T.StructField("events_dropped", T.LongType()),
     T.StructField("alerts_fired", T.LongType()),
+    T.StructField("latest_ms", T.LongType()),
 ])
 
 
@@ -83,22 +86,33 @@ def drain(packets: DataFrame, build: Callable[[DataFrame], DataFrame], name: str
 
 
 def run_with_counters(
-    packets: DataFrame, detect: Callable[[DataFrame], DataFrame], path: str, checkpoint: str
+    packets: DataFrame, detect: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, lateness_ms: int = 10_000
 ) -> StreamingQuery:
-    """Append a stateless detector's alerts and count packets and alerts per micro-batch.
-
-    Both are counted while they stream through to the alert sink, in one pass.
-    A batch that is run again after a failure replaces what it wrote before.
+    """Append a stateless detector's alerts and count packets, late packets and alerts per micro-batch.
+
+    All are counted while they stream through to the alert sink, in one pass. A
+    packet is late, and counted as dropped, if it is more than ``lateness_ms``
+    older than the newest of the batches before: a window that ended before
+    that time would not take it. Every late packet counts, however many share a
+    source and window. A batch that is run again after a failure replaces what
+    it wrote before.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark, before = batch.sparkSession, None
+        if batch_id:
+            earlier = read_counters(spark, path).where(F.col("batch_id") < batch_id)
+            before = earlier.agg(F.max("latest_ms").alias("ms")).first()["ms"]
+        mark = F.lit(None if before is None else before - lateness_ms).cast("long")
         seen, fired = Observation(), Observation()
-        alerts = detect(batch.observe(seen, F.count(F.lit(1)).alias("n")))
-        alerts.observe(fired, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(
+        counted = batch.observe(
+            seen, F.count(F.lit(1)).alias("n"), F.count_if(F.col("timestamp_ms") < mark).alias("late"),
+            F.max("timestamp_ms").alias("latest"))
+        detect(counted).observe(fired, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(
             f"{path}/alerts/batch_id={batch_id}")
-        row = (batch_id, seen.get["n"], fired.get["n"])
-        batch.sparkSession.createDataFrame([row], COUNTERS).write.mode("overwrite").parquet(
-            f"{path}/counters/part={batch_id}")
+        latest = [ms for ms in (before, seen.get["latest"]) if ms is not None]
+        row = (batch_id, time.time(), seen.get["n"], seen.get["late"], fired.get["n"], max(latest, default=None))
+        spark.createDataFrame([row], COUNTERS).write.mode("overwrite").parquet(f"{path}/counters/part={batch_id}")
 
     query = (
         packets.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
@@ -109,15 +123,25 @@ def run_with_counters(
 
 
 def read_counters(spark: SparkSession, path: str) -> DataFrame:
+    """One row per micro-batch."""
     return spark.read.schema(COUNTERS).parquet(f"{path}/counters")
 
 
+def counter_series(counters: DataFrame, run_id: str) -> DataFrame:
+    """The counters as running totals in the schema of polled stats; one row per micro-batch."""
+    upto = Window.partitionBy("run_id").orderBy("batch_id").rowsBetween(Window.unboundedPreceding, 0)
+    totals = {c: F.sum(c).over(upto) for c in ("events_processed", "events_dropped", "alerts_fired")}
+    series = counters.withColumn("run_id", F.lit(run_id)).withColumns(totals)
+    return series.withColumn("queue_backpressure_events", F.col("events_dropped")).select(*STATS.names)
+
+
 class StreamTotals(StreamingQueryListener):
     """Running totals over all stream queries of a session, however long they run.
 
-    Register with ``spark.streams.addListener``. ``dropped`` counts the rows
-    that came after the watermark had passed them: a stream reads its source no
-    faster than it can, so these are the only events it ever drops.
+    Register with ``spark.streams.addListener``. ``dropped`` is what Spark
+    reports as dropped by the watermark: packets for keyed processors, but for
+    window aggregates the rows left after a task has combined its packets.
+    ``run_with_counters`` counts late packets themselves.
     """
 
     def __init__(self):
@@ -141,9 +165,11 @@ class StreamTotals(StreamingQueryListener):
         self.finished.add(str(event.runId))
 
     def await_end(self, query: StreamingQuery, seconds: float = 30.0) -> None:
-        """Wait until the end of a terminated query has been reported."""
+        """Wait until the end of a terminated query has been reported; the totals are short before."""
         deadline = time.monotonic() + seconds
-        while str(query.runId) not in self.finished and time.monotonic() < deadline:
+        while str(query.runId) not in self.finished:
+            if time.monotonic() >= deadline:
+                raise TimeoutError(f"the end of {query.runId} was not reported within {seconds} s")
             time.sleep(0.05)
 
 

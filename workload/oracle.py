@@ -53,22 +53,22 @@ _cte("base", """
 
 _cte("shapes", """
   SELECT event_id, user_id, 0 AS slot, t0 AS timestamp_ms,
-         CASE event_id % 4 WHEN 0 THEN 80 WHEN 1 THEN 443 WHEN 2 THEN 22 ELSE 53 END AS dst_port,
-         3 AS flags, 'GET /index.html HTTP/1.1' AS payload
+         CASE event_id % 4 WHEN 0 THEN 8080 WHEN 1 THEN 8443 WHEN 2 THEN 2222 ELSE 853 END AS dst_port,
+         3 AS flags, 'HEAD /status HTTP/1.0' AS payload
   FROM base
   UNION ALL
   SELECT event_id, user_id, 100 + i, t0 + 10 * i, 80, 1, ''
   FROM (SELECT *, unnest(range(0, 30 + k % 60)) AS i FROM base
         WHERE event_type = 'error' AND event_id % 5 = 0)
   UNION ALL
-  SELECT event_id, user_id, 300 + i, t0 + 10 * i, 1000 + 7 * i, 1, ''
+  SELECT event_id, user_id, 300 + i, t0 + 10 * i, 2000 + 11 * i, 1, ''
   FROM (SELECT *, unnest(range(0, 15 + k % 30)) AS i FROM base
         WHERE event_type = 'signup' AND event_id % 5 = 1)
   UNION ALL
   SELECT event_id, user_id, 500, t0 + 1, 80, 3,
-         CASE k % 6 WHEN 0 THEN 'GET /../../etc/passwd HTTP/1.1' WHEN 1 THEN 'id=1 UNION SELECT 1'
-                    WHEN 2 THEN '<script>alert(1)</script>' WHEN 3 THEN 'run cmd.exe /c dir'
-                    WHEN 4 THEN 'GET /../../../x' ELSE 'union select' END
+         CASE k % 6 WHEN 0 THEN 'POST /files?name=../../etc/passwd' WHEN 1 THEN 'q=9'' UNION SELECT name'
+                    WHEN 2 THEN 'say <script>alert(''hi'')</script>' WHEN 3 THEN 'start cmd.exe /q'
+                    WHEN 4 THEN 'PUT /a/../../../b' ELSE 'union select name' END
   FROM base WHERE event_type = 'click' AND event_id % 5 = 2
   UNION ALL
   SELECT event_id, user_id, 600 + i, t0 + 1 + i, 80, 1, ''
@@ -76,19 +76,20 @@ _cte("shapes", """
         WHERE event_type = 'purchase' AND event_id % 5 = 3)
   UNION ALL
   SELECT event_id, user_id, 700 + i, t0 + 1 + (k % 8) * 1000 + i, 80, 3,
-         'GET /../../etc/passwd HTTP/1.1'
+         'POST /files?name=../../etc/passwd'
   FROM (SELECT *, unnest(range(0, CASE WHEN k % 3 = 0 THEN 2 ELSE 1 END)) AS i FROM base
         WHERE event_type = 'purchase' AND event_id % 5 = 3)""", "base")
 
 _cte("packets", """
   SELECT CAST(event_id * 1000 + slot AS BIGINT) AS packet_id,
          CAST(timestamp_ms AS BIGINT) AS timestamp_ms,
-         CAST(167772160 + user_id AS BIGINT) AS src_ip, CAST(3232235777 AS BIGINT) AS dst_ip,
+         CAST(2886729728 + user_id AS BIGINT) AS src_ip, CAST(3325256714 AS BIGINT) AS dst_ip,
          CAST(1024 + (event_id * 1000 + slot) % 64511 AS INTEGER) AS src_port,
          CAST(dst_port AS INTEGER) AS dst_port, 'Tcp' AS protocol,
          CAST(flags AS INTEGER) AS flags, payload
   FROM shapes""", "shapes")
 
+# The default rules' names, patterns and severities.
 _cte("rules", """
   SELECT * FROM (VALUES
     ('path-traversal-passwd', '/etc/passwd', 'High'),
@@ -357,10 +358,8 @@ ORACLE = {
         detector, timestamp_ms AS ts_ms FROM numbered""", "numbered"),
     "stats_scan": _with("""SELECT run_id, poll_time, events_processed, events_dropped, alerts_fired,
         queue_backpressure_events, CAST(poll_time * 1000 AS BIGINT) AS ts_ms FROM stats""", "stats"),
-    "incremental_capture": _with(f"""SELECT poll_ms, id, detector, rule_name, timestamp_ms, src_ip FROM (
-        SELECT *, row_number() OVER (PARTITION BY poll_ms ORDER BY {ARRIVAL_DESC}) AS back
-        FROM (SELECT *, (timestamp_ms // 86400000 + 1) * 86400000 AS poll_ms FROM numbered))
-        WHERE back <= 50""", "numbered"),
+    "incremental_capture": _with(f"""SELECT CAST((timestamp_ms // 86400000 + 1) * 86400000 AS BIGINT) AS poll_ms,
+        id, detector, rule_name, timestamp_ms, src_ip FROM numbered""", "numbered"),
     "alerts_json": _with(f"""SELECT detector, id, CAST(to_json({{{_JSON_FIELDS}}}) AS VARCHAR) AS alert_json
         FROM numbered""", "numbered"),
     "rule_catalogue": _with(f"""SELECT name, c.detector, description, count(a.rule_name) AS n_alerts

@@ -1,7 +1,7 @@
 """The library's operators as named queries over the given tables.
 
 Each takes a session and a folder of parquet tables. Packets, alerts, counters
-and frames are derived from the whole ``events`` table (see sources/trace.py);
+and frames are derived from the whole ``events`` table (see trace.py);
 pages and conversations are used as they are.
 """
 
@@ -18,12 +18,12 @@ from wiresift.plans.detection import all_alerts, store_suspects
 from wiresift.rules import DEFAULT_SEQUENCE, SignatureRule, catalogue
 from wiresift.schema import ALERT, CAPTURED_ALERT, STATS
 from wiresift.scratch import scratch_dir
-from wiresift.sources import tables, trace
+from wiresift.sources import tables
 from wiresift.streaming import processors, run, windows
+from workload import trace
 
 DAY_MS = 86400000
 SEEN_BEFORE_MS = 1705363200000  # 2024-01-16: what an earlier capture already holds
-POLL_PAGE = 50  # alerts per daily poll
 PAGE_RULES = (
     SignatureRule("script-tag", b"<script>", "Low"),
     SignatureRule("root-link", b'href="/', "Low"),
@@ -98,7 +98,7 @@ def stats_scan(spark, sf_dir):
 
 
 def incremental_capture(spark, sf_dir):
-    return captured_by_polls(numbered(spark, sf_dir), DAY_MS, POLL_PAGE).select(
+    return captured_by_polls(numbered(spark, sf_dir), DAY_MS).select(
         "poll_ms", "id", "detector", "rule_name", "timestamp_ms", "src_ip")
 
 
@@ -405,18 +405,10 @@ def _drained(name, build):
 
 
 def stream_stats(spark, sf_dir):
-    root, totals = scratch_dir(spark, "stream-stats"), run.StreamTotals()
-    spark.streams.addListener(totals)
-    try:
-        query = run.run_with_counters(
-            packet_stream(spark, sf_dir), signature.signature_alerts, root, f"{root}/checkpoint")
-        totals.await_end(query)
-    finally:
-        spark.streams.removeListener(totals)
+    root = scratch_dir(spark, "stream-stats")
+    run.run_with_counters(packet_stream(spark, sf_dir), signature.signature_alerts, root, f"{root}/checkpoint")
     return run.read_counters(spark, root).agg(
-        F.sum("events_processed").alias("events_processed"),
-        F.lit(totals.dropped.get(str(query.id), 0)).cast("long").alias("events_dropped"),
-        F.sum("alerts_fired").alias("alerts_fired"))
+        *[F.sum(c).alias(c) for c in ("events_processed", "events_dropped", "alerts_fired")])
 
 
 def _polled_twice(packet_rows: DataFrame) -> DataFrame:
