@@ -10,6 +10,7 @@ from wiresift.operators.rates import port_scans, syn_counts, syn_floods
 from wiresift.operators.sequence import sequence_alerts
 from wiresift.operators.signature import signature_alerts
 from wiresift.operators.telemetry import events_per_sec
+from wiresift.plans.detection import all_alerts
 from wiresift.rules import SequenceRule
 from wiresift.schema import ALERT, EVENT, STATS
 from wiresift.scratch import scratch_dir
@@ -79,6 +80,21 @@ def test_flood_alerts_equal_batch(packets, landed):
     assert rows(got, *ALERT_COLUMNS) == want and len(want) > 5
 
 
+def test_scan_alerts_equal_batch(packets, landed):
+    trace = traffic(2)
+    got = run.drain(landed(trace), lambda p: processors.stream_port_scan_alerts(p, threshold=15), "test-scan-alerts")
+    want = rows(port_scans(packets(trace), threshold=15), *ALERT_COLUMNS)
+    assert rows(got, *ALERT_COLUMNS) == want and len(want) > 3
+
+
+def test_all_detectors_on_one_stream_equal_batch(packets, landed):
+    trace = traffic(6, 900)
+    limits = {"syn_threshold": 12, "port_threshold": 15}
+    got = run.drain(landed(trace, files=3), lambda p: processors.stream_all_alerts(p, **limits), "test-all")
+    want = rows(all_alerts(packets(trace), **limits), *ALERT_COLUMNS)
+    assert rows(got, *ALERT_COLUMNS) == want and len({r[1] for r in want}) >= 4
+
+
 def test_sequence_alerts_equal_batch(packets, landed):
     """Micro-batches out of order, matches across batches and spans."""
     trace = traffic(4)

@@ -1,6 +1,6 @@
 """Keyed stateful detectors for streams, with event-time timers.
 
-Rows of a micro-batch come in no particular order. Both processors keep what
+Rows of a micro-batch come in no particular order. The processors keep what
 the watermark has not passed yet, work on it in event order once it has, and
 drop all state of a key when its window or span is over.
 """
@@ -8,7 +8,8 @@ drop all state of a key when its window or span is over.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -19,15 +20,21 @@ from wiresift.functions.clock import window_start
 from wiresift.functions.net import syn_only
 from wiresift.functions.steps import StepTracker
 from wiresift.operators.alerts import to_alert
-from wiresift.operators.rates import flood_detail
+from wiresift.operators.rates import flood_detail, scan_detail
 from wiresift.operators.sequence import SPAN_FACTOR, sequence_detail, with_spans
+from wiresift.operators.signature import signature_alerts
 from wiresift.rules import (
     DEFAULT_SEQUENCE,
+    DEFAULT_SIGNATURES,
+    PORT_SCAN_RULE,
+    PORT_SCAN_SEVERITY,
+    PORT_SCAN_THRESHOLD,
     SYN_FLOOD_RULE,
     SYN_FLOOD_SEVERITY,
     SYN_FLOOD_THRESHOLD,
     WINDOW_MS,
     SequenceRule,
+    SignatureRule,
 )
 from wiresift.streaming.windows import LATENESS, with_event_time
 
@@ -52,6 +59,12 @@ _OPEN = T.StructType([
     T.StructField("serial", T.LongType()),
     T.StructField("started", T.LongType()),
 ])
+_SIGHTING = T.StructType([
+    T.StructField("dst_port", T.IntegerType()),
+    T.StructField("timestamp_ms", T.LongType()),
+    T.StructField("packet_id", T.LongType()),
+    T.StructField("dst_ip", T.LongType()),
+])
 _RANKED = T.StructType([f for f in _WAITING.fields if f.name in ("timestamp_ms", "packet_id", "dst_ip")])
 
 
@@ -97,6 +110,39 @@ class KthPacket(StatefulProcessor):
         pass
 
 
+class KthNewPort(StatefulProcessor):
+    """Emits, when a (source, window) closes, the packet that first touches its k-th port.
+
+    State is the first packet of each port, so at most 65,536 entries.
+    """
+
+    def __init__(self, k: int, width_ms: int):
+        self.k, self.width_ms = k, width_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.first = handle.getListState("first", _SIGHTING)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = {r[0]: tuple(r[1:]) for r in self.first.get()} if self.first.exists() else {}
+        for pdf in rows:
+            earliest = pdf.sort_values(["timestamp_ms", "packet_id"]).drop_duplicates("dst_port")
+            for port, *seen in zip(*(earliest[c].tolist() for c in ("dst_port", "timestamp_ms", "packet_id", "dst_ip"))):
+                first[port] = min(tuple(seen), first.get(port, tuple(seen)))
+        self.first.put([(port, *seen) for port, seen in first.items()])
+        self.handle.registerTimer(key[1] + self.width_ms)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        seen = sorted(tuple(r[1:]) for r in self.first.get()) if self.first.exists() else []
+        self.first.clear()
+        if len(seen) >= self.k:
+            yield _crossings(key[0], seen[self.k - 1 : self.k])
+
+    def close(self) -> None:
+        pass
+
+
 class StepSequence(StatefulProcessor):
     """Tracks the steps of a sequence rule for one (source, span)."""
 
@@ -164,6 +210,48 @@ def stream_flood_alerts(
         flood_detail(F.lit(threshold), width_ms), "Anomaly", stage=2)
 
 
+def stream_port_scan_alerts(
+    packets: DataFrame,
+    threshold: int = PORT_SCAN_THRESHOLD,
+    width_ms: int = WINDOW_MS,
+    lateness: str = LATENESS,
+) -> DataFrame:
+    """The batch scan alerts, packet and destination included, at the window's close."""
+    timed = with_event_time(
+        packets.select(
+            "src_ip", window_start(width_ms).alias("window_start_ms"),
+            "packet_id", "timestamp_ms", "dst_ip", "dst_port"),
+        lateness)
+    crossing = timed.groupBy("src_ip", "window_start_ms").transformWithStateInPandas(
+        KthNewPort(threshold, width_ms), CROSSING, "append", "EventTime")
+    return to_alert(
+        crossing, PORT_SCAN_RULE, PORT_SCAN_SEVERITY,
+        scan_detail(F.lit(threshold), width_ms), "Anomaly", stage=3)
+
+
+def stream_all_alerts(
+    packets: DataFrame,
+    signatures: Sequence[SignatureRule] = DEFAULT_SIGNATURES,
+    sequences: Sequence[SequenceRule] = (DEFAULT_SEQUENCE,),
+    syn_threshold: int = SYN_FLOOD_THRESHOLD,
+    port_threshold: int = PORT_SCAN_THRESHOLD,
+    width_ms: int = WINDOW_MS,
+    lateness: str = LATENESS,
+) -> DataFrame:
+    """All detectors on one stream: the alerts of ``all_alerts``.
+
+    Signature alerts come with their batch, floods and scans when their window
+    closes, sequences when the watermark passes the completing packet.
+    """
+    branches = [
+        signature_alerts(packets, signatures),
+        stream_flood_alerts(packets, syn_threshold, width_ms, lateness),
+        stream_port_scan_alerts(packets, port_threshold, width_ms, lateness),
+        *[stream_sequence_alerts(packets, rule, lateness) for rule in sequences],
+    ]
+    return reduce(DataFrame.unionByName, branches)
+
+
 def stream_sequence_alerts(
     packets: DataFrame,
     rule: SequenceRule = DEFAULT_SEQUENCE,

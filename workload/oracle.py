@@ -482,6 +482,8 @@ ORACLE = {
     "stream_syn_counts": _with("SELECT * FROM syn_counts", "syn_counts"),
     "stream_syn_flood": _with("SELECT * FROM syn_counts WHERE n_syn >= 50", "syn_counts"),
     "stream_flood_alerts": _with(_ALERTS + "flood", "flood"),
+    "stream_scan_alerts": _with(_ALERTS + "scan", "scan"),
+    "stream_all_alerts": _with(_ALERTS + "alerts", "alerts"),
     "stream_port_scan": _with(f"""SELECT src_ip, {WIN} AS window_start_ms, count(DISTINCT dst_port) AS n_ports
         FROM packets GROUP BY ALL HAVING count(DISTINCT dst_port) >= 25""", "packets"),
     "stream_signature": _with(_ALERTS + "sig", "sig"),

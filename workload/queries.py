@@ -487,5 +487,7 @@ QUERIES = {
     "stream_signature": _drained("stream-signature", signature.signature_alerts),
     "stream_sequence": _drained("stream-sequence", processors.stream_sequence_alerts),
     "stream_capture": _drained("stream-capture", _polled_twice),
+    "stream_scan_alerts": _drained("stream-scan-alerts", processors.stream_port_scan_alerts),
+    "stream_all_alerts": _drained("stream-all-alerts", processors.stream_all_alerts),
     "stream_stats": stream_stats,
 }
