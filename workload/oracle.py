@@ -423,6 +423,21 @@ ORACLE = {
         UNION ALL
         SELECT conv_id, turn, turn AS tie, 1 AS o, 1 AS x FROM conversations WHERE role = 'user'""",
         "conv_id", "turn", 2) + ")",
+    # user, assistant, user: a user turn is open from the next assistant turn on and closes as brackets do
+    "sequence_three_step": """SELECT conv_id, turn, started FROM (
+        SELECT *, last_value(CASE WHEN x = 1 THEN own END IGNORE NULLS)
+                    OVER (PARTITION BY conv_id, CASE WHEN x = 1 THEN d ELSE pd END ORDER BY turn, tie) AS started
+        FROM (SELECT *, coalesce(lag(d) OVER (PARTITION BY conv_id ORDER BY turn, tie), 0) AS pd
+              FROM (SELECT *, s - least(0, min(s) OVER (PARTITION BY conv_id ORDER BY turn, tie)) AS d
+                    FROM (SELECT *, sum(x) OVER (PARTITION BY conv_id ORDER BY turn, tie) AS s FROM (
+                      SELECT u.conv_id, min(a.turn) AS turn, u.turn AS tie, 1 AS x, u.turn AS own
+                      FROM conversations u JOIN conversations a
+                        ON a.conv_id = u.conv_id AND a.role = 'assistant' AND a.turn > u.turn
+                      WHERE u.role = 'user' GROUP BY u.conv_id, u.turn
+                      UNION ALL
+                      SELECT conv_id, turn, turn AS tie, -1 AS x, NULL AS own FROM conversations WHERE role = 'user'))))
+        WHERE x = 1 OR pd > 0)
+        WHERE x = -1 AND turn - started <= 4""",
     "cms_estimate": _with("SELECT src_ip, window_start_ms, n_syn, n_estimate FROM estimates", "estimates"),
     "cms_flood_sources": _with("""SELECT src_ip, window_start_ms, n_estimate FROM estimates
         WHERE n_estimate >= 50""", "estimates"),
