@@ -207,7 +207,7 @@ def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
         lambda k: (F.floor(F.greatest(F.length("text") - WINDOW, F.lit(0)) * k / (WINDOWS_PER_ROW - 1)) + 1).cast("int"),
     )
     sample = (
-        hashed.join(bounds, "lang").where("_hash <= _most")
+        hashed.join(F.broadcast(bounds), "lang").where("_hash <= _most")  # one row a language, MOST_LANGUAGES at most
         .select("lang", "_hash", F.explode(F.array_distinct(starts)).alias("start"), "text")
         .select("lang", "_hash", "start", F.substring("text", F.col("start"), F.lit(WINDOW)).alias("part"))
         .limit(4 * WINDOWS_PER_ROW * sample_rows)  # rows repeated whole share a hash and could exceed the bound
