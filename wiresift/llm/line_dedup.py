@@ -1,14 +1,14 @@
 """Removing lines that nearly repeat an earlier line: an exact set-similarity join.
 
 A line is the set of its words. Two lines with Jaccard similarity of at least the
-threshold must share a word among the rarest few of either (prefix filter), be of
-similar size (length filter), and stand far enough forward in both orders for the
-rest to suffice (positional filter); and the parities of their hashed words
-differ in no more bits than their words may (a lower bound, so nothing is lost).
-What passes is verified on all words.
+threshold must share ``SHARED`` words among the rarest few of either (prefix
+filter), be of similar size (length filter), and have each such word far enough forward
+in both orders for the rest to suffice (positional filter); and the parities of their
+hashed words differ in no more bits than their words may (a lower bound, so
+nothing is lost). What passes is verified on all words.
 
 For a line to go, one earlier match is enough. So each prefix word first offers its
-earliest line to all others that have the word, which settles families of
+earliest line of a size to all others of that size, which settles families of
 variants with one pair a member. Lines that are not near that one meet
 the other earlier lines of the word, and so do lines that seemed near it but failed
 verification.
@@ -20,16 +20,19 @@ the shared folder between the steps.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wiresift.llm.common import documents, expand, stored, text_key
 
 THRESHOLD = 0.8
 SPACES = r"[\x20\x09-\x0D]+"
 LAST = (1 << 63) - 1  # stands for a null id, so such rows come last
+SHARED = 2  # how many prefix words a pair must share; prefixes are longer by this less one
+PARITIES = ("even", "odd")
 LENGTHS, HASHES = 16, 1024  # the table of rarities, a constant size
-LINE = ("doc", "key", "no")
+LINE = ("at", "no")  # the document's place in the order, and the line number from 0
 
 
 def words(line: Column) -> Column:
@@ -38,7 +41,7 @@ def words(line: Column) -> Column:
 
 
 def _slot(word: str) -> str:
-    return f"least(octet_length({word}), {LENGTHS - 1}) * {HASHES} + cast(pmod(xxhash64({word}), {HASHES}) as int)"
+    return f"least(octet_length({word}), {LENGTHS - 1}) * {HASHES} + cast(xxhash64({word}) & {HASHES - 1}L as int)"
 
 
 def rarities(docs: DataFrame) -> list[int]:
@@ -58,46 +61,54 @@ def rarities(docs: DataFrame) -> list[int]:
 def ranked(found: Column, grades: list[int]) -> Column:
     """The words as numbers whose order is rarest first; the lower 48 bits are the word's hash."""
     table = F.split(F.lit(",".join(map(str, grades))), ",").cast("array<int>")
-    slot = lambda w: F.least(F.octet_length(w), F.lit(LENGTHS - 1)) * HASHES + F.pmod(F.xxhash64(w), F.lit(HASHES)).cast("int")
-    grade = lambda w: F.shiftleft(F.get(table, slot(w)).cast("long"), 48)
-    return F.sort_array(F.transform(found, lambda w: grade(w).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit((1 << 48) - 1)))))
+    low = lambda w: F.xxhash64(w).bitwiseAND(F.lit((1 << 48) - 1))
+    slot = lambda w: F.least(F.octet_length(w), F.lit(LENGTHS - 1)) * HASHES + F.xxhash64(w).bitwiseAND(F.lit(HASHES - 1).cast("long")).cast("int")
+    return F.sort_array(F.transform(found, lambda w: F.shiftleft(F.get(table, slot(w)).cast("long"), 48).bitwiseOR(low(w))))
 
 
 def first_lines(docs: DataFrame) -> DataFrame:
-    """Where each different line with words stands first: (doc, key, nos), the line numbers from 0; stored."""
+    """Where each different line with words stands first: (at, doc, key, nos), stored.
+
+    ``at`` numbers the documents that have such lines by doc and key, with gaps;
+    ``nos`` are the line numbers from 0.
+    """
     lines = docs.select("doc", "key", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    digests = lines.select(*LINE, F.xxhash64("line").alias("high"), F.xxhash64(F.lit(1), "line").alias("low"))
-    first = digests.groupBy("high", "low").agg(F.min(F.struct(*LINE)).alias("at")).select("at.*")
-    return stored(first.groupBy("doc", "key").agg(F.sort_array(F.collect_list("no")).alias("nos")), "first-lines")
+    digests = lines.select("doc", "key", "no", F.xxhash64("line").alias("high"), F.xxhash64(F.lit(1), "line").alias("low"))
+    first = digests.groupBy("high", "low").agg(F.min(F.struct("doc", "key", "no")).alias("first")).select("first.*")
+    listed = first.groupBy("doc", "key").agg(F.collect_list("no").alias("nos"))
+    return stored(listed.repartitionByRange("doc", "key").sortWithinPartitions("doc", "key").withColumn("at", F.monotonically_increasing_id()), "first-lines")
 
 
 def lines_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The lines (doc, key, no, line) whose numbers ``wanted`` lists for their document."""
+    """The lines (at, no, line) whose numbers ``wanted`` (at, doc, key, nos) lists."""
     chosen = texts.join(wanted, ["doc", "key"])
     numbered = F.transform(F.split("text", "\n"), lambda line, no: F.struct(no.alias("no"), line.alias("line")))
-    asked = F.filter(numbered, lambda at: F.array_contains("nos", at["no"]))
-    return chosen.select("doc", "key", F.explode(asked).alias("at")).select("doc", "key", "at.no", "at.line")
+    asked = F.filter(numbered, lambda each: F.array_contains("nos", each["no"]))
+    return chosen.select("at", F.explode(asked).alias("each")).select("at", "each.no", "each.line")
 
 
 def prefixes(lines: DataFrame, grades: list[int], threshold: float) -> DataFrame:
-    """A row for each prefix word of each line: word, doc, key, no, size, place (from 0), parity."""
+    """A row for each prefix word of each line: word, at, no, size, place (from 0), and 128 bits of parities."""
     sized = lines.select(*LINE, ranked(words(F.col("line")), grades).alias("ids")).withColumn("size", F.size("ids"))
-    length = (F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).cast("int")
-    parity = F.expr("aggregate(ids, 0L, (bits, id) -> bits ^ shiftleft(1L, cast(id & 63L as int)))")
-    each = sized.select(*LINE, "size", parity.alias("parity"), F.posexplode(F.slice("ids", F.lit(1), length)).alias("place", "word"))
-    return each.select("word", *LINE, "size", "place", "parity")
+    length = F.least(F.col("size"), F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + SHARED).cast("int")
+    parities = [
+        F.expr(f"aggregate(ids, 0L, (bits, id) -> bits ^ if((id & 64L) = {half}L, shiftleft(1L, cast(id & 63L as int)), 0L))").alias(name)
+        for name, half in zip(PARITIES, (0, 64), strict=True)
+    ]
+    each = sized.select(*LINE, "size", *parities, F.posexplode(F.slice("ids", F.lit(1), length)).alias("place", "word"))
+    return each.select("word", *LINE, "size", "place", *PARITIES)
 
 
 def near(a: str, b: str, threshold: float) -> Column:
     """Whether two prefix rows of one word may belong to lines at the threshold."""
     at = lambda side, name: F.col(f"{side}.{name}")
     total = at(a, "size") + at(b, "size")
-    needed = F.ceil(total * (threshold / (1 + threshold)) - 1e-9)
+    needed = least_overlap(total, threshold)
     reach = F.least(at(a, "place"), at(b, "place")) + F.least(at(a, "size") - at(a, "place"), at(b, "size") - at(b, "place"))
     return (
         (F.least(at(a, "size"), at(b, "size")) >= F.greatest(at(a, "size"), at(b, "size")) * threshold - 1e-9)
         & (reach >= needed)
-        & (F.bit_count(at(a, "parity").bitwiseXOR(at(b, "parity"))) <= total - 2 * needed)
+        & (sum(F.bit_count(at(a, c).bitwiseXOR(at(b, c))) for c in PARITIES) <= total - 2 * needed)
     )
 
 
@@ -105,27 +116,30 @@ def order(side: str) -> Column:
     return F.struct(*[F.col(f"{side}.{c}") for c in LINE])
 
 
-def pair(later: str, earlier: str) -> list[Column]:
-    return [order(later).alias("y"), order(earlier).alias("x")]
+def least_overlap(total: Column, threshold: float) -> Column:
+    """How many words two lines at the threshold share, given the sum of their sizes."""
+    return F.ceil(total * (threshold / (1 + threshold)) - 1e-9)
 
 
 def meeting(later: DataFrame, postings: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (y, x) of prefix rows ``later`` and of earlier lines that may be at the threshold."""
+    """The pairs (y, x) of lines with prefix rows ``later`` and earlier lines that share enough of these words."""
     both = later.join(postings.alias("x"), (F.col("y.word") == F.col("x.word")) & (order("x") < order("y")) & near("y", "x", threshold))
-    return both.select(*pair("y", "x"))
+    total = F.col("y.size") + F.col("x.size")
+    shared = both.groupBy(order("y").alias("y"), order("x").alias("x")).agg(F.count(F.lit(1)).alias("n"), F.first(total).alias("total"))
+    return shared.where(F.col("n") >= F.least(F.lit(SHARED), least_overlap(F.col("total"), threshold))).select("y", "x")
 
 
-def similar(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (y, x) of lines whose words' Jaccard similarity is the threshold or more."""
-    asked = pairs.select(F.col("y").alias("at")).union(pairs.select(F.col("x").alias("at"))).select("at.*")
-    wanted = asked.groupBy("doc", "key").agg(F.collect_set("no").alias("nos"))
-    sets = lines_of(texts, wanted).select(F.struct(*LINE).alias("at"), F.transform(words(F.col("line")), lambda word: F.xxhash64(word)).alias("ids"))
+def similar(pairs: DataFrame, texts: DataFrame, first: DataFrame, threshold: float) -> DataFrame:
+    """The later lines y of the pairs (y, x) whose words' Jaccard similarity is the threshold or more."""
+    asked = pairs.select("y.*").union(pairs.select("x.*")).groupBy("at").agg(F.collect_set("no").alias("nos"))
+    wanted = asked.join(first.select("at", "doc", "key"), "at")
+    sets = lines_of(texts, wanted).select(F.struct(*LINE).alias("line"), F.transform(words(F.col("line")), lambda word: F.xxhash64(word)).alias("ids"))
     both = (
-        pairs.join(sets.select(F.col("at").alias("y"), F.col("ids").alias("of_y")), "y")
-        .join(sets.select(F.col("at").alias("x"), F.col("ids").alias("of_x")), "x")
+        pairs.join(sets.select(F.col("line").alias("y"), F.col("ids").alias("of_y")), "y")
+        .join(sets.select(F.col("line").alias("x"), F.col("ids").alias("of_x")), "x")
     )
     shared = F.size(F.array_intersect("of_y", "of_x"))
-    return both.where(shared >= threshold * (F.size("of_y") + F.size("of_x") - shared) - 1e-9).select("y", "x")
+    return both.where(shared >= threshold * (F.size("of_y") + F.size("of_x") - shared) - 1e-9).select("y").distinct()
 
 
 def kept_lines(texts: DataFrame, grades: list[int], first: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -134,22 +148,26 @@ def kept_lines(texts: DataFrame, grades: list[int], first: DataFrame, threshold:
     ``texts`` is from ``once``, ``first`` from ``first_lines``.
     """
     postings = stored(prefixes(lines_of(texts, first), grades, threshold), "line-prefixes")
-    dealt = postings.repartition("word")
-    row = F.struct(*[F.col(c) for c in ("doc", "key", "no", "size", "place", "parity")])
-    earliest = dealt.groupBy("word").agg(F.min(row).alias("p")).select(F.col("word").alias("_word"), "p.*").alias("p")
-    met = dealt.alias("y").join(earliest, F.col("y.word") == F.col("p._word")).where(order("p") < order("y"))
-    near_first = met.where(near("y", "p", threshold)).select(*pair("y", "p"), F.lit(True).alias("first"))
-    others = met.where(~near("y", "p", threshold)).select("y.*").alias("y")
-    among = meeting(others, dealt, threshold).withColumn("first", F.lit(False))
-    pairs = stored(near_first.union(among).groupBy("y", "x").agg(F.max("first").alias("first")), "line-pairs")
-    matched = stored(similar(pairs.select("y", "x"), texts, threshold).select("y").distinct(), "matched-lines")
-    # lines that seemed near a word's earliest line but match none so far meet all the others of their words
+    # the filter says what holds anyway; with it all uses of the exchange are the same plan, and it is run once
+    whole = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in postings.columns])
+    dealt = postings.where(whole).repartition("word")
+    earliest = F.min(F.struct(*LINE, "size", "place", *PARITIES)).over(Window.partitionBy("word", "size"))
+    met = dealt.withColumn("p", earliest).alias("y")
+    settled = (order("y.p") < order("y")) & near("y", "y.p", threshold)
+    near_first = met.where(settled).select(order("y").alias("y"), order("y.p").alias("x")).distinct()
+    # a line with settled words may miss pairs here; it is one that waits if its match fails
+    others = met.where(~settled).drop("p").alias("y")
+    among = meeting(others, dealt, threshold)
+    pairs = near_first.withColumn("first", F.lit(True)).union(among.withColumn("first", F.lit(False)))
+    pairs = stored(pairs.groupBy("y", "x").agg(F.max("first").alias("first")), "line-pairs")
+    matched = stored(similar(pairs.select("y", "x"), texts, first, threshold), "matched-lines")
+    # lines that seemed near the earliest of their size but match none so far meet all the others of their words
     waiting = stored(pairs.where("first").select("y").distinct().join(matched, "y", "left_anti").select("y.*"), "open-lines")
     again = postings.join(waiting, list(LINE), "left_semi").alias("y")
-    rest = stored(meeting(again, postings, threshold).distinct().join(pairs.select("y", "x"), ["y", "x"], "left_anti"), "line-pairs")
-    removed = matched.union(similar(rest, texts, threshold).select("y")).select("y.*")
-    gone = removed.groupBy("doc", "key").agg(F.collect_set("no").alias("gone"))
-    kept = first.join(gone, ["doc", "key"], "left")
+    rest = stored(meeting(again, postings, threshold).join(pairs.select("y", "x"), ["y", "x"], "left_anti"), "line-pairs")
+    removed = matched.union(similar(rest, texts, first, threshold)).select("y.*")
+    gone = removed.groupBy("at").agg(F.collect_set("no").alias("gone"))
+    kept = first.join(gone, "at", "left")
     return kept.select("doc", "key", F.coalesce(F.array_except("nos", "gone"), F.col("nos")).alias("nos"))
 
 
