@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from wiresift.llm import toxicity
@@ -68,6 +69,28 @@ def test_unlabelled_rows_are_told_apart(spark):
     assert np.allclose(model.weights, again.weights) and (model.ids == again.ids).all()
 
 
+@pytest.mark.parametrize("share", [0.45, 0.6, 0.9])
+def test_mostly_toxic_labels(spark, share):
+    rows = corpus()
+    toxic, others = [r for r in rows if r[2]], [r for r in rows if not r[2]]
+    taught = toxic[:60] + others[: round(60 * (1 - share) / share)]
+    docs = spark.createDataFrame([(i, t, x, "x", "en") for i, t, x in rows], DOCS)
+    out = score(docs, fit(docs, spark.createDataFrame([(i, x) for i, _, x in taught], "doc_id long, toxic int"))).collect()
+    truth, held = {i: x for i, _, x in rows}, {r[0] for r in rows} - {r[0] for r in taught}
+    found = {r["doc_id"] for r in out if r["toxic"]}
+    assert all(i in found for i in held if truth[i])
+    if share < 0.9:  # the few others of the last case do not say what is harmless
+        assert not any(i in found for i in held if not truth[i])
+
+
+def test_toxic_by_what_is_missing(spark):
+    rng, words = np.random.default_rng(8), ["river", "stone", "green", "walk", "table"]
+    rows = [(i, " ".join([*rng.choice(words, 12), *(["harmless"] if i % 5 < 2 else [])]), int(i % 5 >= 2)) for i in range(300)]
+    docs = spark.createDataFrame([(i, t, x, "x", "en") for i, t, x in rows], DOCS)
+    out = score(docs, fit(docs, spark.createDataFrame([(i, x) for i, _, x in rows[:150]], "doc_id long, toxic int"))).collect()
+    assert all(r["toxic"] == (r["doc_id"] % 5 >= 2) for r in out)
+
+
 def test_sample_is_bounded_and_consistent(spark):
     docs = spark.createDataFrame([(i, "x", 0, "", "") for i in range(50)], DOCS)
     labels = spark.createDataFrame([(i % 50, i % 2) for i in range(100)] + [(7, 0)], "doc_id long, toxic int")

@@ -23,6 +23,8 @@ from wiresift.llm.common import blocks, documents, stored, table
 SAMPLE_ROWS = 12_000
 FEATURES = 4096
 LEAST_DOCUMENTS = 4
+TIMES_AS_OFTEN = 2  # how much more of one class than of the other has a feature
+LEAST_APART = 10.83  # chi squared that chance exceeds once in a thousand; asked of features of the other class only
 GRADES = 3
 PREFIX_BYTES = (4, 5, 6, 8)
 BLOCK_BYTES = 1 << 19
@@ -174,7 +176,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
 def telling_features(sample: DataFrame, most: int = FEATURES) -> tuple[np.ndarray, np.ndarray]:
     """The features that set toxic rows of the sample apart most (chi squared), counted by rows that have them.
 
-    Sorted ids, and the log odds that a row with the feature is toxic.
+    A feature counts if the share of toxic rows that have it is more than twice
+    that of the other rows, or the other way round and hardly by chance. Shares of
+    one class each do not change with how many rows are toxic. Sorted ids, and
+    the log odds of a toxic row to have the feature against those of another row.
     """
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,14 +204,14 @@ def telling_features(sample: DataFrame, most: int = FEATURES) -> tuple[np.ndarra
         sample.select("text", "toxic").mapInArrow(seen, "feature long, n long, toxic long")
         .groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
     )
-    expected = F.col("n") * F.lit(totals["toxic"] / totals["n"])
-    apart = (F.col("toxic") - expected) ** 2 / expected
-    rows = (
-        counts.where((F.col("n") >= LEAST_DOCUMENTS) & (F.col("toxic") > 2 * expected))
-        .orderBy(apart.desc(), "feature").limit(most).collect()
-    )
+    n, toxic, size, bad = F.col("n"), F.col("toxic"), float(totals["n"]), float(totals["toxic"])
+    apart = size * (toxic * size - n * bad) ** 2 / F.greatest(n * (size - n) * (bad * (size - bad)), F.lit(1.0))
+    of_toxic, of_others = toxic / bad, (n - toxic) / (size - bad)
+    telling = (of_toxic > TIMES_AS_OFTEN * of_others) | ((of_others > TIMES_AS_OFTEN * of_toxic) & (apart > LEAST_APART))
+    rows = counts.where((n >= LEAST_DOCUMENTS) & telling).orderBy(apart.desc(), "feature").limit(most).collect()
     ids = np.array([r["feature"] for r in rows], dtype=np.int64).view(np.uint64)
-    odds = np.log([(r["toxic"] + 0.5) / (r["n"] - r["toxic"] + 0.5) for r in rows])
+    with_, without = np.array([r["toxic"] for r in rows], dtype=float), np.array([r["n"] - r["toxic"] for r in rows], dtype=float)
+    odds = np.log((with_ + 0.5) / (bad - with_ + 0.5)) - np.log((without + 0.5) / (size - bad - without + 0.5))
     order = np.argsort(ids)
     return ids[order], odds[order]
 
@@ -216,8 +221,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, most
 
     Labels say toxic or not. Grade 0 is not toxic; toxic rows are graded 1 to
     ``GRADES``, in equal parts, by the telling features they have: the logarithms
-    of their counts times their log odds, summed. Without labels of both kinds
-    nothing is toxic.
+    of their counts times their log odds, summed. Without labels of both kinds, or
+    without a feature that tells them apart, nothing is toxic.
     """
     sample = stored(labelled_sample(docs, labels, sample_rows), "toxicity-sample")
     ids, odds = telling_features(sample, most_features)
