@@ -84,6 +84,23 @@ def test_round_trip(spark):
     assert crc == Counter((r["doc_id"], r["piece"], r["ids_crc32"]) for r in digests)
 
 
+@pytest.mark.parametrize("text", ["word" + " " * 3_000_000 + "end", "word" + "\n" * 1_000_000 + "end", "word" + " \t\u3000" * 700_000])
+def test_long_white_space(text):
+    assert [*packing.encoder(*packing.tokenizer_paths())(text), 2] == reference_ids(text)
+
+
+def test_a_text_the_fast_reader_gives_up(monkeypatch):
+    monkeypatch.setattr(packing, "long_space", lambda text: False)
+    text = "word" + " " * 2_000_000 + "end"
+    assert [*packing.encoder(*packing.tokenizer_paths())(text), 2] == reference_ids(text)
+
+
+def test_long_white_space_is_packed(spark):
+    docs = spark.createDataFrame([(1, "word" + " " * 2_000_000 + "end"), (2, "word")], "doc_id long, text string")
+    found = pack(docs).where("doc_id = 1").orderBy("start").collect()
+    assert np.concatenate([np.frombuffer(r["ids"], "<u4") for r in found]).tolist() == reference_ids("word" + " " * 2_000_000 + "end")
+
+
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], SCHEMA)).count() == 0
 

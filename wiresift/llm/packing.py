@@ -15,6 +15,7 @@ by piece. Pieces find their place by their rank among those of their length.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,6 +30,7 @@ LIMIT = 1024
 END_ID = 2
 VOCABULARY = "byte_bpe_50k"
 OUT_BYTES = 8 << 20
+LONG_SPACE = 100_000
 
 PIECES = "part int, doc_id long, piece int, start long, length long, nth long, ids binary"
 
@@ -41,13 +43,21 @@ def tokenizer_paths(vocabulary: str = VOCABULARY) -> tuple[str, str]:
     return public_tokenizers.path(f"{vocabulary}.json"), public_tokenizers.path(f"{vocabulary}.tiktoken")
 
 
+def long_space(text: str, least: int = LONG_SPACE) -> bool:
+    """Whether ``least`` characters of white space follow each other."""
+    return len(text) >= least and any(m.end() - m.start() >= least for m in re.finditer(r"\s+", text))
+
+
 @lru_cache(maxsize=2)
 def encoder(json_path: str, ranks_path: str):
     """A function from text to token ids, those of the tokenizer file at ``json_path``.
 
     The rank file holds the same vocabulary and its reader gives the same ids
     several times faster; a text with a special token's string goes to the
-    tokenizer itself, as only that knows special tokens.
+    tokenizer itself, as only that knows special tokens. So does a text with a
+    white-space run of ``LONG_SPACE`` characters or more, and any other that the
+    fast reader gives up: its expressions run out of stack somewhere between
+    800,000 and a million characters of white space.
     """
     import public_tokenizers
     import tiktoken
@@ -60,9 +70,13 @@ def encoder(json_path: str, ranks_path: str):
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> list[int]:
-        if any(s in text for s in special):
-            return tokenizer.encode(text, add_special_tokens=False).ids
-        return fast.encode_ordinary(text)
+        if not any(s in text for s in special) and not long_space(text):
+            try:
+                return fast.encode_ordinary(text)
+            except BaseException as error:
+                if type(error).__name__ != "PanicException":  # no Exception, and of no module that can be imported
+                    raise
+        return tokenizer.encode(text, add_special_tokens=False).ids
 
     return encode
 
