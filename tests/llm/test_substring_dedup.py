@@ -71,6 +71,41 @@ def test_copies_and_repeated_rows(spark):
     assert remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_a_passage_twice_in_one_document(spark):
+    rng = np.random.default_rng(11)
+    passage, a, b, c = (prose(rng, n) for n in (60, 40, 40, 40))
+    docs = spark.createDataFrame([(5, f"{a} {passage} {b} {passage} {c}", "", 0), (7, f"{c[:20]} {passage}", "", 0)], SCHEMA)
+    out = {r["doc_id"]: r for r in remove_repeats(docs).collect()}
+    assert out[5]["text"].count(passage) == 1 and out[5]["text"].startswith(f"{a} {passage} {b}")
+    assert len(out[5]["text"]) < len(f"{a} {passage} {b} {passage} {c}") - 150 and out[5]["removed"][0]["first_docs"] == []
+    assert out[7]["removed"][0]["first_docs"] == [5]
+
+
+@pytest.mark.parametrize("doc_id", [None, 3])
+def test_texts_of_one_id(spark, doc_id):
+    rng = np.random.default_rng(12)
+    passage = prose(rng, 60)
+    texts = [f"{prose(rng, 30)} {passage} {prose(rng, 30)}" for _ in range(3)]
+    docs = spark.createDataFrame([(doc_id, t, "", 0) for t in texts] + [(doc_id, texts[0], "", 0), (doc_id, None, "", 0)], SCHEMA)
+    out = [r["text"] for r in remove_repeats(docs).collect()]
+    whole = {t for t in out if t is not None and passage in t}
+    assert len(whole) == 1 and whole <= set(texts) and len(out) == 5
+    assert all(len(t) < 520 or t in whole for t in out if t)
+    earlier = spark.createDataFrame([(1, f"{passage} end", "", 0)], SCHEMA)
+    cut = [r for r in remove_repeats(docs.unionByName(earlier)).collect() if r["doc_id"] != 1 and r["text"]]
+    assert all(passage not in r["text"] and r["removed"][0]["first_docs"] == [1] for r in cut)
+
+
+def test_scripts_without_spaces(spark):
+    rng = np.random.default_rng(13)
+    han = lambda n: "".join(chr(c) for c in rng.integers(0x4E00, 0x9FA5, n))
+    passage, short, one, two = han(600), han(60), han(300), han(300)
+    docs = spark.createDataFrame([(1, passage + short, "", 0), (2, one + passage + two, "", 0), (3, one[:40] + short + two[:40], "", 0), (4, passage + short, "", 0)], SCHEMA)
+    out = {r["doc_id"]: r["text"] for r in remove_repeats(docs).collect()}
+    assert out[1] == passage + short and out[4] == "" and out[3] == one[:40] + short + two[:40]
+    assert out[2].startswith(one) and out[2].endswith(two) and len(out[2]) < 800
+
+
 def test_registered_query(spark):
     path = "/root/testdata/sf0.001"
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{path}/documents.parquet").collect()}
