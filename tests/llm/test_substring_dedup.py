@@ -37,6 +37,13 @@ def test_insertion_moves_only_near_boundaries():
     assert moved == {e for e in before if e > 3392}
 
 
+def test_insertion_into_text_of_two_words():
+    text = " ".join(np.random.default_rng(0).choice(["green", "walk"], 600)).encode()
+    before = chunk_ends(np.frombuffer(text, np.uint8))
+    after = chunk_ends(np.frombuffer(text[:500] + b"inserted" + text[500:], np.uint8))
+    assert {e - 8 for e in after if e > 1500} == {e for e in before if e > 1492}
+
+
 def test_passages_are_cut_from_later_documents(spark):
     rng = np.random.default_rng(4)
     passage, short = prose(rng, 60), prose(rng, 8)

@@ -1,8 +1,13 @@
 """Removing passages that repeat across and within documents, by content-defined chunks.
 
 A gear hash rolls over a text's bytes; where its low bits are zero a chunk ends.
-As the hash sees only the last 32 bytes, an insertion moves no boundary but
-those next to it, and a passage falls into the same chunks wherever it stands.
+They see the last few bytes only, so text of few different words may have none:
+``GAP_BYTES`` or more after the last such place a chunk also ends where the high
+bits are zero, which see the last 32 bytes. As nothing further back counts, an
+insertion moves no boundary but those next to it, and a passage falls into the
+same chunks wherever it stands. What is left is text that repeats itself every
+few bytes: it may have no boundary at all and is cut every ``MOST_BYTES``, and
+those cuts an insertion shifts.
 Chunks are told apart by a 128-bit digest. The document with the smallest id
 that has a chunk keeps it, where it stands first; everywhere else it is a repeat.
 Neighbouring repeats make a span, and spans of ``LEAST_WORDS`` words or more are
@@ -22,6 +27,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from wiresift.llm.common import blocks, documents, stored, text_key
 
 BOUNDARY_BITS = 5
+GAP_BYTES = 64
 LEAST_BYTES = 12
 MOST_BYTES = 256
 LEAST_WORDS = 20
@@ -55,7 +61,10 @@ def chunk_ends(data: np.ndarray, bits: int = BOUNDARY_BITS, least: int = LEAST_B
         return []
     whole = np.ones(size, dtype=bool)
     whole[:-1] = (data[1:] & 0xC0) != 0x80
-    marks = np.flatnonzero(((gear_hashes(data) & np.uint32((1 << bits) - 1)) == 0) & whole) + 1
+    h, at = gear_hashes(data), np.arange(size)
+    low, high = (h & np.uint32((1 << bits) - 1)) == 0, (h >> np.uint32(32 - bits)) == 0
+    gap = at - np.maximum.accumulate(np.where(low, at, -1))
+    marks = np.flatnonzero((low | (high & (gap >= GAP_BYTES))) & whole) + 1
     ends, last = [], 0
 
     def fill(upto: int) -> int:
