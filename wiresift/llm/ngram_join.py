@@ -2,8 +2,9 @@
 
 Every distinct n-gram set gets a signature of ``TREES`` x ``DEPTH`` minima. A tree
 of the forest is the sorted list of its slice of the signatures; sets that agree
-on a prefix stand together in it. From the full depth the prefix is shortened
-until pairs at the threshold meet in some tree with the target probability. What
+on a prefix stand together in it. The length of the prefix is fixed in advance: the
+longest with which pairs at the threshold meet in some tree with the target
+probability, whatever the data. What
 meets is compared on the whole signature, and what is near enough there is
 grouped by connected components. In each group all pairs are verified exactly on
 their n-grams, in blocks, and only counts and a spanning forest of the links are kept.
