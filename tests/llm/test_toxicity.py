@@ -98,6 +98,15 @@ def test_sample_is_bounded_and_consistent(spark):
     assert 7 not in [r["doc_id"] for r in labelled_sample(docs, labels, 50).collect()]
 
 
+def test_sample_of_a_repeated_id(spark):
+    rows = [(1, f"text {i}", 0, "", "") for i in range(300)] + [(2, "same", 0, "", "")] * 300 + [(i, "x", 0, "", "") for i in range(3, 20)] + [(20, None, 0, "", "")]
+    docs = spark.createDataFrame(rows, DOCS).repartition(4)
+    labels = spark.createDataFrame([(i, 1) for i in range(1, 21)] + [(i, 0) for i in range(1000, 1500)], "doc_id long, toxic int")
+    assert labelled_sample(docs, labels, 100).count() == 100
+    found = [(r["doc_id"], r["text"]) for r in labelled_sample(docs, labels, 500).collect()]
+    assert len(found) == len(set(found)) == 318 and found.count((2, "same")) == 1
+
+
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "a b", 0, "", "")], DOCS)
     none = spark.createDataFrame([], "doc_id long, toxic int")

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from wiresift.llm.common import blocks, documents, stored, table
+from wiresift.llm.common import blocks, documents, stored, table, text_key
 
 SAMPLE_ROWS = 12_000
 FEATURES = 4096
@@ -161,16 +161,25 @@ def ordinal_gradient(parameters, rows, index, values, grades, n_features, ridge)
 # --- with Spark ------------------------------------------------------------------
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """At most ``rows`` labelled documents (doc_id, text, toxic), the first by a seeded hash of the id.
+    """At most ``rows`` labelled documents (doc_id, text, toxic), the first by a seeded hash.
 
-    Labels that are null, and ids that are labelled both ways, teach nothing.
+    Labels that are null, and ids that are labelled both ways, teach nothing. A
+    row repeated whole counts once, and a label without a text takes no place. The
+    first text of an id goes by the hash of the id, further ones by that of both,
+    so an id with many texts has the places that as many ids would have.
     """
     clear = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id")
         .agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_most")).where("toxic = _most").drop("_most")
     )
-    chosen = clear.withColumn("_hash", F.xxhash64(F.lit(SEED), "doc_id")).orderBy("_hash", "doc_id").limit(rows).drop("_hash")
-    return docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(chosen, "doc_id")
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text", text_key().alias("_key"))
+    # keys stand for texts until few enough rows are left, so that texts are not shuffled
+    found = texts.select("doc_id", "_key").join(clear, "doc_id").groupBy("doc_id", "_key").agg(F.min("toxic").alias("toxic"))
+    found = stored(found, "toxicity-labelled")
+    firsts = found.groupBy("doc_id").agg(F.min("_key").alias("_first"))
+    place = F.when(F.col("_key") == F.col("_first"), F.xxhash64(F.lit(SEED), "doc_id")).otherwise(F.xxhash64(F.lit(SEED), "doc_id", "_key"))
+    chosen = found.join(firsts, "doc_id").orderBy(place, "doc_id", "_key").limit(rows).drop("_first")
+    return texts.join(F.broadcast(chosen), ["doc_id", "_key"]).groupBy("doc_id", "_key").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic")).drop("_key")
 
 
 def telling_features(sample: DataFrame, most: int = FEATURES) -> tuple[np.ndarray, np.ndarray]:
@@ -244,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, most
             )
 
     found = sample.select("doc_id", "text", "toxic").mapInArrow(hits, "doc_id long, toxic boolean, at array<long>, value array<double>")
-    found = sorted(found.collect(), key=lambda r: r["doc_id"])  # at most sample_rows rows of known features
+    found = sorted(found.collect(), key=lambda r: (r["doc_id"], r["toxic"], r["at"], r["value"]))  # at most sample_rows rows of known features
     toxic = np.array([r["toxic"] for r in found])
     rows = np.repeat(np.arange(len(found)), [len(r["at"]) for r in found])
     index = np.array([x for r in found for x in r["at"]], dtype=np.int64)
