@@ -66,6 +66,15 @@ def test_unusable_vectors_take_no_part(spark):
     assert nearest(few.limit(0), few.limit(0)).count() == 0
 
 
+def test_different_vectors_of_one_id(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [9.0, 9.0, 0.0]), (2, [1.0, 0.1, 0.0]), (2, [1.0, 0.1, 0.0]), (1, [5.0, 0.0, 0.0]), (3, [1.0, 0.5, 0.0])]
+    df = spark.createDataFrame([(i, v, 0, None) for i, v in rows], SCHEMA)
+    asked = spark.createDataFrame([(1, [1.0, 0.0, 0.0], 0, None)], SCHEMA)
+    out = nearest(df, asked).orderBy("rank").collect()
+    assert [r["vec_id"] for r in out] == [2, 3, 2]
+    assert np.allclose([r["score"] for r in out], [0.1, 0.5, 145**0.5])
+
+
 def test_every_row_is_indexed(spark):
     df = spark.createDataFrame([(i, v, 0, None) for i, v in rows_of(500)], SCHEMA)
     index, _ = build_index(df, 100)

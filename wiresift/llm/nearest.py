@@ -100,16 +100,15 @@ def usable(vector: Column | str = "embedding") -> Column:
 
 
 def vectors_of(rows: DataFrame) -> DataFrame:
-    """Rows that take part, one a vec_id: (vec_id, embedding).
+    """Rows that take part: (vec_id, embedding).
 
-    Rows repeated whole count once; of different vectors under one id the
-    smallest counts. A null id, an unusable vector and one of another length
+    Rows repeated whole count once; different vectors under one id are all there. A null id, an unusable vector and one of another length
     than most (the shorter among equals) take no part.
     """
     fit = rows.where(F.col("vec_id").isNotNull() & usable()).select("vec_id", "embedding")
-    one = fit.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    lengths = one.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    return one.where(F.size("embedding") == (lengths["size"] if lengths else 0))
+    different = fit.distinct()
+    lengths = different.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").first()
+    return different.where(F.size("embedding") == (lengths["size"] if lengths else 0))
 
 
 def build_index(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, np.ndarray]:
@@ -129,14 +128,15 @@ def build_index(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[DataFram
 
     schema = f"vec_id long, embedding {vectors.schema['embedding'].dataType.simpleString()}, code binary, length double, product double"
     index = vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(coded, schema)
-    return stored(index.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")), "vector-index"), centre
+    return stored(index.withColumn("block", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks)).cast("int")), "vector-index"), centre
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query the ``k`` rows found nearest, but those of its own id.
 
     Both tables have vec_id and embedding; see ``vectors_of`` for what takes
-    part. Scores are exact distances in double precision, ties go to the smaller id. With
+    part. Of a query id with different vectors the smallest asks; a row of ``rows``
+    is a candidate whatever other rows its id has, so an id may be found more than once. Scores are exact distances in double precision, ties go to the smaller id. With
     no more than ``k`` candidates all come back; empty tables give no rows.
     """
     index, centre = build_index(rows, block_rows)
@@ -144,7 +144,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, block_rows
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dimensions, turn = len(centre), rotation(len(centre))
     blocks = index.agg(F.max("block").alias("n")).first()["n"] + 1
-    asked = stored(vectors_of(queries).where(F.size("embedding") == dimensions), "vector-queries")
+    asked = vectors_of(queries).where(F.size("embedding") == dimensions).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    asked = stored(asked, "vector-queries")
     parts = max(1, -(-asked.count() // query_rows))
     asked = asked.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
