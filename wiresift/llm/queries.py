@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wiresift.llm import exact_dedup, langid, line_dedup, mixing, nearest, ngram_join, packing, sharding, substring_dedup, toxicity
+from wiresift.llm import exact_dedup, langid, line_dedup, merkle, mixing, nearest, ngram_join, packing, sharding, substring_dedup, toxicity
 
 QUERIES = {
     "op1_best_two_fit": packing.op1_best_two_fit,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_stream_dedup": exact_dedup.op8_stream_dedup,
     "op9_byte_gru_language": langid.op9_byte_gru_language,
     "op10_ordinal_toxicity": toxicity.op10_ordinal_toxicity,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
 OP8 = """
@@ -56,7 +57,72 @@ SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE stay
 FROM marked GROUP BY doc_id
 """
 
+OP13 = """
+WITH RECURSIVE
+polynomial AS (SELECT 3988292384::BIGINT AS p),
+marked AS (
+  SELECT doc_id, lang, source, n_chars, text, coalesce(xor(list_reduce(
+           list_transform(range(1, strlen(doc_id::VARCHAR) + 1), lambda i: ord(substr(doc_id::VARCHAR, i::INTEGER, 1))::BIGINT),
+           lambda crc, byte: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, p) ELSE c >> 1 END, xor(crc, byte)),
+           4294967295::BIGINT), 4294967295) % 7 = 0, false) AS hit
+  FROM documents, polynomial
+),
+part AS (
+  SELECT doc_id, lang, hit, n_chars,
+         coalesce(strlen(doc_id::VARCHAR)::VARCHAR || ':' || doc_id::VARCHAR, '-') || coalesce(strlen(source)::VARCHAR || ':' || source, '-')
+           || coalesce(strlen(lang)::VARCHAR || ':' || lang, '-') AS head,
+         coalesce(strlen(text)::VARCHAR || ':' || text, '-') AS tail
+  FROM marked
+),
+leaves AS (
+  SELECT doc_id, lang, sha256(head || coalesce(strlen(n_chars::VARCHAR)::VARCHAR || ':' || n_chars::VARCHAR, '-') || tail) AS leaf,
+         sha256(head || coalesce(strlen((n_chars + hit::INT)::VARCHAR)::VARCHAR || ':' || (n_chars + hit::INT)::VARCHAR, '-') || tail) AS claimed
+  FROM part
+),
+placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS LAST, leaf) - 1 AS idx
+  FROM leaves
+),
+nodes AS (
+  SELECT tree, 0 AS level, idx, leaf AS digest, count(*) OVER (PARTITION BY tree) AS n FROM placed
+  UNION ALL
+  SELECT tree, level + 1, idx // 2, digest, (n + 1) // 2
+  FROM (SELECT tree, level, idx, n, sha256(digest || coalesce(lead(digest) OVER (PARTITION BY tree ORDER BY idx), '')) AS digest FROM nodes WHERE n > 1)
+  WHERE idx % 2 = 0
+),
+subroots AS (SELECT tree, digest FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, tree AS idx, digest, count(*) OVER () AS n FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // 2, digest, (n + 1) // 2
+  FROM (SELECT level, idx, n, sha256(digest || coalesce(lead(digest) OVER (ORDER BY idx), '')) AS digest FROM tops WHERE n > 1)
+  WHERE idx % 2 = 0
+),
+steps AS (
+  SELECT p.tree, p.idx, a.level AS step, (p.idx >> a.level) % 2 AS side, b.digest AS sibling
+  FROM placed p JOIN nodes a ON a.tree = p.tree AND a.idx = p.idx >> a.level AND a.n > 1
+  LEFT JOIN nodes b ON b.tree = a.tree AND b.level = a.level AND b.idx = xor(a.idx, 1)
+  UNION ALL
+  SELECT p.tree, p.idx, 1000 + a.level, (p.tree >> a.level) % 2, b.digest
+  FROM placed p JOIN tops a ON a.idx = p.tree >> a.level AND a.n > 1
+  LEFT JOIN tops b ON b.level = a.level AND b.idx = xor(a.idx, 1)
+),
+proofs AS (
+  SELECT tree, idx, list({'side': side, 'sibling': coalesce(sibling, '')} ORDER BY step) AS proof, string_agg(coalesce(sibling, ''), '' ORDER BY step) AS siblings
+  FROM steps GROUP BY tree, idx
+),
+folded AS (
+  SELECT p.*, s.digest AS subroot, r.digest AS root, sha256(coalesce(q.siblings, '')) AS proof_sha256,
+         coalesce(list_reduce(list_transform(q.proof, lambda x: x.side::VARCHAR || x.sibling),
+                              lambda d, x: sha256(CASE x[1] WHEN '0' THEN d || x[2:] ELSE x[2:] || d END), claimed), claimed) AS folded_root
+  FROM placed p JOIN subroots s USING (tree) CROSS JOIN (SELECT digest FROM tops WHERE n = 1) r LEFT JOIN proofs q ON q.tree = p.tree AND q.idx = p.idx
+)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified, lang, idx AS leaf_idx FROM folded
+"""
+
 ORACLE: dict[str, str] = {
     "op4_prefix_line_dedup": OP4,
     "op8_stream_dedup": OP8,
+    "op13_merkle_manifest": OP13,
 }
