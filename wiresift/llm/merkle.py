@@ -61,7 +61,7 @@ def shifted(idx: Column, shift: int, fanout: int) -> Column:
 
 
 def with_siblings(nodes: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """Nodes (tree, idx, digest) with ``siblings``: an array of ``fanout`` with the run's digests by slot, null where there is none and at the own one."""
+    """Nodes (tree, idx, n, digest) with ``siblings``: an array of ``fanout`` with the run's digests by slot, null where there is none and at the own one."""
     out = nodes
     for shift in range(1, fanout):
         other = nodes.select(F.col("tree").alias("_tree"), F.col("idx").alias("_idx"), F.col("digest").alias(f"_d{shift}"))
@@ -69,7 +69,7 @@ def with_siblings(nodes: DataFrame, fanout: int = FANOUT) -> DataFrame:
     slot = F.pmod(F.col("idx"), F.lit(fanout)).cast("int")
     by_shift = F.array(F.lit(None).cast("string"), *[F.col(f"_d{s}") for s in range(1, fanout)])
     by_slot = F.transform(F.sequence(F.lit(0), F.lit(fanout - 1)), lambda s: F.get(by_shift, F.pmod(s - slot, F.lit(fanout))))
-    return out.withColumn("siblings", by_slot).select("tree", "idx", "digest", "siblings")
+    return out.select("tree", "idx", "n", "digest", by_slot.alias("siblings"))
 
 
 def parent_digest(digest: Column, siblings: Column, slot: Column) -> Column:
@@ -79,22 +79,23 @@ def parent_digest(digest: Column, siblings: Column, slot: Column) -> Column:
 
 
 def build(leaves: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
-    """The stored levels of all trees, lowest first: (tree, idx, digest, siblings, done).
+    """The stored levels of all trees, lowest first: (tree, idx, n, digest, siblings).
 
-    ``leaves`` is (tree, idx, digest) with idx gapless from 0 in each tree. ``done`` marks a tree's only
-    node of a level, its root, whose siblings are all null.
+    ``leaves`` is (tree, idx, n, digest) with idx gapless from 0 in each tree, and n the tree's
+    number of leaves; in the levels n is the tree's number of nodes there. The only
+    node of a level, n = 1, is the tree's root, whose siblings are all null.
     """
+    widest = leaves.agg(F.max("n")).first()[0] or 0
     levels, nodes = [], leaves
     while True:
-        linked = with_siblings(nodes, fanout)
-        last = nodes.groupBy("tree").agg(F.max("idx").alias("_last"))
-        level = stored(linked.join(last, "tree").withColumn("done", F.col("_last") == 0).drop("_last"), f"merkle-level-{len(levels)}")
+        level = stored(with_siblings(nodes, fanout), f"merkle-level-{len(levels)}")
         levels.append(level)
-        open_ = level.where("NOT done")
-        if open_.isEmpty():
+        if widest <= 1:
             return levels
-        slot_zero = open_.where(F.pmod("idx", F.lit(fanout)) == 0)
-        nodes = slot_zero.select("tree", F.floor(F.col("idx") / fanout).cast("long").alias("idx"), parent_digest(F.col("digest"), F.col("siblings"), F.lit(0)).alias("digest"))
+        widest = -(-widest // fanout)
+        slot_zero = level.where((F.col("n") > 1) & (F.pmod("idx", F.lit(fanout)) == 0))
+        above = [F.floor(F.col("idx") / fanout).cast("long").alias("idx"), F.ceil(F.col("n") / fanout).cast("long").alias("n")]
+        nodes = slot_zero.select("tree", *above, parent_digest(F.col("digest"), F.col("siblings"), F.lit(0)).alias("digest"))
 
 
 def proofs(levels: list[DataFrame], fanout: int = FANOUT, above: DataFrame | None = None) -> DataFrame:
@@ -104,10 +105,10 @@ def proofs(levels: list[DataFrame], fanout: int = FANOUT, above: DataFrame | Non
     Further columns of the lowest level stay.
     """
     step = "array<struct<slot:int,siblings:array<string>>>"
-    down, known = None, ("tree", "idx", "digest", "siblings", "done")
+    down, known = None, ("tree", "idx", "n", "digest", "siblings")
     for number, level in reversed(list(enumerate(levels))):
         more = [c for c in level.columns if c not in known]
-        top = level.where("done").select("tree", "idx", "digest", *more, F.col("digest").alias("top"), F.expr(f"cast(array() as {step})").alias("proof"))
+        top = level.where("n = 1").select("tree", "idx", "digest", *more, F.col("digest").alias("top"), F.expr(f"cast(array() as {step})").alias("proof"))
         if above is None:
             top = top.withColumn("root", F.col("top"))
         else:
@@ -118,7 +119,7 @@ def proofs(levels: list[DataFrame], fanout: int = FANOUT, above: DataFrame | Non
         else:
             own = F.struct(F.pmod("idx", F.lit(fanout)).cast("int").alias("slot"), F.col("siblings").alias("siblings"))
             parents = down.select(F.col("tree").alias("_tree"), F.col("idx").alias("_idx"), "top", "root", F.col("proof").alias("_proof"))
-            child = level.where("NOT done").join(parents, (F.col("tree") == F.col("_tree")) & (F.floor(F.col("idx") / fanout).cast("long") == F.col("_idx")))
+            child = level.where("n > 1").join(parents, (F.col("tree") == F.col("_tree")) & (F.floor(F.col("idx") / fanout).cast("long") == F.col("_idx")))
             here = top.unionByName(child.select("tree", "idx", "digest", *more, "top", "root", F.concat(F.array(own), F.col("_proof")).alias("proof")))
         # a table every few levels keeps the plan short; the last one is left to the caller
         down = stored(here, f"merkle-proofs-{number}", "lz4") if number and number % STORED_EVERY == 0 else here
@@ -149,17 +150,18 @@ def manifest(rows: DataFrame, group: str = "lang", fields: tuple[str, ...] = FIE
     leaves = stored(numbered(own, "_lang", [F.col("_order").asc_nulls_last(), F.col("digest").asc()], "merkle-rows"), "merkle-leaves")
     # the groups' numbers, dealt like those of rows
     names = numbered(leaves.groupBy("_lang").agg(F.count(F.lit(1)).alias("_rows")).withColumn("_all", F.lit(0)), "_all", [F.col("_lang").asc_nulls_first()], "merkle-groups")
-    names = stored(names.select("_lang", F.col("idx").alias("tree")), "merkle-trees")
+    names = stored(names.select("_lang", F.col("idx").alias("tree"), F.col("_rows").alias("n")), "merkle-trees")
     named = names.withColumnRenamed("_lang", "_name")
     whole = stored(leaves.join(named, F.col("_lang").eqNullSafe(F.col("_name"))).drop("_name"), "merkle-numbered")
-    levels = build(whole.select("tree", "idx", "digest"), fanout)
-    tops = levels[0].where("done")
+    levels = build(whole.select("tree", "idx", "n", "digest"), fanout)
+    tops = levels[0].where("n = 1")
     for level in levels[1:]:
-        tops = tops.union(level.where("done"))
-    over = build(tops.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("idx"), "digest"), fanout)
+        tops = tops.union(level.where("n = 1"))
+    trees = names.count()
+    over = build(tops.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("idx"), F.lit(trees).cast("long").alias("n"), "digest"), fanout)
     above = stored(proofs(over, fanout).select(F.col("idx").alias("tree"), "root", F.col("proof").alias("path")), "merkle-above")
     # the rows' own columns come in before the long proofs do
-    leaves = levels[0].join(whole.drop("digest"), ["tree", "idx"])
+    leaves = levels[0].join(whole.drop("digest", "n"), ["tree", "idx"])
     return proofs([leaves, *levels[1:]], fanout, above).select(
         F.col("_order").alias(order), F.col("_lang").alias(group), "tree", "idx", F.col("digest").alias("leaf"), F.col("top").alias("subroot"), "root", "proof",
         *[F.col(f"_c_{n}").alias(n) for n in carry],
