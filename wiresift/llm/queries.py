@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wiresift.llm import exact_dedup, langid, line_dedup, merkle, mixing, nearest, ngram_join, packing, sharding, substring_dedup, toxicity
+from wiresift.llm import byte_bpe, exact_dedup, langid, line_dedup, merkle, mixing, nearest, ngram_join, packing, sharding, substring_dedup, toxicity
 
 QUERIES = {
     "op1_best_two_fit": packing.op1_best_two_fit,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_stream_dedup": exact_dedup.op8_stream_dedup,
     "op9_byte_gru_language": langid.op9_byte_gru_language,
     "op10_ordinal_toxicity": toxicity.op10_ordinal_toxicity,
+    "op12_byte_bpe": byte_bpe.op12_byte_bpe,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
