@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wiresift.llm import byte_bpe, exact_dedup, langid, line_dedup, merkle, mixing, nearest, ngram_join, packing, sharding, substring_dedup, toxicity
+from wiresift.llm import byte_bpe, exact_dedup, filter_audit, langid, line_dedup, merkle, mixing, nearest, ngram_join, packing, sharding, substring_dedup, toxicity
 
 QUERIES = {
     "op1_best_two_fit": packing.op1_best_two_fit,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_stream_dedup": exact_dedup.op8_stream_dedup,
     "op9_byte_gru_language": langid.op9_byte_gru_language,
     "op10_ordinal_toxicity": toxicity.op10_ordinal_toxicity,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
     "op12_byte_bpe": byte_bpe.op12_byte_bpe,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
@@ -58,6 +59,47 @@ SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE stay
 FROM marked GROUP BY doc_id
 """
 
+OP11 = r"""
+WITH texts AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+measured AS (
+  SELECT doc_id, part, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, length(text) AS points,
+         length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS capitals, min(doc_id) OVER (PARTITION BY text) AS least
+  FROM texts
+),
+masks AS (
+  SELECT doc_id, part, (len(words) < 100)::INT + 2 * (100 * len(list_distinct(words)) < 80 * len(words))::INT + 4 * (100 * capitals > 10 * points)::INT
+           + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(doc_id > least, false)::INT AS fails
+  FROM measured
+),
+said AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+cells AS (
+  SELECT part, fails, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+  FROM masks LEFT JOIN said USING (doc_id) GROUP BY part, fails
+),
+filters AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS f(name, bit)),
+orders AS (
+  SELECT [a, b, c, d, e] AS o FROM filters a, filters b, filters c, filters d, filters e
+  WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5
+),
+steps AS (
+  SELECT array_to_string(list_transform(o, lambda f: f.name), '') AS filter_order, step, o[step].bit AS own,
+         coalesce(list_sum(list_transform(o[1:step - 1], lambda f: f.bit)), 0)::INT AS earlier
+  FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)
+),
+each AS (
+  SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (WHERE fails & (own | earlier) = 0), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (WHERE fails & own <> 0 AND fails & earlier = 0), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (WHERE fails & own <> 0 AND fails & earlier <> 0), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (WHERE fails = own), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (WHERE fails & own <> 0 AND fails & earlier = 0), 0)::BIGINT AS good_lost,
+         coalesce(sum(toxic) FILTER (WHERE fails & own <> 0 AND fails & earlier = 0), 0)::BIGINT AS toxic_lost
+  FROM cells, steps GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley
+FROM each
+"""
+
 OP13 = """
 WITH RECURSIVE
 polynomial AS (SELECT 3988292384::BIGINT AS p),
@@ -125,5 +167,6 @@ SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = roo
 ORACLE: dict[str, str] = {
     "op4_prefix_line_dedup": OP4,
     "op8_stream_dedup": OP8,
+    "op11_filter_audit": OP11,
     "op13_merkle_manifest": OP13,
 }
