@@ -65,7 +65,7 @@ def test_every_code_point_is_of_the_reader_s_class(own, reader):
 
 
 def test_a_small_memory_gives_the_same(own, reader, monkeypatch):
-    monkeypatch.setattr("wiresift.llm.byte_bpe.KNOWN_BYTES", 50)
+    monkeypatch.setattr("wiresift.llm.byte_bpe.KNOWN", 5)
     monkeypatch.setattr("wiresift.llm.byte_bpe.LONG_TEXT", 100)
     monkeypatch.setattr("wiresift.llm.byte_bpe.MATCHES", 7)
     for text in TEXTS[:12]:
@@ -77,6 +77,7 @@ def test_rows(spark, reader):
     docs = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in rows], SCHEMA).repartition(3)
     out = decode(encode(docs)).collect()
     assert sorted(str((r["doc_id"], r["ids"], bytes(r["bytes"]))) for r in out) == sorted(str((i, reader.encode_ordinary(t or ""), (t or "").encode())) for i, t in rows)
+    assert sorted(map(str, encode(docs, with_bytes=True).collect())) == sorted(map(str, out))
     assert decode(encode(docs.limit(0))).count() == 0
 
 

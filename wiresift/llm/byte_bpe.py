@@ -29,7 +29,7 @@ from wiresift.llm.common import blocks, documents
 VOCABULARY = "byte_bpe_50k"
 NONE = 1 << 62  # the rank of a pair that makes no token
 TOGETHER = 64  # trees of up to so many leaves are worked on together
-KNOWN_BYTES = 16 << 20  # of different matches that a worker remembers, about
+KNOWN = 300_000  # different matches that a worker remembers, some 200 bytes each; beyond it, it forgets all
 LONG_TEXT, MATCHES = 1 << 20, 1 << 16  # a text of more characters is worked on so many matches at a time
 TEXT_BYTES = 1 << 20  # of texts encoded at once
 
@@ -193,14 +193,15 @@ class Matcher:
         mended, differ = pattern, set()
         for name in (r"\p{L}", r"\p{N}", r"\s"):
             reader = tiktoken.Encoding("class", pat_str=name, mergeable_ranks=single, special_tokens={})
-            theirs = set(map(ord, bytes(reader.encode_ordinary(every)).decode()))
-            ours = set(map(ord, regex.findall(name, every)))
-            differ |= theirs ^ ours
+            theirs = bytes(reader.encode_ordinary(every)).decode()
+            ours = "".join(regex.findall(name, every))
+            more, less = set(map(ord, set(theirs).difference(ours))), set(map(ord, set(ours).difference(theirs)))
+            differ |= more | less
             own = name
-            if ours - theirs:
-                own = f"[{own}--[{ranges(ours - theirs)}]]"
-            if theirs - ours:
-                own = f"[{own}{ranges(theirs - ours)}]"
+            if less:
+                own = f"[{own}--[{ranges(less)}]]"
+            if more:
+                own = f"[{own}{ranges(more)}]"
             mended = mended.replace(name, own)
             if name == r"\s" and own != name:
                 mended = mended.replace(r"\S", f"[^{own}]")
@@ -254,7 +255,6 @@ class Codec:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.known_bytes = 0
         self.ids, self.id_counts, self.id_starts = Growing(np.int32), Growing(np.int64), Growing(np.int64)
 
     def learn(self, matches: set[str]) -> None:
@@ -273,14 +273,13 @@ class Codec:
                 counts, ids = np.array(list(map(len, each))), np.array(list(chain.from_iterable(each)))
             first = len(self.known)
             self.known.update((match, first + i) for i, (match, _) in enumerate(group))
-            self.known_bytes += sum(len(p) for _, p in group)
             self.id_starts.append(self.ids.length + np.cumsum(counts) - counts)
             self.id_counts.append(counts)
             self.ids.append(ids)
 
     def of_matches(self, matches: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of each match of a list: how many, and all in order."""
-        if self.known_bytes > KNOWN_BYTES:
+        if len(self.known) > KNOWN:
             self.forget()
         if new := set(matches).difference(self.known):
             self.learn(new)
@@ -338,17 +337,23 @@ def pattern_of_vocabulary() -> str:
     return public_tokenizers.PATTERN
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """(doc_id, ids) of every row. A null text counts as empty and gives no ids, a null doc_id stays null, repeated rows stay, other columns play no part."""
+def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, with_bytes: bool = False) -> DataFrame:
+    """(doc_id, ids) of every row; ``with_bytes`` adds the bytes that the ids decode to, from the same pass.
+
+    A null text counts as empty and gives no ids, a null doc_id stays null, repeated rows stay, other columns play no part.
+    """
     path, pattern = path or vocabulary_path(), pattern or pattern_of_vocabulary()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for rows in blocks(batches, 1, TEXT_BYTES):
             ids = own.encode_all([text or "" for _, text in rows])
-            yield pa.RecordBatch.from_arrays([pa.array([doc_id for doc_id, _ in rows], pa.int64()), _lists(ids)], ["doc_id", "ids"])
+            columns = [pa.array([doc_id for doc_id, _ in rows], pa.int64()), _lists(ids)]
+            if with_bytes:
+                columns.append(pa.array([own.decode(each) for each in ids], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "bytes"][: len(columns)])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encoded, ENCODED)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encoded, DECODED if with_bytes else ENCODED)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -371,5 +376,5 @@ def ids_digest(ids: Column) -> Column:
 
 def op12_byte_bpe(spark, sf_dir) -> DataFrame:
     """Every document's number of ids, a digest of the ids and one of the bytes that they decode to."""
-    both = decode(encode(documents(spark, sf_dir)))
+    both = encode(documents(spark, sf_dir), with_bytes=True)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
