@@ -38,6 +38,18 @@ def text_key(text: Column | str = "text") -> Column:
     return F.xxhash64(text)
 
 
+def free_names(frame: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it differ from all columns of the frame."""
+    taken = {c.lower() for c in frame.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 def expand(frame: DataFrame, count: str, number: str) -> DataFrame:
     """Every row ``count`` times, numbered from 0; rows with a count below 1 go.
 
@@ -45,12 +57,13 @@ def expand(frame: DataFrame, count: str, number: str) -> DataFrame:
     than ``EXPAND_STEP`` numbers (or a ``EXPAND_STEP``-th of its count).
     """
     step, n = F.lit(EXPAND_STEP), F.col(count)
+    block, within = free_names(frame, "_block", "_within")
     return (
         frame.where(n > 0)
-        .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / step).cast("long"))))
-        .withColumn("_within", F.explode(F.sequence(F.lit(0).cast("long"), F.least(n - 1 - F.col("_block") * step, step - 1).cast("long"))))
-        .withColumn(number, F.col("_block") * step + F.col("_within"))
-        .drop("_block", "_within")
+        .withColumn(block, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / step).cast("long"))))
+        .withColumn(within, F.explode(F.sequence(F.lit(0).cast("long"), F.least(n - 1 - F.col(block) * step, step - 1).cast("long"))))
+        .withColumn(number, F.col(block) * step + F.col(within))
+        .drop(block, within)
     )
 
 

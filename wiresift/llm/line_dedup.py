@@ -5,16 +5,17 @@ threshold must share ``SHARED`` words among the rarest few of either (prefix
 filter), be of similar size (length filter), and have each such word far enough forward
 in both orders for the rest to suffice (positional filter); and the parities of their
 hashed words differ in no more bits than their words may (a lower bound, so
-nothing is lost). What passes is verified on all words.
+nothing is lost). What passes is verified on all words. Lines of fewer than ``SMALL`` words
+reach the threshold only with an equal set, which stands for a single prefix word.
 
-For a line to go, one earlier match is enough. So each prefix word first offers its
-earliest line of a size to all others of that size, which settles families of
-variants with one pair a member. Lines that are not near that one meet
-the other earlier lines of the word, and so do lines that seemed near it but failed
-verification.
+For a line to go, one earlier match is enough. So first each of a line's ``TRIED`` rarest words
+offers its earliest line of the same size, and the nearest of these is verified:
+one pair a line, which settles families of variants. Only lines that match none there
+meet all earlier lines of all their prefix words; of words that very many lines have, they meet the lines
+that have two of these in their prefix.
 
-Everything is DataFrame operations. Prefix words and what is decided are written to
-the shared folder between the steps.
+Everything is DataFrame operations. Which lines of a document are meant is an array of
+booleans by line number, so texts of any number of lines are read in one pass.
 """
 
 from __future__ import annotations
@@ -24,14 +25,17 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from wiresift.llm.common import documents, expand, stored, text_key
+from wiresift.llm.common import documents, expand, free_names, stored, text_key
 
 THRESHOLD = 0.8
 SPACES = r"[\x20\x09-\x0D]+"
 LAST = (1 << 63) - 1  # stands for a null id, so such rows come last
 SHARED = 2  # how many prefix words a pair must share; prefixes are longer by this less one
+SMALL = 4
+TRIED = 5
+HOT_LINES, HOT_SHARE = 2000, 1e-5
 PARITIES = ("even", "odd")
-LENGTHS, HASHES = 16, 1024  # the table of rarities, a constant size
+SLOTS = 1 << 16  # of the table of rarities, a constant size
 LINE = ("at", "no")  # the document's place in the order, and the line number from 0
 
 
@@ -40,20 +44,16 @@ def words(line: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(F.lower(line), SPACES)), "")
 
 
-def _slot(word: str) -> str:
-    return f"least(octet_length({word}), {LENGTHS - 1}) * {HASHES} + cast(xxhash64({word}) & {HASHES - 1}L as int)"
-
-
 def rarities(docs: DataFrame) -> list[int]:
-    """How common words are, by their length and a hash: a grade for each of ``LENGTHS`` x ``HASHES`` slots.
+    """How common words are: a grade for each of ``SLOTS`` hashes.
 
     Counted over all words of all documents. A finer table would order words
     better; any order gives the same result.
     """
     each = docs.where(F.col("text").isNotNull()).select(F.explode(F.split(F.lower("text"), SPACES)).alias("word")).where("word != ''")
-    counts = each.groupBy(F.expr(_slot("word")).alias("slot")).agg(F.count(F.lit(1)).alias("n")).collect()
-    grades = [0] * (LENGTHS * HASHES)
-    for row in counts:
+    slot = F.xxhash64("word").bitwiseAND(F.lit(SLOTS - 1).cast("long")).cast("int")
+    grades = [0] * SLOTS
+    for row in each.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n")).collect():
         grades[row["slot"]] = int(256 * math.log2(1 + row["n"]))
     return grades
 
@@ -61,42 +61,66 @@ def rarities(docs: DataFrame) -> list[int]:
 def ranked(found: Column, grades: list[int]) -> Column:
     """The words as numbers whose order is rarest first; the lower 48 bits are the word's hash."""
     table = F.split(F.lit(",".join(map(str, grades))), ",").cast("array<int>")
-    low = lambda w: F.xxhash64(w).bitwiseAND(F.lit((1 << 48) - 1))
-    slot = lambda w: F.least(F.octet_length(w), F.lit(LENGTHS - 1)) * HASHES + F.xxhash64(w).bitwiseAND(F.lit(HASHES - 1).cast("long")).cast("int")
-    return F.sort_array(F.transform(found, lambda w: F.shiftleft(F.get(table, slot(w)).cast("long"), 48).bitwiseOR(low(w))))
+    slot = lambda h: h.bitwiseAND(F.lit(SLOTS - 1).cast("long")).cast("int")
+    number = lambda h: F.shiftleft(F.get(table, slot(h)).cast("long"), 48).bitwiseOR(h.bitwiseAND(F.lit((1 << 48) - 1)))
+    return F.sort_array(F.transform(F.transform(found, lambda w: F.xxhash64(w)), number))
+
+
+def flags(nos: Column) -> Column:
+    """Ascending line numbers as booleans: true at each of them, up to the last."""
+    gap = lambda i: F.element_at(nos, i) - F.coalesce(F.try_element_at(nos, F.nullif(i - 1, F.lit(0))), F.lit(-1)) - 1
+    runs = F.transform(F.sequence(F.lit(1), F.size(nos)), lambda i: F.concat(F.array_repeat(F.lit(False), gap(i)), F.array(F.lit(True))))
+    return F.when(F.size(nos) > 0, F.flatten(runs)).otherwise(F.array().cast("array<boolean>"))
+
+
+def flagged(marks: str, no: Column) -> Column:
+    return F.coalesce(F.get(F.col(marks), no), F.lit(False))
 
 
 def first_lines(docs: DataFrame) -> DataFrame:
-    """Where each different line with words stands first: (at, doc, key, nos), stored.
+    """Where each different line with words stands first: (at, doc, key, first), stored.
 
     ``at`` numbers the documents that have such lines by doc and key, with gaps;
-    ``nos`` are the line numbers from 0.
+    ``first`` flags the lines.
     """
     lines = docs.select("doc", "key", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
     digests = lines.select("doc", "key", "no", F.xxhash64("line").alias("high"), F.xxhash64(F.lit(1), "line").alias("low"))
     first = digests.groupBy("high", "low").agg(F.min(F.struct("doc", "key", "no")).alias("first")).select("first.*")
-    listed = first.groupBy("doc", "key").agg(F.collect_list("no").alias("nos"))
-    return stored(listed.repartitionByRange("doc", "key").sortWithinPartitions("doc", "key").withColumn("at", F.monotonically_increasing_id()), "first-lines")
+    listed = first.groupBy("doc", "key").agg(F.sort_array(F.collect_list("no")).alias("nos"))
+    ordered = listed.repartitionByRange("doc", "key").sortWithinPartitions("doc", "key").withColumn("at", F.monotonically_increasing_id())
+    return stored(ordered.select("at", "doc", "key", flags(F.col("nos")).alias("first")), "first-lines")
 
 
-def lines_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The lines (at, no, line) whose numbers ``wanted`` (at, doc, key, nos) lists."""
+def lines_of(texts: DataFrame, wanted: DataFrame, marks: str) -> DataFrame:
+    """The lines (at, no, line) that ``wanted`` (at, doc, key and the flags ``marks``) asks for."""
     chosen = texts.join(wanted, ["doc", "key"])
     numbered = F.transform(F.split("text", "\n"), lambda line, no: F.struct(no.alias("no"), line.alias("line")))
-    asked = F.filter(numbered, lambda each: F.array_contains("nos", each["no"]))
+    asked = F.filter(numbered, lambda each: flagged(marks, each["no"]))
     return chosen.select("at", F.explode(asked).alias("each")).select("at", "each.no", "each.line")
 
 
-def prefixes(lines: DataFrame, grades: list[int], threshold: float) -> DataFrame:
-    """A row for each prefix word of each line: word, at, no, size, place (from 0), and 128 bits of parities."""
+def described(lines: DataFrame, grades: list[int], threshold: float) -> DataFrame:
+    """A row for each line: at, no, size, 128 bits of parities, and ``prefix``, the numbers of its rarest words."""
     sized = lines.select(*LINE, ranked(words(F.col("line")), grades).alias("ids")).withColumn("size", F.size("ids"))
     length = F.least(F.col("size"), F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + SHARED).cast("int")
-    parities = [
-        F.expr(f"aggregate(ids, 0L, (bits, id) -> bits ^ if((id & 64L) = {half}L, shiftleft(1L, cast(id & 63L as int)), 0L))").alias(name)
-        for name, half in zip(PARITIES, (0, 64), strict=True)
-    ]
-    each = sized.select(*LINE, "size", *parities, F.posexplode(F.slice("ids", F.lit(1), length)).alias("place", "word"))
-    return each.select("word", *LINE, "size", "place", *PARITIES)
+    # bits 0 to 5 of a number choose the bit and bit 6 the half; ``both`` is the halves' exclusive or
+    both = F.expr("aggregate(ids, 0L, (bits, id) -> bits ^ shiftleft(1L, cast(id & 63L as int)))")
+    odd = F.expr("aggregate(ids, 0L, (bits, id) -> bits ^ shiftleft(shiftright(id, 6) & 1L, cast(id & 63L as int)))")
+    prefix = F.when(F.col("size") < SMALL, F.array(F.xxhash64("ids"))).otherwise(F.slice("ids", F.lit(1), length))
+    rows = sized.select(*LINE, "size", both.alias("both"), odd.alias("odd"), prefix.alias("prefix"))
+    return rows.select(*LINE, "size", F.col("both").bitwiseXOR(F.col("odd")).alias("even"), "odd", "prefix")
+
+
+def prefixes(lines: DataFrame, upto: int | None = None) -> DataFrame:
+    """A row for each prefix word of lines from ``described``, or the first few: word, at, no, size, place (from 0), parities, other columns."""
+    rest = [c for c in lines.columns if c != "prefix"]
+    chosen = F.col("prefix") if upto is None else F.slice("prefix", 1, upto)
+    return lines.select(*rest, F.posexplode(chosen).alias("place", "word"))
+
+
+def apart(a: str, b: str) -> Column:
+    """In how many words two lines differ at least, by their parities."""
+    return sum(F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in PARITIES)
 
 
 def near(a: str, b: str, threshold: float) -> Column:
@@ -108,7 +132,7 @@ def near(a: str, b: str, threshold: float) -> Column:
     return (
         (F.least(at(a, "size"), at(b, "size")) >= F.greatest(at(a, "size"), at(b, "size")) * threshold - 1e-9)
         & (reach >= needed)
-        & (sum(F.bit_count(at(a, c).bitwiseXOR(at(b, c))) for c in PARITIES) <= total - 2 * needed)
+        & (apart(a, b) <= total - 2 * needed)
     )
 
 
@@ -121,19 +145,48 @@ def least_overlap(total: Column, threshold: float) -> Column:
     return F.ceil(total * (threshold / (1 + threshold)) - 1e-9)
 
 
-def meeting(later: DataFrame, postings: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (y, x) of lines with prefix rows ``later`` and earlier lines that share enough of these words."""
-    both = later.join(postings.alias("x"), (F.col("y.word") == F.col("x.word")) & (order("x") < order("y")) & near("y", "x", threshold))
-    total = F.col("y.size") + F.col("x.size")
-    shared = both.groupBy(order("y").alias("y"), order("x").alias("x")).agg(F.count(F.lit(1)).alias("n"), F.first(total).alias("total"))
-    return shared.where(F.col("n") >= F.least(F.lit(SHARED), least_overlap(F.col("total"), threshold))).select("y", "x")
+def nearest_first(lines: DataFrame, threshold: float) -> DataFrame:
+    """For lines to which one of their rarest words offers an earlier line that may be at the threshold: (y, x), the nearest of these."""
+    few = prefixes(lines, TRIED)
+    heads = few.groupBy("word", "size").agg(F.min(F.struct(*LINE, "size", "place", *PARITIES)).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = few.join(heads.select(F.col("word").alias("_word"), F.col("size").alias("_size"), "p"), (F.col("word") == F.col("_word")) & (F.col("size") == F.col("_size"))).alias("y")
+    offered = met.where((order("y.p") < order("y")) & near("y", "y.p", threshold))
+    best = offered.groupBy(order("y").alias("y")).agg(F.min(F.struct(apart("y", "y.p").alias("bits"), order("y.p").alias("x"))).alias("best"))
+    return best.select("y", "best.x")
+
+
+def keyed_rows(lines: DataFrame) -> DataFrame:
+    """The prefix rows of lines under the keys where they meet others: a word, or two hot words.
+
+    A word of more than ``HOT_LINES`` prefixes (and ``HOT_SHARE`` of all lines) is hot. Lines at the threshold
+    share two prefix words: either one that is not hot, or two hot ones.
+    """
+    rows = prefixes(lines)
+    often = max(HOT_LINES, int(lines.count() * HOT_SHARE))
+    counts = rows.where(F.col("size") >= SMALL).groupBy("word").agg(F.count(F.lit(1)).alias("_n"))
+    hot = stored(counts.where(F.col("_n") > often).select("word"), "hot-words")
+    single = rows.join(hot, "word", "left_anti")
+    of_line = [c for c in lines.columns if c != "prefix"]
+    two = rows.join(hot, "word", "left_semi").groupBy(*of_line).agg(F.sort_array(F.collect_list(F.struct("word", "place"))).alias("h")).where(F.size("h") > 1)
+    pairs = F.flatten(F.transform("h", lambda a, i: F.transform(F.slice("h", i + 2, F.size("h")), lambda b: F.struct(F.xxhash64(a["word"], b["word"]).alias("word"), a["place"].alias("place")))))
+    met = two.select(*of_line, F.explode(pairs).alias("pair")).select(*of_line, "pair.place", "pair.word")
+    return single.unionByName(met)
+
+
+def meeting(lines: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (y, x) of ``open`` lines and earlier lines that share prefix words and may be at the threshold."""
+    # the filter says what holds anyway; with it both uses of the exchange are the same plan, and it is run once
+    rows = keyed_rows(lines)
+    dealt = rows.where(reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in rows.columns])).repartition("word")
+    both = dealt.alias("y").join(dealt.alias("x"), (F.col("y.word") == F.col("x.word")) & F.col("y.open") & (order("x") < order("y")) & near("y", "x", threshold))
+    return both.select(order("y").alias("y"), order("x").alias("x")).distinct()
 
 
 def similar(pairs: DataFrame, texts: DataFrame, first: DataFrame, threshold: float) -> DataFrame:
     """The later lines y of the pairs (y, x) whose words' Jaccard similarity is the threshold or more."""
-    asked = pairs.select("y.*").union(pairs.select("x.*")).groupBy("at").agg(F.collect_set("no").alias("nos"))
-    wanted = asked.join(first.select("at", "doc", "key"), "at")
-    sets = lines_of(texts, wanted).select(F.struct(*LINE).alias("line"), F.transform(words(F.col("line")), lambda word: F.xxhash64(word)).alias("ids"))
+    asked = pairs.select("y.*").union(pairs.select("x.*")).groupBy("at").agg(F.sort_array(F.collect_set("no")).alias("nos"))
+    wanted = asked.select("at", flags(F.col("nos")).alias("asked")).join(first.select("at", "doc", "key"), "at")
+    sets = lines_of(texts, wanted, "asked").select(F.struct(*LINE).alias("line"), F.transform(words(F.col("line")), lambda w: F.xxhash64(w)).alias("ids"))
     both = (
         pairs.join(sets.select(F.col("line").alias("y"), F.col("ids").alias("of_y")), "y")
         .join(sets.select(F.col("line").alias("x"), F.col("ids").alias("of_x")), "x")
@@ -143,32 +196,19 @@ def similar(pairs: DataFrame, texts: DataFrame, first: DataFrame, threshold: flo
 
 
 def kept_lines(texts: DataFrame, grades: list[int], first: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc, key, nos): the lines with words that no earlier line matches.
+    """(doc, key, kept): flags of the lines with words that no earlier line matches.
 
     ``texts`` is from ``once``, ``first`` from ``first_lines``.
     """
-    postings = stored(prefixes(lines_of(texts, first), grades, threshold), "line-prefixes")
-    # the filter says what holds anyway; with it all uses of the exchange are the same plan, and it is run once
-    whole = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in postings.columns])
-    dealt = postings.where(whole).repartition("word")
-    earliest = F.min(F.struct(*LINE, "size", "place", *PARITIES)).over(Window.partitionBy("word", "size"))
-    met = dealt.withColumn("p", earliest).alias("y")
-    settled = (order("y.p") < order("y")) & near("y", "y.p", threshold)
-    near_first = met.where(settled).select(order("y").alias("y"), order("y.p").alias("x")).distinct()
-    # a line with settled words may miss pairs here; it is one that waits if its match fails
-    others = met.where(~settled).drop("p").alias("y")
-    among = meeting(others, dealt, threshold)
-    pairs = near_first.withColumn("first", F.lit(True)).union(among.withColumn("first", F.lit(False)))
-    pairs = stored(pairs.groupBy("y", "x").agg(F.max("first").alias("first")), "line-pairs")
-    matched = stored(similar(pairs.select("y", "x"), texts, first, threshold), "matched-lines")
-    # lines that seemed near the earliest of their size but match none so far meet all the others of their words
-    waiting = stored(pairs.where("first").select("y").distinct().join(matched, "y", "left_anti").select("y.*"), "open-lines")
-    again = postings.join(waiting, list(LINE), "left_semi").alias("y")
-    rest = stored(meeting(again, postings, threshold).join(pairs.select("y", "x"), ["y", "x"], "left_anti"), "line-pairs")
-    removed = matched.union(similar(rest, texts, first, threshold)).select("y.*")
-    gone = removed.groupBy("at").agg(F.collect_set("no").alias("gone"))
-    kept = first.join(gone, "at", "left")
-    return kept.select("doc", "key", F.coalesce(F.array_except("nos", "gone"), F.col("nos")).alias("nos"))
+    lines = stored(described(lines_of(texts, first, "first"), grades, threshold), "line-prefixes")
+    tried = stored(nearest_first(lines, threshold), "line-pairs")
+    matched = stored(similar(tried, texts, first, threshold).select("y.*"), "matched-lines")
+    marked = lines.join(matched.withColumn("_gone", F.lit(True)), list(LINE), "left").withColumn("open", F.col("_gone").isNull()).drop("_gone")
+    rest = stored(meeting(marked, threshold).join(tried, ["y", "x"], "left_anti"), "line-pairs")
+    removed = matched.union(similar(rest, texts, first, threshold).select("y.*"))
+    gone = removed.groupBy("at").agg(F.sort_array(F.collect_set("no")).alias("nos")).select("at", flags(F.col("nos")).alias("gone"))
+    left = F.zip_with("first", "gone", lambda f, g: f & ~F.coalesce(g, F.lit(False)))
+    return first.join(gone, "at", "left").select("doc", "key", F.coalesce(left, F.col("first")).alias("kept"))
 
 
 def once(own: DataFrame) -> DataFrame:
@@ -186,39 +226,35 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Earlier means a smaller doc_id (null last), then text key, then line number. A line
     goes whether or not the earlier line stays. Lines without words always
     stay, a null text stays null, and a text all of whose lines go is empty. Rows
-    repeated whole keep the same lines. Other columns play no part.
+    repeated whole keep the same lines. Other columns play no part. The threshold must be above 3/4.
     """
     own = keyed(docs.select("doc_id", "text")).select("doc", "key", "text")
     grades, first = rarities(own), first_lines(own)
     texts = once(own)
     kept = kept_lines(texts, grades, first, threshold)
     rows = own.groupBy("doc", "key").agg(F.count(F.lit(1)).alias("_rows"))
-    left = without_lines(texts.join(kept, ["doc", "key"], "left"))
-    return expand(left.join(rows, ["doc", "key"]), "_rows", "_row").select(
+    left = texts.join(kept, ["doc", "key"], "left").withColumn("left", lines_left("text", "kept"))
+    counted = left.select(
+        "doc", "key", F.array_join("left", "\n").alias("text"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("lines"), F.coalesce(F.size("left"), F.lit(0)).alias("_left")
+    ).withColumn("removed_lines", F.col("lines") - F.col("_left"))
+    return expand(counted.join(rows, ["doc", "key"]), "_rows", "_row").select(
         F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"), "text", "lines", "removed_lines"
     )
 
 
-def without_lines(rows: DataFrame) -> DataFrame:
-    """Rows (text, nos) with the lines cut that have words and are not among ``nos``; counts of lines before, and cut."""
-    lines = F.split("text", "\n")
-    stays = lambda line, no: F.coalesce(F.array_contains("nos", no), F.lit(False)) | ~line.rlike(r"[^\x20\x09-\x0D]")
-    rows = rows.withColumn("_lines", lines).withColumn("_left", F.filter("_lines", stays))
-    return (
-        rows.withColumn("text", F.array_join("_left", "\n"))
-        .withColumn("lines", F.coalesce(F.size("_lines"), F.lit(0))).withColumn("removed_lines", F.col("lines") - F.coalesce(F.size("_left"), F.lit(0)))
-        .drop("_lines", "_left", "nos")
-    )
+def lines_left(text: str, kept: str) -> Column:
+    """The lines of a text that have no words or are flagged to be kept."""
+    return F.filter(F.split(text, "\n"), lambda line, no: flagged(kept, no) | ~line.rlike(r"[^\x20\x09-\x0D]"))
 
 
 def documents_without_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents with the columns they came with and the text that ``dedup_lines`` leaves."""
+    """The documents with the columns they came with, whatever their names, and the text that ``dedup_lines`` leaves."""
     own = keyed(docs.select("doc_id", "text")).select("doc", "key", "text")
     kept = stored(kept_lines(once(own), rarities(own), first_lines(own), threshold), "kept-lines")
-    whole = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_key": text_key()})
-    joined = whole.join(kept.select(F.col("doc").alias("_doc"), F.col("key").alias("_key"), F.col("nos").alias("_nos")), ["_doc", "_key"], "left")
-    left = F.filter(F.split("text", "\n"), lambda line, no: F.coalesce(F.array_contains("_nos", no), F.lit(False)) | ~line.rlike(r"[^\x20\x09-\x0D]"))
-    return joined.withColumn("text", F.array_join(left, "\n")).select(*docs.columns)
+    doc, key, marks = free_names(docs, "doc", "key", "kept")
+    whole = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), key: text_key()})
+    joined = whole.join(kept.select(F.col("doc").alias(doc), F.col("key").alias(key), F.col("kept").alias(marks)), [doc, key], "left")
+    return joined.withColumn("text", F.array_join(lines_left("text", marks), "\n")).select(*docs.columns)
 
 
 def op4_prefix_line_dedup(spark, sf_dir) -> DataFrame:
