@@ -22,7 +22,7 @@ def bins_one_by_one(counts, limit):
 
 
 @given(st.lists(st.integers(1, 40), max_size=60))
-@settings(max_examples=60, deadline=None)
+@settings(max_examples=500, deadline=None)
 def test_plan_is_the_rule_bin_by_bin(lengths):
     counts = np.bincount(lengths, minlength=41) if lengths else np.zeros(41, dtype=int)
     planned = Counter()

@@ -6,7 +6,7 @@ its smallest piece is exchanged for two unpacked ones if these fill its place
 and the gap more tightly.
 
 Pieces of one length are interchangeable, so the rule runs on the counts of
-lengths: a bin's choice stays the same until one of the lengths in it runs out,
+lengths: a bin's choice stays the same until one of the lengths it looks at runs out,
 and is repeated that often at once. The plan therefore has a size that depends on
 the sequence length and not on the corpus, and it is what the rule gives piece
 by piece. Pieces find their place by their rank among those of their length.
@@ -146,8 +146,12 @@ def _two_for(room: int, counts: np.ndarray) -> tuple[int, int]:
     return (int(first[best]), int(second[best])) if both[best] else (0, 0)
 
 
-def one_bin(counts: np.ndarray, limit: int) -> list[int]:
-    """The lengths that go into the next bin."""
+def chosen(counts: np.ndarray, limit: int) -> tuple[list[int], list[int]]:
+    """The lengths that go into the next bin, and the one, if any, that was filled in and exchanged.
+
+    A bin's only piece is not exchanged: it opened the bin as the longest one left, and
+    two others in its place would leave it to open the next.
+    """
     counts = counts.copy()
     lengths, gap = [], limit
     while (length := int(_reachable(counts)[gap])) > 0:
@@ -158,17 +162,27 @@ def one_bin(counts: np.ndarray, limit: int) -> list[int]:
         smallest = lengths[-1]
         a, b = _two_for(gap + smallest, counts)
         if a + b > smallest:
-            lengths[-1:] = [a, b]
-    return lengths
+            return [*lengths[:-1], a, b], [smallest]
+    return lengths, []
+
+
+def one_bin(counts: np.ndarray, limit: int) -> list[int]:
+    return chosen(counts, limit)[0]
 
 
 def plan_bins(counts: np.ndarray, limit: int = LIMIT) -> list[tuple[int, list[int]]]:
-    """All bins as (how often, lengths in order); ``counts`` at x is the number of pieces of length x."""
+    """All bins as (how often, lengths in order); ``counts`` at x is the number of pieces of length x.
+
+    A bin is repeated as long as every length that its choice looked at, an exchanged one
+    included, is left in the number that it looked for.
+    """
     counts, plan = np.asarray(counts, dtype=np.int64).copy(), []
     while counts[1:].any():
-        lengths = one_bin(counts, limit)
+        lengths, exchanged = chosen(counts, limit)
         used = np.bincount(lengths, minlength=len(counts))
-        times = int((counts[used > 0] // used[used > 0]).min())
+        seen = np.bincount(lengths + exchanged, minlength=len(counts))
+        at = used > 0
+        times = max(1, int(((counts - seen)[at] // used[at]).min()) + 1)
         counts -= used * times
         plan.append((times, lengths))
     return plan
