@@ -401,6 +401,22 @@ ORACLE = {
                     FROM (SELECT page_id, rule_name, pattern, string_split(html, pattern) AS parts
                           FROM pages, (VALUES ('script-tag', '<script>'), ('root-link', 'href="/'))
                                AS r(rule_name, pattern))))""",
+    # each step looks for the next occurrence one character after the last one, so they may overlap
+    "signature_rule_table": """
+        WITH RECURSIVE words AS (SELECT string_split(text, ' ') AS w FROM benchmark),
+        rules AS (
+          SELECT DISTINCT p, 'Low' AS severity FROM (SELECT unnest(w) AS p FROM words) WHERE length(p) >= 6
+          UNION
+          SELECT DISTINCT w[i] || ' ' || w[i + 1], 'High' FROM (SELECT w, unnest(range(1, len(w))) AS i FROM words)
+        ),
+        found AS (
+          SELECT page_id, p, severity, html AS rest, 0::BIGINT AS before, instr(html, p) AS spot FROM pages JOIN rules ON contains(html, p)
+          UNION ALL
+          SELECT page_id, p, severity, substr(rest, spot + 1), before + strlen(left(rest, spot)), instr(substr(rest, spot + 1), p) FROM found WHERE spot > 0
+        )
+        SELECT page_id, p AS rule_name, severity, (before + strlen(left(rest, spot - 1)) + 1)::INTEGER AS match_pos,
+               (before + strlen(left(rest, spot - 1)) + strlen(p))::INTEGER AS match_end
+        FROM found WHERE spot > 0""",
     "syn_counts": _with("SELECT * FROM syn_counts", "syn_counts"),
     "syn_counts_sliding": _with("""SELECT src_ip, w AS window_start_ms, count(*) AS n_syn
         FROM (SELECT src_ip, timestamp_ms,

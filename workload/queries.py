@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from wiresift.functions import clock, net
 from wiresift.functions.severity import severity_rank
 from wiresift.operators import alerts as al
-from wiresift.operators import frames, rates, sequence, signature, sketches, telemetry, triage
+from wiresift.operators import frames, rates, rule_table, sequence, signature, sketches, telemetry, triage
 from wiresift.plans.capture import captured_by_polls
 from wiresift.plans.detection import all_alerts, store_suspects
 from wiresift.rules import DEFAULT_SEQUENCE, SignatureRule, catalogue
@@ -194,6 +194,21 @@ def signature_pages(spark, sf_dir):
         "page_id", "rule_name", "match_pos", "match_end")
 
 
+def _phrase_rules(spark, sf_dir):
+    """Rules from the benchmark's texts: each of their longer words, and each two words that follow each other."""
+    words = trace.read_table(spark, sf_dir, "benchmark").select(F.split("text", " ").alias("w"))
+    long_words = words.select(F.explode("w").alias("p")).where(F.length("p") >= 6).select("p", F.lit("Low").alias("severity"))
+    pairs = words.select(F.explode(F.zip_with("w", F.slice("w", 2, F.size("w")), lambda a, b: F.concat(a, F.lit(" "), b))).alias("p"))
+    rules = long_words.union(pairs.where(F.col("p").isNotNull()).select("p", F.lit("High").alias("severity")))
+    return rules.distinct().select(F.col("p").alias("rule_name"), "severity", F.encode("p", "UTF-8").alias("pattern"))
+
+
+def signature_rule_table(spark, sf_dir):
+    pages = trace.read_table(spark, sf_dir, "pages").select("page_id", F.encode("html", "UTF-8").alias("body"))
+    return rule_table.rule_table_matches(pages, _phrase_rules(spark, sf_dir), "page_id", "body").select(
+        "page_id", "rule_name", "severity", "match_pos", "match_end")
+
+
 def syn_counts(spark, sf_dir):
     return rates.syn_counts(packets(spark, sf_dir))
 
@@ -442,6 +457,7 @@ QUERIES = {
     "signature_alerts": signature_alerts,
     "signature_match_count": signature_match_count,
     "signature_pages": signature_pages,
+    "signature_rule_table": signature_rule_table,
     "syn_counts": syn_counts,
     "syn_counts_sliding": syn_counts_sliding,
     "syn_flood_alerts": syn_flood_alerts,
