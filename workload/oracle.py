@@ -349,6 +349,21 @@ _REST = [("xss-script-tag", "signature", ""), ("windows-cmd-exec", "signature",
 
 _ALERTS = f"SELECT {ALERT_COLUMNS} FROM "
 
+def _reset(body: str) -> str:
+    """Reset windows per source, one after the other; ``placed`` has the SYNs with theirs."""
+    tables = """times AS (SELECT DISTINCT src_ip, timestamp_ms AS t FROM packets),
+        begun AS (
+          SELECT src_ip, min(t) AS window_start_ms FROM times GROUP BY src_ip
+          UNION ALL
+          SELECT b.src_ip, min(t) FROM begun b JOIN times x ON x.src_ip = b.src_ip AND t >= window_start_ms + 5000
+          GROUP BY b.src_ip, window_start_ms
+        ),
+        placed AS (SELECT s.*, b.window_start_ms FROM (SELECT * EXCLUDE window_start_ms FROM syns) s ASOF JOIN begun b
+                   ON s.src_ip = b.src_ip AND s.timestamp_ms >= b.window_start_ms)"""
+    needs = _with("SELECT 1", "syns")
+    return needs.removesuffix("SELECT 1").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + ",\n" + tables + "\n" + body
+
+
 ORACLE = {
     "all_alerts": _with(_ALERTS + "alerts", "alerts"),
     "all_alerts_staged": _with(_ALERTS + "alerts", "alerts"),
@@ -423,6 +438,10 @@ ORACLE = {
                      unnest(range(timestamp_ms - timestamp_ms % 1000 - 4000,
                                   timestamp_ms - timestamp_ms % 1000 + 1, 1000)) AS w FROM syns)
         GROUP BY ALL""", "syns"),
+    "syn_counts_reset": _reset("SELECT src_ip, window_start_ms, count(*) AS n_syn FROM placed GROUP BY ALL"),
+    "syn_flood_reset_alerts": _reset("SELECT * FROM (" + _anomaly(
+        "syn-flood-anomaly", "Critical", "' sent an estimated 50+ SYNs within 5s window'", 2,
+        "(SELECT *, row_number() OVER (PARTITION BY src_ip, window_start_ms ORDER BY timestamp_ms, packet_id) AS n FROM placed) WHERE n = 50") + ")"),
     "syn_flood_alerts": _with(_ALERTS + "flood", "flood"),
     "port_distinct": _with(f"""SELECT src_ip, {WIN} AS window_start_ms, count(DISTINCT dst_port) AS n_ports
         FROM packets GROUP BY ALL""", "packets"),

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from wiresift.functions import clock, net
 from wiresift.functions.severity import severity_rank
 from wiresift.operators import alerts as al
-from wiresift.operators import frames, rates, rule_table, sequence, signature, sketches, telemetry, triage
+from wiresift.operators import frames, rates, reset, rule_table, sequence, signature, sketches, telemetry, triage
 from wiresift.plans.capture import captured_by_polls
 from wiresift.plans.detection import all_alerts, store_suspects
 from wiresift.rules import DEFAULT_SEQUENCE, SignatureRule, catalogue
@@ -217,6 +217,20 @@ def syn_counts_sliding(spark, sf_dir):
     return rates.syn_counts(packets(spark, sf_dir), slide_ms=1000)
 
 
+def _written_packets(spark, sf_dir):
+    path = scratch_dir(spark, "packets")
+    packets(spark, sf_dir).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def syn_counts_reset(spark, sf_dir):
+    return reset.syn_counts_reset(_written_packets(spark, sf_dir))
+
+
+def syn_flood_reset_alerts(spark, sf_dir):
+    return reset.syn_floods_reset(_written_packets(spark, sf_dir))
+
+
 def syn_flood_alerts(spark, sf_dir):
     return rates.syn_floods(packets(spark, sf_dir))
 
@@ -460,6 +474,8 @@ QUERIES = {
     "signature_rule_table": signature_rule_table,
     "syn_counts": syn_counts,
     "syn_counts_sliding": syn_counts_sliding,
+    "syn_counts_reset": syn_counts_reset,
+    "syn_flood_reset_alerts": syn_flood_reset_alerts,
     "syn_flood_alerts": syn_flood_alerts,
     "port_distinct": port_distinct,
     "port_scan_alerts": port_scan_alerts,
