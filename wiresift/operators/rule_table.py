@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from wiresift.operators.alerts import to_alert
+
 GRAM = 4
 RULE_COLUMNS = ("rule_name", "severity", "pattern")
 
@@ -82,3 +84,12 @@ def rule_table_matches(rows: DataFrame, rules: DataFrame, key: str = "packet_id"
     size = F.length("pattern")
     found = rows.join(met, F.col(key) == F.col("_key")).where(F.substring(F.col(payload), F.col("match_pos"), size) == F.col("pattern"))
     return found.withColumn("match_end", F.col("match_pos") + size - 1).drop("_key", "pattern")
+
+
+def rule_table_alerts(events: DataFrame, rules: DataFrame) -> DataFrame:
+    """One alert per occurrence of a rule's pattern in a payload sample. ``events`` is read more than once."""
+    columns = ["packet_id", "timestamp_ms", "src_ip", "dst_ip", "payload_sample"]
+    detail = F.concat(F.lit("signature match for rule '"), F.col("rule_name"), F.lit("' in payload sample"))
+    return to_alert(
+        rule_table_matches(events.select(*columns), rules), rule=F.col("rule_name"), severity=F.col("severity"), detail=detail,
+        detector="Signature", stage=1, match_pos=F.col("match_pos"), match_end=F.col("match_end"))

@@ -539,6 +539,17 @@ ORACLE = {
     "stream_signature": _with(_ALERTS + "sig", "sig"),
     "stream_sequence": _with(_ALERTS + "seq", "seq"),
     "stream_capture": _with(_ALERTS + "sig", "sig"),
+    "stream_flood_at_crossing": _with(_ALERTS + "flood", "flood"),
+    "stream_cms_flood_sources": _with("""SELECT src_ip, window_start_ms, n_estimate FROM estimates
+        WHERE n_estimate >= 50""", "estimates"),
+    "stream_alert_ids": _with("""SELECT id, detector, rule_name, timestamp_ms, packet_id, match_pos
+        FROM numbered WHERE detector = 'Signature'""", "numbered"),
+    "stream_signature_rules": _with(_ALERTS + "sig", "sig"),
+    "stream_decode": _with("""SELECT reason, count(*) AS n, CASE WHEN reason = 'decoded' THEN sum(packet_id)::BIGINT END AS packet_ids,
+        CASE WHEN reason = 'decoded' THEN sum(length(payload))::BIGINT END AS payload_bytes
+        FROM (SELECT *, CASE WHEN packet_id % 97 = 0 OR packet_id % 101 = 0 THEN 'unreadable'
+                             WHEN packet_id % 103 = 0 THEN 'missing timestamp_ms' ELSE 'decoded' END AS reason FROM packets)
+        GROUP BY reason""", "packets"),
     "stream_stats": _with("""SELECT (SELECT count(*) FROM packets) AS events_processed,
         CAST(0 AS BIGINT) AS events_dropped, (SELECT count(*) FROM sig) AS alerts_fired""", "packets", "sig"),
 }

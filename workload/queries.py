@@ -15,11 +15,11 @@ from wiresift.operators import alerts as al
 from wiresift.operators import frames, rates, reset, rule_table, sequence, signature, sketches, telemetry, triage
 from wiresift.plans.capture import captured_by_polls
 from wiresift.plans.detection import all_alerts, store_suspects
-from wiresift.rules import DEFAULT_SEQUENCE, SignatureRule, catalogue
+from wiresift.rules import DEFAULT_SEQUENCE, DEFAULT_SIGNATURES, SignatureRule, catalogue
 from wiresift.schema import ALERT, CAPTURED_ALERT, STATS
 from wiresift.scratch import scratch_dir
 from wiresift.sources import tables
-from wiresift.streaming import processors, run, windows
+from wiresift.streaming import crossing, processors, run, sinks, sketches as stream_sketches, windows
 from workload import trace
 
 DAY_MS = 86400000
@@ -446,6 +446,42 @@ def _polled_twice(packet_rows: DataFrame) -> DataFrame:
     return run.capture_unseen(polled.drop("poll"))
 
 
+def stream_alert_ids(spark, sf_dir):
+    root = scratch_dir(spark, "stream-alert-ids")
+    found = signature.signature_alerts(packet_stream(spark, sf_dir))
+    sinks.each_batch(found, sinks.write_numbered(root), f"{root}/checkpoint")
+    return sinks.read_numbered(spark, root, ALERT).select(
+        "id", "detector", "rule_name", "timestamp_ms", "packet_id", "match_pos")
+
+
+def stream_signature_rules(spark, sf_dir):
+    root = scratch_dir(spark, "stream-signature-rules")
+    rules = [(r.name, r.severity, bytearray(r.pattern)) for r in DEFAULT_SIGNATURES]
+    spark.createDataFrame(rules, "rule_name string, severity string, pattern binary").write.parquet(f"{root}/table")
+    sinks.each_batch(packet_stream(spark, sf_dir), sinks.write_rule_alerts(f"{root}/table", root), f"{root}/checkpoint")
+    return spark.read.schema(ALERT).parquet(f"{root}/alerts").select(*ALERT.names)
+
+
+def _messages(packet_rows: DataFrame) -> DataFrame:
+    """Packets as lines of JSON, some cut off, some with a text for a number, some without a field."""
+    line, no = F.to_json(F.struct(*[F.col(c) for c in packet_rows.columns])), F.col("packet_id")
+    return packet_rows.select(
+        F.when(no % 97 == 0, F.left(line, F.lit(20)))
+        .when(no % 101 == 0, F.regexp_replace(line, '"flags":[0-9]+', '"flags":"many"'))
+        .when(no % 103 == 0, F.regexp_replace(line, '"timestamp_ms":[0-9]+,', ""))
+        .otherwise(line).alias("value"))
+
+
+def stream_decode(spark, sf_dir):
+    root = scratch_dir(spark, "stream-decode")
+    _messages(packets(spark, sf_dir)).write.text(f"{root}/lines")
+    sinks.run_decoding(spark.readStream.text(f"{root}/lines"), f"{root}/out", f"{root}/checkpoint")
+    good = sinks.read_decoded(spark, f"{root}/out").agg(
+        F.lit("decoded").alias("reason"), F.count("*").alias("n"), F.sum("packet_id").alias("packet_ids"), F.sum(F.length("payload_sample")).alias("payload_bytes"))
+    dead = sinks.read_dead_letters(spark, f"{root}/out").groupBy("reason").agg(F.count("*").alias("n"))
+    return good.unionByName(dead, allowMissingColumns=True)
+
+
 QUERIES = {
     "all_alerts": alerts,
     "all_alerts_staged": all_alerts_staged,
@@ -522,4 +558,9 @@ QUERIES = {
     "stream_scan_alerts": _drained("stream-scan-alerts", processors.stream_port_scan_alerts),
     "stream_all_alerts": _drained("stream-all-alerts", processors.stream_all_alerts),
     "stream_stats": stream_stats,
+    "stream_flood_at_crossing": _drained("stream-flood-crossing", crossing.stream_floods_at_crossing),
+    "stream_cms_flood_sources": _drained("stream-cms", stream_sketches.stream_cms_flood_sources),
+    "stream_alert_ids": stream_alert_ids,
+    "stream_signature_rules": stream_signature_rules,
+    "stream_decode": stream_decode,
 }
