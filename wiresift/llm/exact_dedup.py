@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from wiresift.llm.common import stored
 from wiresift.scratch import scratch_dir
@@ -44,6 +44,11 @@ def located(rows: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
     return rows.select(F.col("doc_id"), text.alias("text"), digest(text).alias("digest"), at.alias("at"))
 
 
+def own_schema(spark: SparkSession, path: str) -> T.StructType:
+    """The two columns that are read; others might bear the name under which Spark gives a row's file."""
+    return T.StructType([f for f in spark.read.parquet(path).schema.fields if f.name in ("doc_id", "text")])
+
+
 def update_state(
     spark: SparkSession, path: str, checkpoint: str, digest: Callable[[Column], Column] = sha256, bytes_per_trigger: int = BYTES_PER_TRIGGER
 ) -> DataFrame:
@@ -55,7 +60,7 @@ def update_state(
     for key, value in {"spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions"), **SETTINGS}.items():
         session.conf.set(key, value)
     pattern = f"{path[:-1]}[{path[-1]}]"  # a stream's plain path must be a folder; a pattern may name one file as well
-    rows = session.readStream.schema(spark.read.parquet(path).schema).option("maxBytesPerTrigger", bytes_per_trigger).parquet(pattern)
+    rows = session.readStream.schema(own_schema(spark, path)).option("maxBytesPerTrigger", bytes_per_trigger).parquet(pattern)
     state = (
         located(rows, digest).select("digest", "at")
         .groupBy("digest").agg(F.max("at").alias("keep"), F.count(F.lit(1)).alias("group_size"))
@@ -97,7 +102,7 @@ def exact_dedup(
     whatever their names, play no part. An empty table gives no rows.
     """
     state = update_state(spark, path, checkpoint or scratch_dir(spark, "dedup-stream"), digest, bytes_per_trigger)
-    rows = located(spark.read.parquet(path), digest)
+    rows = located(spark.read.schema(own_schema(spark, path)).parquet(path), digest)
     differ = stored(collisions(rows, state), "dedup-collisions")
     columns = ["doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("at") == F.col("keep")).alias("kept"), "digest"]
     settled = rows.drop("text").join(state, "digest")

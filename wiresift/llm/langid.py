@@ -12,15 +12,15 @@ anew at each.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from wiresift.llm.common import documents
+from wiresift.llm.common import documents, stored
+from wiresift.operators.ordered import kth_row
 
 SAMPLE_ROWS = 2000
 WINDOWS_PER_ROW = 4
@@ -31,11 +31,9 @@ BATCH = 128
 RATE = 0.01
 SEED = 1_309
 LANES = 1024
-MOST_LANGUAGES = 256
 UNKNOWN = "und"
 FOLDS = 5
 
-LETTER = re.compile(r"[^\W\d_]")
 PARTS = ("table", "recurrent", "output")
 
 
@@ -191,26 +189,23 @@ def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
     The languages' names and the sample are all that reaches the driver.
     """
     taught = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0))
-    languages = sorted(r["lang"] for r in taught.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    languages = sorted(r["lang"] for r in taught.select("lang").distinct().collect())
     if not languages:
         return LanguageModel([], {})
     hashed = taught.select("lang", F.xxhash64(F.lit(SEED), "doc_id", "text").alias("_hash"), "text")
-    first = Window.partitionBy("lang").orderBy("_hash")
-    bounds = (
-        hashed.drop("text").withColumn("_rank", F.row_number().over(first))
-        .where(F.col("_rank") <= max(1, sample_rows // len(languages))).groupBy("lang").agg(F.max("_hash").alias("_most"))
-    )
+    hashes = stored(hashed.select("lang", "_hash").distinct(), "language-hashes")
+    # no language's rows meet in one task; one with fewer rows is taken whole
+    last = kth_row(hashes, ["lang"], ["_hash"], max(1, sample_rows // len(languages))).withColumnRenamed("_hash", "_last")
+    bounds = hashes.groupBy("lang").agg(F.max("_hash").alias("_most")).join(last, "lang", "left").select("lang", F.coalesce("_last", "_most").alias("_most"))
     starts = F.transform(
         F.sequence(F.lit(0), F.lit(WINDOWS_PER_ROW - 1)),
         lambda k: (F.floor(F.greatest(F.length("text") - WINDOW, F.lit(0)) * k / (WINDOWS_PER_ROW - 1)) + 1).cast("int"),
     )
     sample = (
-        hashed.join(F.broadcast(bounds), "lang").where("_hash <= _most")  # one row a language, MOST_LANGUAGES at most
+        hashed.join(bounds, "lang").where("_hash <= _most")  # a row a language, whose names are with the driver anyway
         .select("lang", "_hash", F.explode(F.array_distinct(starts)).alias("start"), "text")
         .select("lang", "_hash", "start", F.substring("text", F.col("start"), F.lit(WINDOW)).alias("part"))
-        .limit(4 * WINDOWS_PER_ROW * sample_rows)  # rows repeated whole share a hash and could exceed the bound
+        .distinct()  # rows repeated whole share a hash
         .collect()
     )
     sample.sort(key=lambda r: (r["_hash"], r["start"], r["lang"], r["part"]))
@@ -234,7 +229,7 @@ def label(rows: DataFrame, model: LanguageModel) -> DataFrame:
             predicted, scores, counts = [], [], []
 
             def take(texts: list) -> None:
-                known = [bool(model.languages and t and LETTER.search(t)) for t in texts]
+                known = [bool(model.languages and t and any(map(str.isalpha, t))) for t in texts]
                 sums, by_language = pooled(model, [t if k else None for t, k in zip(texts, known, strict=True)]) if model.languages else ([None] * len(texts),) * 2
                 for k, p, n in zip(known, sums, by_language, strict=True):
                     predicted.append(model.languages[int(p.argmax())] if k else UNKNOWN)

@@ -11,9 +11,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from wiresift.llm.common import documents, expand, stored, text_key
+from wiresift.llm.common import documents, expand, free_names, stored, text_key
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -124,8 +124,8 @@ def mix(rows: DataFrame, share: float = SHARE, most: float = MOST_REPEATS, weigh
 
     ``rows`` has doc_id, text_key, source and size (words). One row comes back
     for each different one, with ``rows`` (how often it was there), source_size,
-    target and ``copies`` (0 to ``most``). Rows repeated whole are one document
-    of that many times the words, taken or left together. Null sources form one
+    target and ``copies`` (0 to ``most``) of each of them. Where some of a row's repetitions are taken once
+    more than the others, there are two such rows. Null sources form one
     source, the last. A document without words meets no target and gets 0
     copies. An empty table gives no rows.
 
@@ -135,34 +135,39 @@ def mix(rows: DataFrame, share: float = SHARE, most: float = MOST_REPEATS, weigh
     """
     keys = ["doc_id", "text_key", "source", "size"]
     items = stored(
-        rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).withColumn("words", F.col("rows") * F.col("size")), "mix-items"
+        rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")), "mix-items"
     )
-    sources = stored(source_targets(items.groupBy("source").agg(F.sum("words").alias("source_size")), share, most, weights), "mix-sources")
+    sources = stored(source_targets(items.groupBy("source").agg(F.sum(F.col("rows") * F.col("size")).alias("source_size")), share, most, weights), "mix-sources")
     known = items.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     quotas = stored(
-        known.groupBy("source_no", "words", "source_size", "target").agg(F.count(F.lit(1)).alias("items"))
+        known.groupBy("source_no", F.col("size").alias("words"), "source_size", "target").agg(F.sum("rows").alias("items"))
         .groupBy("source_no").applyInPandas(_quotas, "source_no int, words long, items long, passes int, quota long"),
         "mix-quotas",
     )
     seeded = F.xxhash64(F.lit(seed), "doc_id", "text_key")
     ranked = (
-        known.join(quotas, ["source_no", "words"])
+        known.join(quotas.withColumnRenamed("words", "size"), ["source_no", "size"])
         .withColumn("_hash", seeded)
         .withColumn("_buckets", F.ceil(F.col("items") / F.lit(BUCKET_ROWS)))
         .withColumn("_bucket", F.floor(F.shiftrightunsigned("_hash", 33) * F.col("_buckets") / F.lit(float(1 << 31))).cast("long"))
     )
-    group = ["source_no", "words", "_bucket"]
-    before = Window.partitionBy("source_no", "words").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    group = ["source_no", "size", "_bucket"]
+    before = Window.partitionBy("source_no", "size").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        ranked.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+        ranked.groupBy(*group).agg(F.sum("rows").alias("_n"))
         .select(*group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     )
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy("_hash", "doc_id", "text_key", "size"))
+    ahead = F.coalesce(F.sum("rows").over(Window.partitionBy(*group).orderBy("_hash", "doc_id", "text_key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chosen = F.greatest(F.lit(0).cast("long"), F.least(F.col("rows"), F.col("quota") - F.col("_start") - F.col("_ahead")))
+    some = lambda n, copies: F.struct(n.alias("rows"), copies.cast("int").alias("copies"))
+    parts = F.when(F.col("size") > 0, F.array(some(F.col("_more"), F.col("passes") + 1), some(F.col("rows") - F.col("_more"), F.col("passes")))).otherwise(
+        F.array(some(F.col("rows"), F.lit(0))))
     return (
-        ranked.withColumn("_rank", rank)
+        ranked.withColumn("_ahead", ahead)
         .join(starts, group)
-        .withColumn("copies", F.when(F.col("words") > 0, F.col("passes") + (F.col("_start") + F.col("_rank") <= F.col("quota")).cast("int")).otherwise(0))
-        .select(*keys, "rows", "source_size", "target", "copies")
+        .withColumn("_more", chosen)
+        .select(*keys, "source_size", "target", F.explode(F.filter(parts, lambda p: p["rows"] > 0)).alias("_p"))
+        .select(*keys, "_p.rows", "source_size", "target", "_p.copies")
     )
 
 
@@ -171,12 +176,19 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every document as often as it is taken, with the columns it came with."""
-    choice = mix(measured(docs), **options).where("copies > 0").select(
-        F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.col("source").alias("_source"), F.col("copies").alias("_copies")
-    )
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (text_key() == F.col("_key")) & F.col("source").eqNullSafe(F.col("_source"))
-    return expand(docs.join(choice, same), "_copies", "_copy").select(*[docs[c] for c in docs.columns])
+    """The mix itself: every document as often as it is taken, with the columns it came with, whatever their names.
+
+    Rows repeated whole are brought together first, as what is taken of them is a number.
+    """
+    key, doc, source, own_doc, own_source, taken, row, copy = free_names(docs, "key", "doc", "source_", "own_doc", "own_source", "taken", "row", "copy")
+    hashed = [F.map_entries(f.name) if isinstance(f.dataType, T.MapType) else F.col(f.name) for f in docs.schema.fields]
+    keyed = docs.withColumn(key, F.xxhash64(*hashed))
+    choice = mix(keyed.select("doc_id", F.col(key).alias("text_key"), "source", word_count().alias("size")), **options)
+    choice = choice.groupBy(F.col("doc_id").alias(doc), F.col("text_key").alias(key), F.col("source").alias(source)).agg(F.sum(F.col("rows") * F.col("copies")).alias(taken))
+    whole = keyed.groupBy(F.col("doc_id").alias(own_doc), key, F.col("source").alias(own_source)).agg(F.first(F.struct(*docs.columns)).alias(row))
+    same = (whole[key] == choice[key]) & F.col(own_doc).eqNullSafe(F.col(doc)) & F.col(own_source).eqNullSafe(F.col(source))
+    both = whole.join(choice.where(F.col(taken) > 0), same).select(row, taken)
+    return expand(both, taken, copy).select(f"{row}.*")
 
 
 def op2_subset_sum_mix(spark, sf_dir) -> DataFrame:

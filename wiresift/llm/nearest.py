@@ -54,10 +54,10 @@ def bounds(
     """Lower and upper bounds of the squared distances, a row a query."""
     dimensions = queries.shape[1]
     away = queries - centre
-    turned = (away @ turn).astype(np.float32)
-    signs = np.unpackbits(codes, axis=1, count=dimensions).astype(np.float32) * 2 - 1
+    turned = away @ turn
+    signs = np.unpackbits(codes, axis=1, count=dimensions).astype(np.float64) * 2 - 1
     # the products with the code, whose entries are +-1/sqrt(d), scaled to those with the vector
-    inner = (turned @ signs.T) * (length / (product * np.sqrt(dimensions))).astype(np.float32)
+    inner = (turned @ signs.T) * (length / (product * np.sqrt(dimensions)))
     far = np.sqrt((away**2).sum(axis=1))
     spread = np.sqrt(np.maximum(1 - product**2, 0)) / product * length
     error = errors * 2 * far[:, None] * spread[None, :] / np.sqrt(max(dimensions - 1, 1))
@@ -73,14 +73,21 @@ def search_block(
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for at in range(0, len(queries), QUERIES_AT_ONCE):
         some, some_ids = queries[at : at + QUERIES_AT_ONCE], query_ids[at : at + QUERIES_AT_ONCE]
-        low, high = bounds(codes, length, product, some, centre, turn)
+        with np.errstate(over="ignore", invalid="ignore"):
+            low, high = bounds(codes, length, product, some, centre, turn)
         own = some_ids[:, None] == ids[None, :]
-        low[own], high[own] = np.inf, np.inf
+        # a bound beyond what numbers hold says nothing: such a vector is reranked, and limits no other
+        open_ = ~(np.isfinite(low) & np.isfinite(high))
+        low[open_], high[open_] = -np.inf, np.inf
+        high[own] = np.inf
         limit = np.partition(high, k - 1, axis=1)[:, k - 1] if high.shape[1] > k else np.full(len(some), np.inf)
-        slack = 1e-5 * (1 + np.abs(np.where(np.isfinite(limit), limit, 0)))  # single precision
+        # what rounding may add up to, against the largest squares that were subtracted
+        largest = ((some - centre) ** 2).sum(axis=1) + (length.max() ** 2 if len(length) else 0)
+        slack = 1e-9 * (1 + np.where(np.isfinite(largest), largest, 0))
         for i in range(len(some)):
-            near = np.flatnonzero(np.isfinite(low[i]) & (low[i] <= limit[i] + slack[i]))
-            distance = np.sqrt(((vectors[near].astype(np.float64) - some[i]) ** 2).sum(axis=1))
+            near = np.flatnonzero(~own[i] & (low[i] <= limit[i] + slack[i]))
+            with np.errstate(over="ignore"):
+                distance = np.sqrt(((vectors[near].astype(np.float64) - some[i]) ** 2).sum(axis=1))
             first = np.lexsort((ids[near], distance))[:k]
             out.append((np.full(len(first), some_ids[i]), ids[near][first], distance[first]))
     return tuple(np.concatenate([x[j] for x in out]) if out else np.empty(0) for j in range(3))

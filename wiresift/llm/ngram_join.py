@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wiresift.llm.common import blocks, documents, stored, text_key
+from wiresift.llm.common import blocks, documents, free_names, stored, text_key
 from wiresift.llm.components import components
 
 WORDS = 5
@@ -333,10 +333,11 @@ def similar_texts(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS,
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents that stay, with the columns they came with: the first of each class, once."""
-    first = similar_texts(docs, **options).where("stays").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (text_key() == F.col("_key"))
-    return docs.join(first, same).dropDuplicates(["_doc", "_key"]).select(*[docs[c] for c in docs.columns])
+    """The documents that stay, with the columns they came with, whatever their names: the first of each class, once."""
+    doc, key = free_names(docs, "doc", "key")
+    first = similar_texts(docs, **options).where("stays").select(F.col("doc_id").alias(doc), F.col("text_key").alias(key)).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (text_key() == F.col(key))
+    return docs.join(first, same).dropDuplicates([doc, key]).select(*[docs[c] for c in docs.columns])
 
 
 def op7_minhash_forest_join(spark, sf_dir) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from wiresift.llm.common import blocks, documents, stored, text_key
+from wiresift.llm.common import blocks, documents, free_names, stored, text_key
 
 BOUNDARY_BITS = 5
 GAP_BYTES = 64
@@ -191,13 +191,14 @@ def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
     keys, and rows repeated whole stay alike. A column named ``removed`` is replaced.
     """
     names = [c for c in docs.columns if c != "removed"]
+    doc, key, spans_of = free_names(docs, "doc", "key", "found")
     found = (
         repeats(docs).groupBy("doc_id", "text_key")
-        .agg(F.collect_set(F.struct("start", "length", "words", "first_doc")).alias("_found"))
-        .select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), "_found")
+        .agg(F.collect_set(F.struct("start", "length", "words", "first_doc")).alias(spans_of))
+        .select(F.col("doc_id").alias(doc), F.col("text_key").alias(key), spans_of)
     )
-    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == F.col("_doc")) & (text_key() == F.col("_key"))
-    joined = docs.select(*names).join(found, same, "left").select(*names, "_found")
+    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == F.col(doc)) & (text_key() == F.col(key))
+    joined = docs.select(*names).join(found, same, "left").select(*names, spans_of)
     id_at, text_at = names.index("doc_id"), names.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
