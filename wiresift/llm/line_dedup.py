@@ -112,10 +112,13 @@ def described(lines: DataFrame, grades: list[int], threshold: float) -> DataFram
 
 
 def prefixes(lines: DataFrame, upto: int | None = None) -> DataFrame:
-    """A row for each prefix word of lines from ``described``, or the first few: word, at, no, size, place (from 0), parities, other columns."""
+    """A row for each prefix word of lines from ``described``, or the first few: word, at, no, size, place (from 0), parities, other columns.
+
+    ``word`` is 32 bits of the word's hash, enough to meet by: words that share them add candidates and lose none.
+    """
     rest = [c for c in lines.columns if c != "prefix"]
     chosen = F.col("prefix") if upto is None else F.slice("prefix", 1, upto)
-    return lines.select(*rest, F.posexplode(chosen).alias("place", "word"))
+    return lines.select(*rest, F.posexplode(chosen).alias("place", "word")).withColumn("word", F.hash("word"))
 
 
 def apart(a: str, b: str) -> Column:
@@ -168,7 +171,7 @@ def keyed_rows(lines: DataFrame) -> DataFrame:
     single = rows.join(hot, "word", "left_anti")
     of_line = [c for c in lines.columns if c != "prefix"]
     two = rows.join(hot, "word", "left_semi").groupBy(*of_line).agg(F.sort_array(F.collect_list(F.struct("word", "place"))).alias("h")).where(F.size("h") > 1)
-    pairs = F.flatten(F.transform("h", lambda a, i: F.transform(F.slice("h", i + 2, F.size("h")), lambda b: F.struct(F.xxhash64(a["word"], b["word"]).alias("word"), a["place"].alias("place")))))
+    pairs = F.flatten(F.transform("h", lambda a, i: F.transform(F.slice("h", i + 2, F.size("h")), lambda b: F.struct(F.hash(a["word"], b["word"]).alias("word"), a["place"].alias("place")))))
     met = two.select(*of_line, F.explode(pairs).alias("pair")).select(*of_line, "pair.place", "pair.word")
     return single.unionByName(met)
 
@@ -203,7 +206,8 @@ def kept_lines(texts: DataFrame, grades: list[int], first: DataFrame, threshold:
     lines = stored(described(lines_of(texts, first, "first"), grades, threshold), "line-prefixes")
     tried = stored(nearest_first(lines, threshold), "line-pairs")
     matched = stored(similar(tried, texts, first, threshold).select("y.*"), "matched-lines")
-    marked = lines.join(matched.withColumn("_gone", F.lit(True)), list(LINE), "left").withColumn("open", F.col("_gone").isNull()).drop("_gone")
+    # stored, so that the plan that follows reads it from there instead of dealing the lines out for each of its uses
+    marked = stored(lines.join(matched.withColumn("_gone", F.lit(True)), list(LINE), "left").withColumn("open", F.col("_gone").isNull()).drop("_gone"), "line-prefixes")
     rest = stored(meeting(marked, threshold).join(tried, ["y", "x"], "left_anti"), "line-pairs")
     removed = matched.union(similar(rest, texts, first, threshold).select("y.*"))
     gone = removed.groupBy("at").agg(F.sort_array(F.collect_set("no")).alias("nos")).select("at", flags(F.col("nos")).alias("gone"))
