@@ -159,6 +159,18 @@ _cte("matches", _brackets(f"""
       SELECT *, packet_id AS tie, 1 AS o, 1 AS x FROM packets WHERE {SYN}""",
                           "src_ip", "timestamp_ms", 5000), "packets")
 
+_cte("repeats", _brackets("""
+      SELECT *, packet_id AS tie, 0 AS o, -1 AS x FROM packets WHERE contains(payload, 'passwd')
+      UNION ALL
+      SELECT *, packet_id AS tie, 1 AS o, 1 AS x FROM packets WHERE contains(payload, 'passwd')""",
+                          "src_ip", "timestamp_ms", 8000), "packets")
+
+_cte("high_ports", _brackets(f"""
+      SELECT *, packet_id AS tie, 0 AS o, -1 AS x FROM packets WHERE dst_port > 8000
+      UNION ALL
+      SELECT *, packet_id AS tie, 1 AS o, 1 AS x FROM packets WHERE {SYN}""",
+                             "src_ip", "timestamp_ms", 60000), "packets")
+
 _cte("seq", f"""
   SELECT timestamp_ms, 'probe-then-exploit-attempt' AS rule_name, 'Critical' AS severity,
          {_ip('src_ip')} AS src_ip, {_ip('dst_ip')} AS dst_ip,
@@ -448,6 +460,12 @@ ORACLE = {
     "port_scan_alerts": _with(_ALERTS + "scan", "scan"),
     "sequence_alerts": _with(_ALERTS + "seq", "seq"),
     "sequence_nstep": _with(_ALERTS + "seq", "seq"),
+    "sequence_rule_set": _with(_ALERTS + "seq" + "".join(f"""
+        UNION ALL
+        SELECT timestamp_ms, '{rule}', '{severity}', {_ip('src_ip')}, {_ip('dst_ip')},
+               'CEP rule ''{rule}'' completed: 2 steps matched within {limit}', 'Cep', packet_id, 4, 0, 0 FROM {matches}"""
+        for rule, severity, limit, matches in (("exploit-repeated", "High", "8s", "repeats"), ("probe-then-high-port", "Medium", "60s", "high_ports"))),
+        "seq", "repeats", "high_ports"),
     "sequence_pairs_all": _with(f"""SELECT e.src_ip, e.timestamp_ms, e.packet_id, count(*) AS n_pairs
         FROM packets e JOIN (SELECT * FROM packets WHERE {SYN}) p
           ON p.src_ip = e.src_ip AND e.timestamp_ms BETWEEN p.timestamp_ms AND p.timestamp_ms + 5000

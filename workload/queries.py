@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from wiresift.functions import clock, net
 from wiresift.functions.severity import severity_rank
 from wiresift.operators import alerts as al
-from wiresift.operators import frames, rates, reset, rule_table, sequence, signature, sketches, telemetry, triage
+from wiresift.operators import frames, rates, reset, rule_set, rule_table, sequence, signature, sketches, telemetry, triage
 from wiresift.plans.capture import captured_by_polls
 from wiresift.plans.detection import all_alerts, store_suspects
-from wiresift.rules import DEFAULT_SEQUENCE, DEFAULT_SIGNATURES, SignatureRule, catalogue
+from wiresift.rules import DEFAULT_SEQUENCE, DEFAULT_SIGNATURES, SequenceRule, SignatureRule, catalogue
 from wiresift.schema import ALERT, CAPTURED_ALERT, STATS
 from wiresift.scratch import scratch_dir
 from wiresift.sources import tables
@@ -248,12 +248,18 @@ def sequence_alerts(spark, sf_dir):
 
 
 def sequence_nstep(spark, sf_dir):
-    rule = DEFAULT_SEQUENCE
-    done = sequence.step_matches(
-        packets(spark, sf_dir), "src_ip", "timestamp_ms", "packet_id",
-        rule.conditions(), rule.within_ms, ["dst_ip"])
-    return al.to_alert(
-        done, rule.name, rule.severity, sequence.sequence_detail(rule), "Cep", stage=4)
+    return rule_set.rule_set_alerts(packets(spark, sf_dir), [DEFAULT_SEQUENCE])
+
+
+SEQUENCE_RULES = (
+    DEFAULT_SEQUENCE,
+    SequenceRule("exploit-repeated", "High", (lambda: net.payload_contains(b"passwd"),) * 2, 8000),
+    SequenceRule("probe-then-high-port", "Medium", (net.syn_only, lambda: net.port_above(8000)), 60000),
+)
+
+
+def sequence_rule_set(spark, sf_dir):
+    return rule_set.rule_set_alerts(packets(spark, sf_dir), SEQUENCE_RULES)
 
 
 def sequence_pairs_all(spark, sf_dir):
@@ -274,9 +280,8 @@ def sequence_conversations(spark, sf_dir):
 
 def sequence_three_step(spark, sf_dir):
     turns = trace.read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
-    return sequence.step_matches(
-        turns, "conv_id", "turn", "turn",
-        [_role("user"), _role("assistant"), _role("user")], within=4)
+    steps = [_role("user"), _role("assistant"), _role("user")]
+    return rule_set.rule_set_matches(turns, "conv_id", "turn", "turn", [(steps, 4)]).drop("rule")
 
 
 # --- sketches ----------------------------------------------------------------
@@ -517,6 +522,7 @@ QUERIES = {
     "port_scan_alerts": port_scan_alerts,
     "sequence_alerts": sequence_alerts,
     "sequence_nstep": sequence_nstep,
+    "sequence_rule_set": sequence_rule_set,
     "sequence_pairs_all": sequence_pairs_all,
     "sequence_conversations": sequence_conversations,
     "sequence_three_step": sequence_three_step,
