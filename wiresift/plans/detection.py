@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from wiresift.operators.rates import port_scans, syn_floods
+from wiresift.operators.rule_set import rule_set_alerts
 from wiresift.operators.sequence import sequence_alerts
 from wiresift.operators.signature import contains_any, signature_alerts
 from wiresift.rules import (
@@ -54,7 +55,8 @@ def all_alerts(
     """Signature, flood, scan and sequence alerts as one bag.
 
     Each branch reads only the columns it needs. ``stage`` and the match
-    position give the order in which a packet's alerts arrive.
+    position give the order in which a packet's alerts arrive. Sequences of three and
+    more steps are found together in one pass.
 
     On large tables, store the suspects first (``store_suspects``, with the
     same rules) and pass them in. Payloads, the bulk of the table, are then
@@ -62,10 +64,12 @@ def all_alerts(
     complete them: a flood of probes ends at the scan instead of in a shuffle.
     """
     matching = events if suspects is None else suspects
+    longer = [rule for rule in sequences if len(rule.steps) > 2]
     branches = [
         *([signature_alerts(matching, signatures)] if signatures else []),
         syn_floods(events, syn_threshold, width_ms),
         port_scans(events, port_threshold, width_ms),
-        *[sequence_alerts(events, rule, seconds=suspects) for rule in sequences],
+        *[sequence_alerts(events, rule, seconds=suspects) for rule in sequences if len(rule.steps) == 2],
+        *([rule_set_alerts(events, longer)] if longer else []),
     ]
     return reduce(DataFrame.unionByName, branches)

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 SHARED = "spark.checkpoint.dir"
+_OWN: dict[str, str] = {}  # folders of local sessions that name none, by application
 
 
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
@@ -20,6 +21,8 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError(f"set {SHARED} to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="wiresift-")
-        spark.conf.set(SHARED, base)
+        application = spark.sparkContext.applicationId
+        if application not in _OWN:
+            _OWN[application] = tempfile.mkdtemp(prefix="wiresift-")
+        base = _OWN[application]
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
