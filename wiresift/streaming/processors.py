@@ -16,7 +16,6 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from wiresift.functions.clock import window_start
 from wiresift.functions.net import syn_only
 from wiresift.functions.steps import StepTracker
 from wiresift.operators.alerts import to_alert
@@ -59,15 +58,6 @@ _OPEN = T.StructType([
     T.StructField("serial", T.LongType()),
     T.StructField("started", T.LongType()),
 ])
-_SIGHTING = T.StructType([
-    T.StructField("dst_port", T.IntegerType()),
-    T.StructField("timestamp_ms", T.LongType()),
-    T.StructField("packet_id", T.LongType()),
-    T.StructField("dst_ip", T.LongType()),
-])
-_RANKED = T.StructType([f for f in _WAITING.fields if f.name in ("timestamp_ms", "packet_id", "dst_ip")])
-
-
 def _crossings(src_ip: int, rows: list[tuple]) -> pd.DataFrame:
     """(timestamp_ms, packet_id, dst_ip, …) tuples as CROSSING rows."""
     return pd.DataFrame({
@@ -78,71 +68,6 @@ def _crossings(src_ip: int, rows: list[tuple]) -> pd.DataFrame:
     })
 
 
-class KthPacket(StatefulProcessor):
-    """Emits the k-th packet of a (source, window) when the window closes.
-
-    State is the k earliest packets, however many there are.
-    """
-
-    def __init__(self, k: int, width_ms: int):
-        self.k, self.width_ms = k, width_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.earliest = handle.getListState("earliest", _RANKED)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        kept = [tuple(r) for r in self.earliest.get()] if self.earliest.exists() else []
-        for pdf in rows:
-            kept.extend(zip(pdf["timestamp_ms"].tolist(), pdf["packet_id"].tolist(), pdf["dst_ip"].tolist()))
-            kept = sorted(kept)[: self.k]
-        self.earliest.put(kept)
-        self.handle.registerTimer(key[1] + self.width_ms)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        kept = [tuple(r) for r in self.earliest.get()] if self.earliest.exists() else []
-        self.earliest.clear()
-        if len(kept) == self.k:
-            yield _crossings(key[0], kept[-1:])
-
-    def close(self) -> None:
-        pass
-
-
-class KthNewPort(StatefulProcessor):
-    """Emits, when a (source, window) closes, the packet that first touches its k-th port.
-
-    State is the first packet of each port, so at most 65,536 entries.
-    """
-
-    def __init__(self, k: int, width_ms: int):
-        self.k, self.width_ms = k, width_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.first = handle.getListState("first", _SIGHTING)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first = {r[0]: tuple(r[1:]) for r in self.first.get()} if self.first.exists() else {}
-        for pdf in rows:
-            earliest = pdf.sort_values(["timestamp_ms", "packet_id"]).drop_duplicates("dst_port")
-            for port, *seen in zip(*(earliest[c].tolist() for c in ("dst_port", "timestamp_ms", "packet_id", "dst_ip"))):
-                first[port] = min(tuple(seen), first.get(port, tuple(seen)))
-        self.first.put([(port, *seen) for port, seen in first.items()])
-        self.handle.registerTimer(key[1] + self.width_ms)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        seen = sorted(tuple(r[1:]) for r in self.first.get()) if self.first.exists() else []
-        self.first.clear()
-        if len(seen) >= self.k:
-            yield _crossings(key[0], seen[self.k - 1 : self.k])
-
-    def close(self) -> None:
-        pass
-
-
 class StepSequence(StatefulProcessor):
     """Tracks the steps of a sequence rule for one (source, span)."""
 
@@ -191,22 +116,34 @@ class StepSequence(StatefulProcessor):
         pass
 
 
+def _kth_of_window(parts: DataFrame, width_ms: int, k: int) -> DataFrame:
+    """The k-th packet of each (window, source) as CROSSING rows, at the window's close.
+
+    ``parts`` is a windowed aggregate (window, src_ip, seen) with sorted lists of (timestamp_ms, packet_id, dst_ip).
+    This is a second aggregate behind it, over the window's own time.
+    """
+    timed = parts.select(F.window_time("window").alias("ts"), "src_ip", "seen")
+    whole = timed.groupBy(F.window("ts", f"{width_ms} milliseconds"), "src_ip").agg(F.flatten(F.collect_list("seen")).alias("seen"))
+    kth = F.get(F.sort_array("seen"), F.lit(k - 1)).alias("p")
+    return whole.where(F.size("seen") >= k).select("src_ip", kth).select("p.packet_id", "p.timestamp_ms", "src_ip", "p.dst_ip")
+
+
 def stream_flood_alerts(
     packets: DataFrame,
     threshold: int = SYN_FLOOD_THRESHOLD,
     width_ms: int = WINDOW_MS,
     lateness: str = LATENESS,
 ) -> DataFrame:
-    """The batch flood alerts, packet and destination included, at the window's close."""
-    syns = with_event_time(
-        packets.where(syn_only()).select(
-            "src_ip", window_start(width_ms).alias("window_start_ms"),
-            "packet_id", "timestamp_ms", "dst_ip"),
-        lateness)
-    crossing = syns.groupBy("src_ip", "window_start_ms").transformWithStateInPandas(
-        KthPacket(threshold, width_ms), CROSSING, "append", "EventTime")
+    """The batch flood alerts, packet and destination included, at the window's close.
+
+    The packets of a source and millisecond come together first, and the earliest ``threshold`` of them go
+    on: a window's state is bounded by its milliseconds, however many packets it has.
+    """
+    syns = with_event_time(packets.where(syn_only()).select("src_ip", "packet_id", "timestamp_ms", "dst_ip"), lateness)
+    seen = F.sort_array(F.collect_list(F.struct("timestamp_ms", "packet_id", "dst_ip")))
+    by_ms = syns.groupBy(F.window("ts", f"{width_ms} milliseconds"), "src_ip", "timestamp_ms").agg(F.slice(seen, 1, threshold).alias("seen"))
     return to_alert(
-        crossing, SYN_FLOOD_RULE, SYN_FLOOD_SEVERITY,
+        _kth_of_window(by_ms, width_ms, threshold), SYN_FLOOD_RULE, SYN_FLOOD_SEVERITY,
         flood_detail(F.lit(threshold), width_ms), "Anomaly", stage=2)
 
 
@@ -216,16 +153,15 @@ def stream_port_scan_alerts(
     width_ms: int = WINDOW_MS,
     lateness: str = LATENESS,
 ) -> DataFrame:
-    """The batch scan alerts, packet and destination included, at the window's close."""
-    timed = with_event_time(
-        packets.select(
-            "src_ip", window_start(width_ms).alias("window_start_ms"),
-            "packet_id", "timestamp_ms", "dst_ip", "dst_port"),
-        lateness)
-    crossing = timed.groupBy("src_ip", "window_start_ms").transformWithStateInPandas(
-        KthNewPort(threshold, width_ms), CROSSING, "append", "EventTime")
+    """The batch scan alerts, packet and destination included, at the window's close.
+
+    State is the first packet of each port, so at most 65,536 entries per source and window.
+    """
+    timed = with_event_time(packets.select("src_ip", "packet_id", "timestamp_ms", "dst_ip", "dst_port"), lateness)
+    first = F.array(F.min(F.struct("timestamp_ms", "packet_id", "dst_ip")))
+    by_port = timed.groupBy(F.window("ts", f"{width_ms} milliseconds"), "src_ip", "dst_port").agg(first.alias("seen"))
     return to_alert(
-        crossing, PORT_SCAN_RULE, PORT_SCAN_SEVERITY,
+        _kth_of_window(by_port, width_ms, threshold), PORT_SCAN_RULE, PORT_SCAN_SEVERITY,
         scan_detail(F.lit(threshold), width_ms), "Anomaly", stage=3)
 
 
