@@ -512,6 +512,7 @@ ORACLE = {
         FROM numbered""", "numbered"),
     "latest_alerts": _with(f"{_ALERTS} alerts ORDER BY {ARRIVAL_DESC} LIMIT 200", "alerts"),
     "alert_retention": _with(f"{_ALERTS} alerts ORDER BY {ARRIVAL_DESC} LIMIT 5000", "alerts"),
+    "alert_retention_incremental": _with(f"{_ALERTS} alerts ORDER BY {ARRIVAL_DESC} LIMIT 1000", "alerts"),
     "triage_page": _with(
         f"{_ALERTS} alerts WHERE severity = 'Critical' ORDER BY {ARRIVAL_DESC} LIMIT 500", "alerts"),
     "dedup_alerts": _with(_ALERTS + "alerts", "alerts"),

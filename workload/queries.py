@@ -15,6 +15,7 @@ from wiresift.operators import alerts as al
 from wiresift.operators import frames, rates, reset, rule_set, rule_table, sequence, signature, sketches, telemetry, triage
 from wiresift.plans.capture import captured_by_polls
 from wiresift.plans.detection import all_alerts, store_suspects
+from wiresift.plans.retention import append_alerts, read_retained, trim
 from wiresift.rules import DEFAULT_SEQUENCE, DEFAULT_SIGNATURES, SequenceRule, SignatureRule, catalogue
 from wiresift.schema import ALERT, CAPTURED_ALERT, STATS
 from wiresift.scratch import scratch_dir
@@ -365,6 +366,15 @@ def alert_retention(spark, sf_dir):
     return al.retain(alerts(spark, sf_dir))
 
 
+def alert_retention_incremental(spark, sf_dir):
+    """The newest thousand, kept while the alerts come in two halves."""
+    every, root = stored_alerts(spark, sf_dir), scratch_dir(spark, "retained")
+    for half in (every.where(F.col("timestamp_ms") < SEEN_BEFORE_MS), every.where(F.col("timestamp_ms") >= SEEN_BEFORE_MS)):
+        append_alerts(half, root)
+        trim(spark, root, 1000)
+    return read_retained(spark, root)
+
+
 def triage_page(spark, sf_dir):
     return triage.triage_page(alerts(spark, sf_dir), severity="Critical")
 
@@ -540,6 +550,7 @@ QUERIES = {
     "alert_ids": alert_ids,
     "latest_alerts": latest_alerts,
     "alert_retention": alert_retention,
+    "alert_retention_incremental": alert_retention_incremental,
     "triage_page": triage_page,
     "dedup_alerts": dedup_alerts,
     "unseen_alerts": unseen_alerts,
