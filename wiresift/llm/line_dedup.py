@@ -9,7 +9,7 @@ nothing is lost). What passes is verified on all words. Lines of fewer than ``SM
 reach the threshold only with an equal set, which stands for a single prefix word.
 
 For a line to go, one earlier match is enough. So first each of a line's ``TRIED`` rarest words
-offers its earliest line of every size, and the nearest of these is verified:
+offers its earliest line of each of some sizes, and the nearest of these is verified:
 one pair a line, which settles families of variants. Only lines that match none there
 meet all earlier lines of all their prefix words; of words that very many lines have, they meet the lines
 that have two of these in their prefix.
@@ -33,7 +33,8 @@ LAST = (1 << 63) - 1  # stands for a null id, so such rows come last
 SHARED = 2  # how many prefix words a pair must share; prefixes are longer by this less one
 SMALL = 4
 TRIED = 5
-HOT_LINES, HOT_SHARE = 2000, 1e-5
+BAND = 1.05
+HOT_LINES, HOT_SHARE = 20_000, 1e-5
 PARITIES = ("even", "odd")
 SLOTS = 1 << 16  # of the table of rarities, a constant size
 LINE = ("at", "no")  # the document's place in the order, and the line number from 0
@@ -151,7 +152,9 @@ def least_overlap(total: Column, threshold: float) -> Column:
 def nearest_first(lines: DataFrame, threshold: float) -> DataFrame:
     """For lines to which one of their rarest words offers an earlier line that may be at the threshold: (y, x), the nearest of these."""
     few = prefixes(lines, TRIED)
-    heads = few.groupBy("word", "size").agg(F.min(F.struct(*LINE, "size", "place", *PARITIES)).alias("p"))
+    # sizes by steps of BAND, so that a word has few of them however many lines it has
+    band = F.floor(F.log(F.col("size").cast("double")) / math.log(BAND))
+    heads = few.groupBy("word", band.alias("band")).agg(F.min(F.struct(*LINE, "size", "place", *PARITIES)).alias("p"))
     met = few.alias("y").join(heads.alias("h"), F.col("y.word") == F.col("h.word")).select("y.*", "h.p").alias("y")
     offered = met.where((order("y.p") < order("y")) & near("y", "y.p", threshold))
     best = offered.groupBy(order("y").alias("y")).agg(F.min(F.struct(apart("y", "y.p").alias("bits"), order("y.p").alias("x"))).alias("best"))
