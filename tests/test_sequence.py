@@ -191,3 +191,14 @@ def test_spans_shorter_than_the_limit_are_refused(packets):
     with pytest.raises(ValueError):
         step_matches(packets([syn(1, 0)]), "src_ip", "timestamp_ms", "packet_id",
                      [syn_only(), payload_contains(b"passwd")], 5000, span=4999)
+
+
+def test_firsts_of_spans_without_a_second_are_not_sorted(packets):
+    """A flood of probes beside one exploit, and a source without a number: only spans with an exploit reach the windows."""
+    trace = [syn(i, i * 10, src=i % 7) for i in range(5000)] + [exploit(6000, 25_005, src=3), syn(6001, 90_000, src=0), exploit(6002, 90_001, src=0)]
+    nameless = packets(trace).repartition(3).withColumn("src_ip", F.when(F.col("timestamp_ms") < 90_000, F.col("src_ip")))
+    done = sequence_alerts(nameless)
+    assert [i for (i,) in rows(done, "packet_id")] == [6000, 6002]
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    sorted_part = plan[plan.rindex("Window"):]
+    assert "Join LeftSemi" in sorted_part and "src_ip" in sorted_part

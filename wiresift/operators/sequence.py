@@ -53,6 +53,22 @@ def _marked_rows(
     return with_spans(marked, time, within, span)
 
 
+def _closing_spans(closings: DataFrame, key: str) -> DataFrame:
+    """(_closing_key, _closing_span): the spans that close something of their own."""
+    return closings.where("_own").select(
+        F.col(key).alias("_closing_key"), F.col("_span").alias("_closing_span")).distinct()
+
+
+def _where_closed(spans: DataFrame, closings: DataFrame, key: str) -> DataFrame:
+    """The rows of spans in which ``closings`` close something.
+
+    The spans that do are hashed and the rows only pass by them: nothing is sorted or kept.
+    """
+    needed = _closing_spans(closings, key)
+    same = F.col(key).eqNullSafe(F.col("_closing_key")) & (F.col("_span") == F.col("_closing_span"))
+    return spans.join(needed.hint("shuffle_hash"), same, "left_semi")
+
+
 def _marked_apart(
     rows: DataFrame, seconds: DataFrame, keep: list[str], key: str, time: str,
     first: Column, second: Column, within: int, span: int | None,
@@ -89,13 +105,16 @@ def two_step_matches(
     newest open first is too old, so are all others, so pairs are matched first
     and filtered by age. A row that is both closes before it opens.
 
-    One shuffle, on key and span; both window passes use it. ``seconds`` may
-    give a (much smaller) table with all the second rows; firsts without a
-    second in their span are then dropped before that shuffle.
+    Firsts without a second in their span are dropped on the way: ``rows`` are
+    read once more for the seconds alone, and what both window passes sort is
+    left to the spans that have one. One shuffle finds these, another, of what
+    is left, serves both passes. ``seconds`` may give a (much smaller) table
+    with all the second rows instead.
     """
     keep = list(dict.fromkeys([key, time, tie, *carry]))
     if seconds is None:
-        spans = _marked_rows(rows, keep, time, first, second, within, span)
+        closings = with_spans(rows.where(second).select(*dict.fromkeys([key, time])), time, within, span)
+        spans = _where_closed(_marked_rows(rows, keep, time, first, second, within, span), closings, key)
     else:
         spans = _marked_apart(rows, seconds, keep, key, time, first, second, within, span)
 
