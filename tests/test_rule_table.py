@@ -53,3 +53,11 @@ def test_the_rarest_gram_is_the_anchor(spark):
     rows = spark.createDataFrame([(i, b"common words" + (b" rare" if i == 3 else b""), "x") for i in range(50)], ROWS)
     rule = spark.createDataFrame([("r", "Low", b"common words rare")], RULES)
     assert candidates(rows, anchors(rows, rule), [4], "packet_id", "payload_sample").count() == 1
+
+
+def test_grams_are_hashed_one_by_one_and_meet_a_stored_table(spark):
+    """No array of a payload's grams is built, and grams of payloads are not shuffled to meet few rules."""
+    rows = spark.createDataFrame([(i, b"GET /item/%d of the shop" % i, "x") for i in range(200)], ROWS)
+    filed = anchors(rows, spark.createDataFrame([("shop", "Low", b"the shop")], RULES))
+    plan = candidates(rows, filed, [4], "packet_id", "payload_sample")._jdf.queryExecution().executedPlan().toString()
+    assert "transform(" not in plan and "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan

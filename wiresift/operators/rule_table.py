@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wiresift.operators.alerts import to_alert
+from wiresift.scratch import scratch_dir
 
 GRAM = 4
 RULE_COLUMNS = ("rule_name", "severity", "pattern")
@@ -33,25 +34,41 @@ def pattern_grams(rules: DataFrame, width: int = GRAM) -> DataFrame:
 
 
 def payload_grams(rows: DataFrame, key: str, payload: str, widths: list[int]) -> DataFrame:
-    """(key, pos, gram) for the given widths of all payloads."""
-    every = F.concat(*[_grams(F.col(payload), n) for n in widths])
-    return rows.select(F.col(key).alias("_key"), F.inline(every))
+    """(key, pos, gram) for the given widths of all payloads.
+
+    Positions are exploded first and hashed one by one, so that a gram is a few steps of compiled
+    code and never part of an array of a payload's grams.
+    """
+    body, every = F.col("_body"), F.array(*[F.lit(n) for n in widths])
+    sized = rows.select(F.col(key).alias("_key"), F.col(payload).alias("_body"))
+    if len(widths) > 1:
+        sized = sized.withColumn("_width", F.explode(every))
+    width = F.col("_width") if len(widths) > 1 else F.lit(widths[0])
+    starts = sized.where(F.length(body) >= width).withColumn("pos", F.explode(F.sequence(F.lit(1), F.length(body) - width + 1)))
+    return starts.select("_key", "pos", F.xxhash64(width, F.substring(body, F.col("pos"), width)).alias("gram"))
 
 
 def anchors(rows: DataFrame, rules: DataFrame, key: str = "packet_id", payload: str = "payload_sample", width: int = GRAM) -> DataFrame:
     """Rules with the gram that they are filed under and its offset; rules that cannot match are left out.
 
     Grams are counted over all payloads, those that no pattern has before they are counted left out.
+    What the payloads meet is stored, so that Spark knows how small it is: grams of payloads are then not shuffled to meet few rules.
     """
     grams = pattern_grams(rules, width)
     widths = _widths(rules, width)
     if not widths:
         return grams.limit(0)
-    wanted = grams.select("gram").distinct()
+    wanted = _stored(grams.select("gram").distinct(), "wanted-grams")
     counts = payload_grams(rows, key, payload, widths).select("gram").join(wanted, "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
     counted = grams.join(counts, "gram", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
     rarest = counted.groupBy(*RULE_COLUMNS).agg(F.min(F.struct("_n", "offset", "gram")).alias("a"))
-    return rarest.where("a._n > 0").select(*RULE_COLUMNS, "a.offset", "a.gram")
+    return _stored(rarest.where("a._n > 0").select(*RULE_COLUMNS, "a.offset", "a.gram"), "filed-rules")
+
+
+def _stored(table: DataFrame, purpose: str) -> DataFrame:
+    path = scratch_dir(table.sparkSession, purpose)
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
 
 
 def _widths(rules: DataFrame, width: int) -> list[int]:
@@ -82,7 +99,8 @@ def rule_table_matches(rows: DataFrame, rules: DataFrame, key: str = "packet_id"
         widths = [width]
     met = candidates(rows, filed, widths, key, payload)
     size = F.length("pattern")
-    found = rows.join(met, F.col(key) == F.col("_key")).where(F.substring(F.col(payload), F.col("match_pos"), size) == F.col("pattern"))
+    # merged: a table of payloads is larger than the size of its files tells
+    found = rows.join(met.hint("merge"), F.col(key) == F.col("_key")).where(F.substring(F.col(payload), F.col("match_pos"), size) == F.col("pattern"))
     return found.withColumn("match_end", F.col("match_pos") + size - 1).drop("_key", "pattern")
 
 
