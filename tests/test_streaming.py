@@ -112,6 +112,28 @@ def test_three_step_sequence_equals_batch(packets, landed):
     assert rows(got, *ALERT_COLUMNS) == want and len(want) > 10
 
 
+def test_sequences_without_python_per_source(spark, packets, landed):
+    """Sources by the hundred, packets at the edges of spans, and no Python worker for any of them."""
+    trace = [p for i in range(300) for p in (syn(4 * i, 15_000 + i % 3, i), syn(4 * i + 1, 19_999, i), exploit(4 * i + 2, 20_000 + i % 5, i), exploit(4 * i + 3, 25_000 + i % 2, i))]
+    found = processors.stream_sequence_alerts(landed(trace))
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithState" not in plan
+    want = rows(sequence_alerts(packets(trace)), *ALERT_COLUMNS)
+    assert rows(run.drain(landed(trace), processors.stream_sequence_alerts, "test-many"), *ALERT_COLUMNS) == want and len(want) == 300
+
+
+def test_sequences_at_completion_equal_batch(packets, landed):
+    trace = traffic(8)
+    got = run.drain(landed(trace), processors.stream_sequences_at_completion, "test-completion")
+    want = rows(sequence_alerts(packets(trace)), *ALERT_COLUMNS)
+    assert rows(got, *ALERT_COLUMNS) == want and len(want) > 50
+
+
+def test_a_single_step_never_fires_on_a_stream(landed):
+    rule = SequenceRule("one", "Low", [syn_only], 1000)
+    assert run.drain(landed([syn(1, 0)]), lambda p: processors.stream_sequence_alerts(p, rule), "test-one").count() == 0
+
+
 def test_signatures_and_counters(spark, packets, landed):
     trace = traffic(6)
     root = scratch_dir(spark, "test-stats")

@@ -63,37 +63,37 @@ def _advance(open_: Column, row: Column, steps: int, first_bit: int, within: int
     return _let(trimmed, moved)
 
 
-def rule_set_matches(
-    rows: DataFrame,
-    key: str,
-    time: str,
-    tie: str,
-    rules: Sequence[tuple[Sequence[Column], int]],
-    carry: Sequence[str] = (),
-    span: int | None = None,
-) -> DataFrame:
-    """Rows that complete a rule's sequence: key, time, tie, carried columns, ``rule`` (its number from 0) and ``started``.
-
-    A rule is (steps, within). The meaning is that of ``step_matches``, rule by rule: a row completes a
-    rule once at most, and rules of a single step never fire. The rows of one key and span are sorted and
-    folded in one task; ``span`` is at least the longest limit.
-    """
+def _offsets(rules: Sequence[tuple[Sequence[Column], int]]) -> list[int]:
+    """The first bit of each rule's steps."""
     offsets, total = [], 0
     for steps, _ in rules:
         offsets.append(total)
         total += len(steps)
     if total > MOST_STEPS:
         raise ValueError(f"the rules have {total} steps together; use several sets of up to {MOST_STEPS}")
-    longest = max((within for _, within in rules), default=1)
+    return offsets
+
+
+def step_mask(rules: Sequence[tuple[Sequence[Column], int]]) -> Column:
+    """Which steps of all rules a row fulfils, a bit each."""
     mask = F.lit(0).cast("long")
-    for (steps, _), first in zip(rules, offsets, strict=True):
+    for (steps, _), first in zip(rules, _offsets(rules), strict=True):
         for i, condition in enumerate(steps):
             mask = mask.bitwiseOR(F.when(condition, F.lit(1 << (first + i)).cast("long")).otherwise(F.lit(0).cast("long")))
-    names = list(dict.fromkeys([key, time, tie, *carry]))
-    marked = rows.select(*names, mask.alias("_mask")).where("_mask != 0")
-    spans = with_spans(marked, time, longest, span or SPAN_FACTOR * longest)
-    row = F.struct(F.col(time).cast("long").alias("t"), F.col(tie).alias("tie"), F.col("_mask").alias("mask"), F.col("_own").alias("own"), F.struct(*names).alias("row"))
-    gathered = spans.groupBy(key, "_span").agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+    return mask
+
+
+def gathered_row(names: Sequence[str], time: str, tie: str) -> Column:
+    """A row with ``_mask`` and ``_own`` as it is gathered for ``folded_matches``; such rows sort in event order."""
+    return F.struct(F.col(time).cast("long").alias("t"), F.col(tie).alias("tie"), F.col("_mask").alias("mask"), F.col("_own").alias("own"), F.struct(*names).alias("row"))
+
+
+def folded_matches(gathered: DataFrame, rules: Sequence[tuple[Sequence[Column], int]]) -> DataFrame:
+    """The matches among ``_rows``, the sorted rows of a key and span: the row's names, ``rule`` and ``started``.
+
+    At least one rule has more than a step. Spans without a row that ends a rule are not folded.
+    """
+    offsets = _offsets(rules)
     able = [(r, steps, within) for r, (steps, within) in enumerate(rules) if len(steps) > 1]
     ends = {r: f"_ends{r}" for r, _, _ in able}
 
@@ -101,6 +101,7 @@ def rule_set_matches(
         return F.size(F.filter("_rows", lambda x: F.shiftright(x["mask"], bit).bitwiseAND(F.lit(1).cast("long")) == 1))
 
     counted = gathered.withColumns({ends[r]: fulfilling(offsets[r] + len(steps) - 1) for r, steps, _ in able})
+    counted = counted.where(F.greatest(F.lit(0), *[F.col(ends[r]) for r, _, _ in able]) > 0)
     counted = counted.withColumn("_steps", F.transform("_rows", lambda x, i: F.struct(i.alias("no"), x["t"].alias("t"), x["mask"].alias("mask"), x["own"].alias("own"))))
     empty = F.struct(*[F.array().cast(PARTIALS).alias(f"r{r}") for r, _, _ in able], F.array().cast(DONE).alias("done"))
 
@@ -114,13 +115,37 @@ def rule_set_matches(
 
         return _let(each, merged)
 
-    if not able:
-        return rows.select(*names, F.lit(0).alias("rule"), F.lit(0).cast("long").alias("started")).where("false")
     folded = counted.select("_rows", F.aggregate("_steps", empty, feed, lambda state: state["done"]).alias("_done")).where(F.size("_done") > 0)
     done = folded.select("_rows", F.explode("_done").alias("_d"))
     return done.select(F.get("_rows", F.col("_d.at"))["row"].alias("_r"), "_d.rule", "_d.started").select("_r.*", "rule", "started")
 
 
+def rule_set_matches(
+    rows: DataFrame,
+    key: str,
+    time: str,
+    tie: str,
+    rules: Sequence[tuple[Sequence[Column], int]],
+    carry: Sequence[str] = (),
+    span: int | None = None,
+) -> DataFrame:
+    """Rows that complete a rule's sequence: key, time, tie, carried columns, ``rule`` (its number from 0) and ``started``.
+
+    A rule is (steps, within). The meaning is that of ``step_matches``, rule by rule: a row completes a
+    rule once at most, and rules of a single step never fire. The rows of one key and span are sorted and
+    folded in one task; ``span`` is at least the longest limit.
+    """
+    longest, mask = max((within for _, within in rules), default=1), step_mask(rules)
+    names = list(dict.fromkeys([key, time, tie, *carry]))
+    if all(len(steps) < 2 for steps, _ in rules):
+        return rows.select(*names, F.lit(0).alias("rule"), F.lit(0).cast("long").alias("started")).where("false")
+    marked = rows.select(*names, mask.alias("_mask")).where("_mask != 0")
+    spans = with_spans(marked, time, longest, span or SPAN_FACTOR * longest)
+    row = gathered_row(names, time, tie)
+    gathered = spans.groupBy(key, "_span").agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+    return folded_matches(gathered, rules)
+
+
 def rule_set_alerts(events: DataFrame, rules: Sequence[SequenceRule], span_ms: int | None = None) -> DataFrame:
     """One alert per completed sequence of any of the rules, at its last packet."""
     done = rule_set_matches(

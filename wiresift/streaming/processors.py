@@ -20,6 +20,7 @@ from wiresift.functions.net import syn_only
 from wiresift.functions.steps import StepTracker
 from wiresift.operators.alerts import to_alert
 from wiresift.operators.rates import flood_detail, scan_detail
+from wiresift.operators.rule_set import folded_matches, gathered_row, step_mask
 from wiresift.operators.sequence import SPAN_FACTOR, sequence_detail, with_spans
 from wiresift.operators.signature import signature_alerts
 from wiresift.rules import (
@@ -177,7 +178,7 @@ def stream_all_alerts(
     """All detectors on one stream: the alerts of ``all_alerts``.
 
     Signature alerts come with their batch, floods and scans when their window
-    closes, sequences when the watermark passes the completing packet.
+    closes, sequences when their span does.
     """
     branches = [
         signature_alerts(packets, signatures),
@@ -194,7 +195,35 @@ def stream_sequence_alerts(
     lateness: str = LATENESS,
     span_ms: int | None = None,
 ) -> DataFrame:
-    """Sequence alerts, emitted once the watermark passes the completing packet.
+    """Sequence alerts, at the close of the span in which they complete.
+
+    A source's packets are gathered per time span, led in by the tail of the span before as in batch,
+    and folded as a rule set is. The spans are overlapping windows: a busy source is spread over tasks and the
+    state of a span ends with it. ``stream_sequences_at_completion`` does not wait for the span to close, at several times the cost.
+    """
+    span, within = span_ms or SPAN_FACTOR * rule.within_ms, rule.within_ms
+    if span < within:
+        raise ValueError("a span must be at least as long as the limit")
+    rules, names = [(rule.conditions(), within)], ["src_ip", "timestamp_ms", "packet_id", "dst_ip"]
+    marked = packets.select(*names, step_mask(rules).alias("_mask")).where("_mask != 0")
+    if len(rules[0][0]) < 2:
+        done = marked.where("false")
+    else:
+        lead_and_span = F.window("ts", f"{span + within} milliseconds", f"{span} milliseconds", f"{span - within} milliseconds")
+        spans = with_event_time(marked, lateness).select(*names, "_mask", lead_and_span.alias("window"))
+        own = spans.withColumn("_own", F.col("timestamp_ms") - F.unix_millis("window.start") >= within)
+        gathered = own.groupBy("window", "src_ip").agg(F.collect_list(gathered_row(names, "timestamp_ms", "packet_id")).alias("_rows"))
+        done = folded_matches(gathered.withColumn("_rows", F.sort_array("_rows")), rules)
+    return to_alert(done, rule.name, rule.severity, sequence_detail(rule), "Cep", stage=4)
+
+
+def stream_sequences_at_completion(
+    packets: DataFrame,
+    rule: SequenceRule = DEFAULT_SEQUENCE,
+    lateness: str = LATENESS,
+    span_ms: int | None = None,
+) -> DataFrame:
+    """The same alerts, each once the watermark passes the completing packet.
 
     Keyed by source and time span, with the tail of each span repeated as the
     lead-in of the next, as in batch: a busy source is spread over tasks and
