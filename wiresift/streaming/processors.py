@@ -212,8 +212,11 @@ def stream_sequence_alerts(
         lead_and_span = F.window("ts", f"{span + within} milliseconds", f"{span} milliseconds", f"{span - within} milliseconds")
         spans = with_event_time(marked, lateness).select(*names, "_mask", lead_and_span.alias("window"))
         own = spans.withColumn("_own", F.col("timestamp_ms") - F.unix_millis("window.start") >= within)
-        gathered = own.groupBy("window", "src_ip").agg(F.collect_list(gathered_row(names, "timestamp_ms", "packet_id")).alias("_rows"))
-        done = folded_matches(gathered.withColumn("_rows", F.sort_array("_rows")), rules)
+        rows = F.sort_array(F.collect_list(gathered_row(names, "timestamp_ms", "packet_id")))
+        gathered = own.groupBy("window", "src_ip").agg(F.bit_or("_mask").alias("_any"), rows.alias("_rows"))
+        # spans without a last step end here
+        able = gathered.where(F.col("_any").bitwiseAND(F.lit(1 << (len(rules[0][0]) - 1)).cast("long")) != 0)
+        done = folded_matches(able, rules)
     return to_alert(done, rule.name, rule.severity, sequence_detail(rule), "Cep", stage=4)
 
 
