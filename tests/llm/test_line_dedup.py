@@ -110,6 +110,48 @@ def test_a_family_costs_a_pair_a_line(spark):
     assert made[1] <= 2.2 * made[0]
 
 
+def variants(spark, n, changed=4):
+    """``n`` lines of 54 words each, 50 of which all share: each two are at the threshold."""
+    import wiresift.llm.line_dedup as module
+
+    rows = [(i, 0, " ".join([f"w{k}" for k in range(50)] + [f"own{i}x{k}" for k in range(changed)])) for i in range(n)]
+    lines = spark.createDataFrame(rows, "at long, no int, line string")
+    docs = lines.select(F.col("line").alias("text"))
+    return described(lines, rarities(docs), 0.8).withColumn("open", F.col("at") >= 0), module
+
+
+def test_lines_of_a_family_meet_once(spark):
+    lines, module = variants(spark, 30)
+    for family, most in ((True, 1), (False, 20)):
+        met = module.encounters(lines.withColumn("family", F.lit(family)), 0.8)
+        assert met.distinct().count() == 30 * 29 // 2
+        assert met.count() <= most * 30 * 29 // 2
+
+
+@pytest.mark.parametrize("hot", [20_000, 20, 3])
+def test_families_meet_whichever_words_are_hot(spark, monkeypatch, hot):
+    monkeypatch.setattr("wiresift.llm.line_dedup.HOT_LINES", hot)
+    lines, module = variants(spark, 24)
+    assert module.meeting(lines.withColumn("family", F.col("at") % 3 > 0), 0.8).count() == 24 * 23 // 2
+
+
+def test_prefix_rows_are_dealt_out_once(spark):
+    """Hot words are few and sent to the rows; both sides of a join by word are one exchange."""
+    lines, module = variants(spark, 30)
+    lines = module.stored(lines.withColumn("family", F.lit(True)), "test-lines")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for joined in (module.encounters(lines, 0.8), module.offers(lines, 0.8, 0.6)):
+            joined.collect()
+            plan = joined._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+            assert "ReusedExchange" in plan
+            assert plan.count("SortMergeJoin") == 1
+            assert not any("SortMergeJoin" in line and ("LeftAnti" in line or "LeftSemi" in line) for line in plan.split("\n"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_a_text_of_very_many_lines(spark):
     text = "\n".join(f"line number {i} of this text, {i * 7} words, {i % 1000} more" for i in range(100_000))
     docs = spark.createDataFrame([(1, text), (2, "line number 5 of this text, 35 words, 5 more")], "doc_id long, text string")

@@ -34,6 +34,7 @@ SHARED = 2  # how many prefix words a pair must share; prefixes are longer by th
 SMALL = 4
 TRIED = 5
 BAND = 1.05
+LOOSE = 0.75  # of the threshold: lines this near are taken to be of one family
 HOT_LINES, HOT_SHARE = 20_000, 1e-5
 PARITIES = ("even", "odd")
 SLOTS = 1 << 16  # of the table of rarities, a constant size
@@ -59,12 +60,17 @@ def rarities(docs: DataFrame) -> list[int]:
     return grades
 
 
+def hashes(line: Column) -> Column:
+    """The hashes of the line's different words. Numbers are told apart faster than strings."""
+    return F.array_remove(F.array_distinct(F.transform(F.split(F.lower(line), SPACES), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+
+
 def ranked(found: Column, grades: list[int]) -> Column:
-    """The words as numbers whose order is rarest first; the lower 48 bits are the word's hash."""
-    table = F.split(F.lit(",".join(map(str, grades))), ",").cast("array<int>")
-    slot = lambda h: h.bitwiseAND(F.lit(SLOTS - 1).cast("long")).cast("int")
-    number = lambda h: F.shiftleft(F.get(table, slot(h)).cast("long"), 48).bitwiseOR(h.bitwiseAND(F.lit((1 << 48) - 1)))
-    return F.sort_array(F.transform(F.transform(found, lambda w: F.xxhash64(w)), number))
+    """The words with these hashes as numbers whose order is rarest first; the lower 48 bits are the word's hash."""
+    # without nulls as far as Spark knows, so that the numbers are sorted as primitives
+    table = F.split(F.lit(",".join(str(g << 48) for g in grades)), ",").cast("array<bigint>")
+    number = lambda h: F.coalesce(F.get(table, h.bitwiseAND(F.lit(SLOTS - 1).cast("long")).cast("int")), F.lit(0).cast("long")).bitwiseOR(h.bitwiseAND(F.lit((1 << 48) - 1)))
+    return F.sort_array(F.transform(found, number))
 
 
 def flags(nos: Column) -> Column:
@@ -102,7 +108,7 @@ def lines_of(texts: DataFrame, wanted: DataFrame, marks: str) -> DataFrame:
 
 def described(lines: DataFrame, grades: list[int], threshold: float) -> DataFrame:
     """A row for each line: at, no, size, 128 bits of parities, and ``prefix``, the numbers of its rarest words."""
-    sized = lines.select(*LINE, ranked(words(F.col("line")), grades).alias("ids")).withColumn("size", F.size("ids"))
+    sized = lines.select(*LINE, ranked(hashes(F.col("line")), grades).alias("ids")).withColumn("size", F.size("ids"))
     length = F.least(F.col("size"), F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + SHARED).cast("int")
     # bits 0 to 5 of a number choose the bit and bit 6 the half; ``both`` is the halves' exclusive or
     both = F.expr("aggregate(ids, 0L, (bits, id) -> bits ^ shiftleft(1L, cast(id & 63L as int)))")
@@ -128,71 +134,103 @@ def apart(a: str, b: str) -> Column:
 
 
 def near(a: str, b: str, threshold: float) -> Column:
-    """Whether two prefix rows of one word may belong to lines at the threshold."""
+    """Whether two prefix rows of one word may belong to lines at the threshold.
+
+    The words they share come from this word on, but for ``SHARED`` less one at most before it; and they are no
+    more than half of what the parities leave. The shorter this is, the likelier Java compiles the join's loop.
+    """
     at = lambda side, name: F.col(f"{side}.{name}")
     total = at(a, "size") + at(b, "size")
-    needed = least_overlap(total, threshold)
-    reach = F.least(at(a, "place"), at(b, "place")) + F.least(at(a, "size") - at(a, "place"), at(b, "size") - at(b, "place"))
-    return (
-        (F.least(at(a, "size"), at(b, "size")) >= F.greatest(at(a, "size"), at(b, "size")) * threshold - 1e-9)
-        & (reach >= needed)
-        & (apart(a, b) <= total - 2 * needed)
-    )
+    behind = F.least(at(a, "size") - at(a, "place"), at(b, "size") - at(b, "place"))
+    room = behind + F.least(at(a, "place"), at(b, "place"), F.lit(SHARED - 1))
+    least = total * F.lit(threshold / (1 + threshold)) - 1e-9
+    return (least <= room) & (least <= (total - apart(a, b)) / 2)
+
+
+def before(x: str, y: str) -> Column:
+    at = lambda side: F.col(f"{side}.at")
+    return (at(x) < at(y)) | ((at(x) == at(y)) & (F.col(f"{x}.no") < F.col(f"{y}.no")))
 
 
 def order(side: str) -> Column:
     return F.struct(*[F.col(f"{side}.{c}") for c in LINE])
 
 
-def least_overlap(total: Column, threshold: float) -> Column:
-    """How many words two lines at the threshold share, given the sum of their sizes."""
-    return F.ceil(total * (threshold / (1 + threshold)) - 1e-9)
+def dealt(rows: DataFrame) -> DataFrame:
+    """The rows by word. The filter says what holds anyway; with it all uses are the same plan, and it is run once."""
+    return rows.where(reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in rows.columns])).repartition("word")
 
 
-def nearest_first(lines: DataFrame, threshold: float) -> DataFrame:
-    """For lines to which one of their rarest words offers an earlier line that may be at the threshold: (y, x), the nearest of these."""
-    few = prefixes(lines, TRIED)
+def offers(lines: DataFrame, threshold: float, loose: float) -> DataFrame:
+    """(y, x, bits, may): earlier lines x that the rarest words of y offer and that may be at ``loose``, and whether they may be at the threshold."""
+    few = dealt(prefixes(lines, TRIED))
     # sizes by steps of BAND, so that a word has few of them however many lines it has
     band = F.floor(F.log(F.col("size").cast("double")) / math.log(BAND))
-    heads = few.groupBy("word", band.alias("band")).agg(F.min(F.struct(*LINE, "size", "place", *PARITIES)).alias("p"))
-    met = few.alias("y").join(heads.alias("h"), F.col("y.word") == F.col("h.word")).select("y.*", "h.p").alias("y")
-    offered = met.where((order("y.p") < order("y")) & near("y", "y.p", threshold))
-    best = offered.groupBy(order("y").alias("y")).agg(F.min(F.struct(apart("y", "y.p").alias("bits"), order("y.p").alias("x"))).alias("best"))
+    heads = few.groupBy("word", band.alias("band")).agg(F.min(F.struct(*LINE, "size", "place", *PARITIES)).alias("p")).select("word", "p.*")
+    met = few.alias("y").join(heads.alias("x"), (F.col("y.word") == F.col("x.word")) & before("x", "y") & near("y", "x", loose))
+    return met.select(order("y").alias("y"), order("x").alias("x"), apart("y", "x").alias("bits"), near("y", "x", threshold).alias("may"))
+
+
+def nearest(offered: DataFrame) -> DataFrame:
+    """(y, x), the nearest of the offered lines that may be at the threshold."""
+    best = offered.where("may").groupBy("y").agg(F.min(F.struct("bits", "x")).alias("best"))
     return best.select("y", "best.x")
 
 
+def nearest_first(lines: DataFrame, threshold: float) -> DataFrame:
+    """For lines to which one of their rarest words offers an earlier line that may be at the threshold: (y, x), the nearest of these."""
+    return nearest(offers(lines, threshold, threshold))
+
+
 def keyed_rows(lines: DataFrame) -> DataFrame:
     """The prefix rows of lines under the keys where they meet others: a word, or two hot words.
 
+    Rows of lines marked ``family`` have in ``prior`` the words before their own, those that may be hot left out.
+
     A word of more than ``HOT_LINES`` prefixes (and ``HOT_SHARE`` of all lines) is hot. Lines at the threshold
     share two prefix words: either one that is not hot, or two hot ones.
     """
-    rows = prefixes(lines)
     often = max(HOT_LINES, int(lines.count() * HOT_SHARE))
-    counts = rows.where(F.col("size") >= SMALL).groupBy("word").agg(F.count(F.lit(1)).alias("_n"))
-    hot = stored(counts.where(F.col("_n") > often).select("word"), "hot-words")
+    # a word's grade is of a count that is no less than the lines it is in, so words below this one's are not hot
+    grade = int(256 * math.log2(1 + often))
+    none = F.array().cast("array<bigint>")
+    family = F.when(F.col("family") & (F.col("size") >= SMALL), F.col("prefix")).otherwise(none) if "family" in lines.columns else none
+    cold = F.filter(F.slice("all", F.lit(1), F.col("place")), lambda w: F.shiftright(w, 48) < grade)
+    rows = prefixes(lines.withColumn("all", family).drop("family")).withColumn("prior", cold).drop("all")
+    common = prefixes(lines.where(F.col("size") >= SMALL).withColumn("prefix", F.filter("prefix", lambda w: F.shiftright(w, 48) >= grade)))
+    counts = common.groupBy("word").agg(F.count(F.lit(1)).alias("_n"))
+    # hot words are fewer than SIZE / HOT_SHARE for prefixes of SIZE words in the mean, however many lines there are
+    hot = F.broadcast(stored(counts.where(F.col("_n") > often).select("word"), "hot-words"))
     single = rows.join(hot, "word", "left_anti")
-    of_line = [c for c in lines.columns if c != "prefix"]
+    of_line = [c for c in lines.columns if c not in ("prefix", "family")]
     two = rows.join(hot, "word", "left_semi").groupBy(*of_line).agg(F.sort_array(F.collect_list(F.struct("word", "place"))).alias("h")).where(F.size("h") > 1)
     pairs = F.flatten(F.transform("h", lambda a, i: F.transform(F.slice("h", i + 2, F.size("h")), lambda b: F.struct(F.hash(a["word"], b["word"]).alias("word"), a["place"].alias("place")))))
-    met = two.select(*of_line, F.explode(pairs).alias("pair")).select(*of_line, "pair.place", "pair.word")
+    met = two.select(*of_line, F.explode(pairs).alias("pair")).select(*of_line, "pair.place", "pair.word", none.alias("prior"))
     return single.unionByName(met)
 
 
+def encounters(lines: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (y, x) of ``open`` lines and earlier lines that share prefix words and may be at the threshold, some of them repeated.
+
+    Lines of families share many; with ``prior`` they meet under the first of them alone (or the second, if that is hot).
+    """
+    rows = dealt(keyed_rows(lines))
+    # no ``at`` is negative; naming both sides keeps the condition in the join, as below it would make the two uses differ
+    asks = F.col("y.open") | (F.col("x.open") & (F.col("x.at") < 0))
+    both = rows.alias("y").join(rows.alias("x"), (F.col("y.word") == F.col("x.word")) & asks & before("x", "y") & near("y", "x", threshold) & ~F.arrays_overlap("y.prior", "x.prior"))
+    return both.select(order("y").alias("y"), order("x").alias("x"))
+
+
 def meeting(lines: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (y, x) of ``open`` lines and earlier lines that share prefix words and may be at the threshold."""
-    # the filter says what holds anyway; with it both uses of the exchange are the same plan, and it is run once
-    rows = keyed_rows(lines)
-    dealt = rows.where(reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in rows.columns])).repartition("word")
-    both = dealt.alias("y").join(dealt.alias("x"), (F.col("y.word") == F.col("x.word")) & F.col("y.open") & (order("x") < order("y")) & near("y", "x", threshold))
-    return both.select(order("y").alias("y"), order("x").alias("x")).distinct()
+    """The same, each pair once."""
+    return encounters(lines, threshold).distinct()
 
 
 def similar(pairs: DataFrame, texts: DataFrame, first: DataFrame, threshold: float) -> DataFrame:
     """The later lines y of the pairs (y, x) whose words' Jaccard similarity is the threshold or more."""
     asked = pairs.select("y.*").union(pairs.select("x.*")).groupBy("at").agg(F.sort_array(F.collect_set("no")).alias("nos"))
     wanted = asked.select("at", flags(F.col("nos")).alias("asked")).join(first.select("at", "doc", "key"), "at")
-    sets = lines_of(texts, wanted, "asked").select(F.struct(*LINE).alias("line"), F.transform(words(F.col("line")), lambda w: F.xxhash64(w)).alias("ids"))
+    sets = lines_of(texts, wanted, "asked").select(F.struct(*LINE).alias("line"), hashes(F.col("line")).alias("ids"))
     both = (
         pairs.join(sets.select(F.col("line").alias("y"), F.col("ids").alias("of_y")), "y")
         .join(sets.select(F.col("line").alias("x"), F.col("ids").alias("of_x")), "x")
@@ -207,10 +245,14 @@ def kept_lines(texts: DataFrame, grades: list[int], first: DataFrame, threshold:
     ``texts`` is from ``once``, ``first`` from ``first_lines``.
     """
     lines = stored(described(lines_of(texts, first, "first"), grades, threshold), "line-prefixes")
-    tried = stored(nearest_first(lines, threshold), "line-pairs")
+    offered = stored(offers(lines, threshold, threshold * LOOSE).groupBy("y", "x", "bits").agg(F.max("may").alias("may")), "line-offers")
+    tried = stored(nearest(offered), "line-pairs")
     matched = stored(similar(tried, texts, first, threshold).select("y.*"), "matched-lines")
+    near_others = offered.select("y.*").union(offered.select("x.*")).withColumn("_gone", F.lit(False))
+    marks = near_others.union(matched.withColumn("_gone", F.lit(True))).groupBy(*LINE).agg(F.max("_gone").alias("_gone"))
+    open_, family = ~F.coalesce(F.col("_gone"), F.lit(False)), F.col("_gone").isNotNull()
     # stored, so that the plan that follows reads it from there instead of dealing the lines out for each of its uses
-    marked = stored(lines.join(matched.withColumn("_gone", F.lit(True)), list(LINE), "left").withColumn("open", F.col("_gone").isNull()).drop("_gone"), "line-prefixes")
+    marked = stored(lines.join(marks, list(LINE), "left").withColumns({"open": open_, "family": family}).drop("_gone"), "line-prefixes")
     rest = stored(meeting(marked, threshold).join(tried, ["y", "x"], "left_anti"), "line-pairs")
     removed = matched.union(similar(rest, texts, first, threshold).select("y.*"))
     gone = removed.groupBy("at").agg(F.sort_array(F.collect_set("no")).alias("nos")).select("at", flags(F.col("nos")).alias("gone"))
