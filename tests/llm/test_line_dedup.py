@@ -135,8 +135,10 @@ def test_families_meet_whichever_words_are_hot(spark, monkeypatch, hot):
     assert module.meeting(lines.withColumn("family", F.col("at") % 3 > 0), 0.8).count() == 24 * 23 // 2
 
 
-def test_prefix_rows_are_dealt_out_once(spark):
+@pytest.mark.parametrize("hot", [20_000, 20])
+def test_prefix_rows_are_dealt_out_once(spark, monkeypatch, hot):
     """Hot words are few and sent to the rows; both sides of a join by word are one exchange."""
+    monkeypatch.setattr("wiresift.llm.line_dedup.HOT_LINES", hot)
     lines, module = variants(spark, 30)
     lines = module.stored(lines.withColumn("family", F.lit(True)), "test-lines")
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")

@@ -67,9 +67,10 @@ def hashes(line: Column) -> Column:
 
 def ranked(found: Column, grades: list[int]) -> Column:
     """The words with these hashes as numbers whose order is rarest first; the lower 48 bits are the word's hash."""
+    table = F.split(F.lit(",".join(map(str, grades))), ",").cast("array<int>")
     # without nulls as far as Spark knows, so that the numbers are sorted as primitives
-    table = F.split(F.lit(",".join(str(g << 48) for g in grades)), ",").cast("array<bigint>")
-    number = lambda h: F.coalesce(F.get(table, h.bitwiseAND(F.lit(SLOTS - 1).cast("long")).cast("int")), F.lit(0).cast("long")).bitwiseOR(h.bitwiseAND(F.lit((1 << 48) - 1)))
+    grade = lambda h: F.coalesce(F.get(table, h.bitwiseAND(F.lit(SLOTS - 1).cast("long")).cast("int")), F.lit(0)).cast("long")
+    number = lambda h: F.shiftleft(grade(h), 48).bitwiseOR(h.bitwiseAND(F.lit((1 << 48) - 1)))
     return F.sort_array(F.transform(found, number))
 
 
@@ -201,6 +202,8 @@ def keyed_rows(lines: DataFrame) -> DataFrame:
     counts = common.groupBy("word").agg(F.count(F.lit(1)).alias("_n"))
     # hot words are fewer than SIZE / HOT_SHARE for prefixes of SIZE words in the mean, however many lines there are
     hot = F.broadcast(stored(counts.where(F.col("_n") > often).select("word"), "hot-words"))
+    if hot.isEmpty():
+        return rows
     single = rows.join(hot, "word", "left_anti")
     of_line = [c for c in lines.columns if c not in ("prefix", "family")]
     two = rows.join(hot, "word", "left_semi").groupBy(*of_line).agg(F.sort_array(F.collect_list(F.struct("word", "place"))).alias("h")).where(F.size("h") > 1)
