@@ -76,3 +76,14 @@ def test_hot_groups_are_cut_before_the_shuffle(packets):
     plan = syn_floods(packets(burst(5)))._jdf.queryExecution().executedPlan().toString()
     partial = plan.index("row_number(), 50, Partial")
     assert plan.index("Exchange") < partial  # printed top down: the cut lies below the shuffle
+
+
+def test_packets_are_dealt_out_before_they_are_sorted_or_gathered(packets):
+    """Else a task holds all that its part of the table unfolds to."""
+    events = packets(burst(60))
+    for found in (syn_floods(events), port_scans(events)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        last = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line][-1]
+        assert "packet_id" in last and "src_ip" not in last.split(")")[0]
+        below = plan[plan.index(last) + len(last):]
+        assert not any(step in below for step in ("Aggregate", "Sort", "WindowGroupLimit"))

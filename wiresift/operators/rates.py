@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from wiresift.functions.clock import duration_text, ms_to_ts, window_start
 from wiresift.functions.net import ip_to_string, syn_only
 from wiresift.operators.alerts import to_alert
-from wiresift.operators.ordered import kth_row
+from wiresift.operators.ordered import kth_row, spread
 from wiresift.rules import (
     PORT_SCAN_RULE,
     PORT_SCAN_SEVERITY,
@@ -55,7 +55,7 @@ def syn_floods(
     syns = events.where(syn_only()).select(
         "packet_id", "timestamp_ms", "src_ip", "dst_ip", window_start(width_ms).alias("window_start_ms"))
     crossing = kth_row(
-        syns, ["src_ip", "window_start_ms"], ["timestamp_ms", "packet_id"], threshold)
+        spread(syns, "packet_id"), ["src_ip", "window_start_ms"], ["timestamp_ms", "packet_id"], threshold)
     return to_alert(
         crossing, SYN_FLOOD_RULE, SYN_FLOOD_SEVERITY,
         flood_detail(F.lit(threshold), width_ms), "Anomaly", stage=2)
@@ -77,8 +77,10 @@ def first_sightings(events: DataFrame, item: str, width_ms: int = WINDOW_MS) ->
     shift, unsigned = F.lit(Decimal(10**20)), F.lit(Decimal(2**63))
     order = F.col("timestamp_ms").cast("decimal(17,0)") * shift + (F.col("packet_id").cast("decimal(19,0)") + unsigned)
     first = F.col("_first")
+    columns = dict.fromkeys(["src_ip", "timestamp_ms", item, "packet_id", "dst_ip"])
     return (
-        events.groupBy("src_ip", window_start(width_ms).alias("window_start_ms"), item)
+        spread(events.select(*columns), "packet_id")
+        .groupBy("src_ip", window_start(width_ms).alias("window_start_ms"), item)
         .agg(F.min(order.cast("decimal(38,0)")).alias("_first"), F.min_by("dst_ip", order.cast("decimal(38,0)")).alias("dst_ip"))
         .select(
             "src_ip", "window_start_ms", item,
