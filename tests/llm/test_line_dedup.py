@@ -135,6 +135,24 @@ def test_families_meet_whichever_words_are_hot(spark, monkeypatch, hot):
     assert module.meeting(lines.withColumn("family", F.col("at") % 3 > 0), 0.8).count() == 24 * 23 // 2
 
 
+def test_rows_of_long_lines_stay_short(spark):
+    """A family's line of n words has about n / 5 prefix rows; with all words before its own each, they would grow with n squared."""
+    lines, module = variants(spark, 3, changed=400)
+    rows = module.keyed_rows(lines.withColumn("family", F.lit(True))).withColumn("n", F.size("prior"))
+    assert rows.agg(F.max("place")).first()[0] > 50
+    assert rows.agg(F.max("n")).first()[0] == module.PRIOR
+
+
+@pytest.mark.parametrize("hot, fewer", [(20_000, 1), (20, 0)])
+def test_a_second_shared_word_is_asked_for_only_where_words_are_hot(spark, monkeypatch, hot, fewer):
+    monkeypatch.setattr("wiresift.llm.line_dedup.HOT_LINES", hot)
+    lines, module = variants(spark, 24, changed=0)
+    lines = lines.where("at < 1") if fewer else lines
+    longest = lines.agg(F.max(F.size("prefix"))).first()[0]
+    single = module.keyed_rows(lines).where("size(prior) = 0")
+    assert single.groupBy("at").count().agg(F.max("count")).first()[0] == (longest - 1 if fewer else longest * (longest - 1) // 2)
+
+
 @pytest.mark.parametrize("hot", [20_000, 20])
 def test_prefix_rows_are_dealt_out_once(spark, monkeypatch, hot):
     """Hot words are few and sent to the rows; both sides of a join by word are one exchange."""

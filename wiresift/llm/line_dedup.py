@@ -36,6 +36,7 @@ TRIED = 5
 BAND = 1.05
 LOOSE = 0.75  # of the threshold: lines this near are taken to be of one family
 HOT_LINES, HOT_SHARE = 20_000, 1e-5
+PRIOR = 2  # how many of the words before its own a prefix row of a family's line carries
 PARITIES = ("even", "odd")
 SLOTS = 1 << 16  # of the table of rarities, a constant size
 LINE = ("at", "no")  # the document's place in the order, and the line number from 0
@@ -186,23 +187,29 @@ def nearest_first(lines: DataFrame, threshold: float) -> DataFrame:
 def keyed_rows(lines: DataFrame) -> DataFrame:
     """The prefix rows of lines under the keys where they meet others: a word, or two hot words.
 
-    Rows of lines marked ``family`` have in ``prior`` the words before their own, those that may be hot left out.
+    Rows of lines marked ``family`` have in ``prior`` the last ``PRIOR`` words before their own, those that may be hot left
+    out: all of them would make a line's rows grow with the square of its prefix.
 
     A word of more than ``HOT_LINES`` prefixes (and ``HOT_SHARE`` of all lines) is hot. Lines at the threshold
-    share two prefix words: either one that is not hot, or two hot ones.
+    share two prefix words: either one that is not hot, or two hot ones. Where no word is hot, one is enough, and they
+    share that in prefixes shorter by one.
     """
     often = max(HOT_LINES, int(lines.count() * HOT_SHARE))
     # a word's grade is of a count that is no less than the lines it is in, so words below this one's are not hot
     grade = int(256 * math.log2(1 + often))
     none = F.array().cast("array<bigint>")
     family = F.when(F.col("family") & (F.col("size") >= SMALL), F.col("prefix")).otherwise(none) if "family" in lines.columns else none
-    cold = F.filter(F.slice("all", F.lit(1), F.col("place")), lambda w: F.shiftright(w, 48) < grade)
-    rows = prefixes(lines.withColumn("all", family).drop("family")).withColumn("prior", cold).drop("all")
+    last = F.slice("all", F.greatest(F.col("place") + 1 - PRIOR, F.lit(1)), F.least(F.col("place"), F.lit(PRIOR)))
+    cold = F.filter(last, lambda w: F.shiftright(w, 48) < grade)
     common = prefixes(lines.where(F.col("size") >= SMALL).withColumn("prefix", F.filter("prefix", lambda w: F.shiftright(w, 48) >= grade)))
     counts = common.groupBy("word").agg(F.count(F.lit(1)).alias("_n"))
     # hot words are fewer than SIZE / HOT_SHARE for prefixes of SIZE words in the mean, however many lines there are
     hot = F.broadcast(stored(counts.where(F.col("_n") > often).select("word"), "hot-words"))
-    if hot.isEmpty():
+    plain = hot.isEmpty()
+    if plain:
+        lines = lines.withColumn("prefix", F.slice("prefix", F.lit(1), F.greatest(F.size("prefix") + 1 - SHARED, F.lit(1))))
+    rows = prefixes(lines.withColumn("all", family).drop("family")).withColumn("prior", cold).drop("all")
+    if plain:
         return rows
     single = rows.join(hot, "word", "left_anti")
     of_line = [c for c in lines.columns if c not in ("prefix", "family")]
@@ -215,7 +222,8 @@ def keyed_rows(lines: DataFrame) -> DataFrame:
 def encounters(lines: DataFrame, threshold: float) -> DataFrame:
     """The pairs (y, x) of ``open`` lines and earlier lines that share prefix words and may be at the threshold, some of them repeated.
 
-    Lines of families share many; with ``prior`` they meet under the first of them alone (or the second, if that is hot).
+    Lines of families share many; with ``prior`` they do not meet again under a word that follows one they share. The first they
+    share (or the second, if that is hot) follows none, so no pair is lost.
     """
     rows = dealt(keyed_rows(lines))
     # no ``at`` is negative; naming both sides keeps the condition in the join, as below it would make the two uses differ
