@@ -206,3 +206,35 @@ def test_registered_query(spark):
     want = brute_force(rows, [0] * len(rows))
     out = op4_prefix_line_dedup(spark, path).collect()
     assert sorted((r["doc_id"], r["text"]) for r in out) == sorted((i, want[(i, t)]) for i, t in rows)
+
+
+def test_a_word_s_lines_meet_by_size(spark):
+    """Lines of very different size do not come to one key, and of those at the threshold none are parted."""
+    import wiresift.llm.line_dedup as module
+
+    sizes = [*range(1, 30), *range(30, 400, 3)]
+    rows = spark.createDataFrame([(n, n, 0, 7) for n in sizes], "at long, size int, place int, word int")
+    keys = {}
+    for r in module.banded(rows, 0.8).collect():
+        keys.setdefault(r["word"], []).append((r["at"], r["up"]))
+    met = Counter(frozenset((a, b)) for of_key in keys.values() for a, up in of_key for b, also in of_key if a < b and not (up and also))
+    assert max(met.values()) == 1
+    assert all(met[frozenset((a, b))] for a in sizes for b in sizes if a < b and a >= 0.8 * b - 1e-9)
+    assert 3 * sum(len(of_key) ** 2 for of_key in keys.values()) < len(sizes) ** 2
+
+
+@pytest.mark.parametrize("gap", ["\t", "  ", "\v", " \f ", "\r"])
+def test_words_between_any_white_space(spark, gap):
+    line = gap.join(["", "Öl", "b", "C", "b", ""])
+    docs = spark.createDataFrame([(line,)], "text string")
+    assert sorted(docs.select(words(F.col("text"))).first()[0]) == ["b", "c", "öl"]
+    assert sorted(g for g in rarities(docs) if g) == sorted(int(256 * np.log2(1 + n)) for n in (2, 1, 1))
+
+
+def test_packed_rows_come_back(spark):
+    import wiresift.llm.line_dedup as module
+
+    top = (1 << 31) - 1
+    rows = [(5, 1 << 40, 3, 47, 2, -1, 1 << 62, True, False, [9]), (-6, top, top, top, top - 1, 0, -(1 << 63), False, True, []), (7, 0, 1 << 30, 65536, 65535, 1, 2, True, True, [1, 2])]
+    frame = spark.createDataFrame(rows, "word int, at long, no int, size int, place int, even long, odd long, open boolean, up boolean, prior array<bigint>")
+    assert sorted(tuple(r) for r in module.unpacked(module.packed(frame)).select(*frame.columns).collect()) == sorted(rows)

@@ -42,9 +42,19 @@ SLOTS = 1 << 16  # of the table of rarities, a constant size
 LINE = ("at", "no")  # the document's place in the order, and the line number from 0
 
 
+def split_words(text: Column) -> Column:
+    """The text's words, lower-cased, with empty ones among them. Line breaks and single spaces are found without a pattern."""
+    line, other = F.replace(text, F.lit("\n"), F.lit(" ")), reduce(lambda x, y: x | y, [F.contains(text, F.lit(c)) for c in "\t\v\f\r"])
+    return F.when(other, F.split(F.lower(text), SPACES)).otherwise(F.split(F.lower(line), " "))
+
+
+def has_words(line: Column) -> Column:
+    return F.ltrim(line, F.lit(" \t\n\v\f\r")) != ""
+
+
 def words(line: Column) -> Column:
     """The line's different words, lower-cased."""
-    return F.array_remove(F.array_distinct(F.split(F.lower(line), SPACES)), "")
+    return F.array_remove(F.array_distinct(split_words(line)), "")
 
 
 def rarities(docs: DataFrame) -> list[int]:
@@ -53,7 +63,7 @@ def rarities(docs: DataFrame) -> list[int]:
     Counted over all words of all documents. A finer table would order words
     better; any order gives the same result.
     """
-    each = docs.where(F.col("text").isNotNull()).select(F.explode(F.split(F.lower("text"), SPACES)).alias("word")).where("word != ''")
+    each = docs.where(F.col("text").isNotNull()).select(F.explode(split_words(F.col("text"))).alias("word")).where("word != ''")
     slot = F.xxhash64("word").bitwiseAND(F.lit(SLOTS - 1).cast("long")).cast("int")
     grades = [0] * SLOTS
     for row in each.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n")).collect():
@@ -63,7 +73,7 @@ def rarities(docs: DataFrame) -> list[int]:
 
 def hashes(line: Column) -> Column:
     """The hashes of the line's different words. Numbers are told apart faster than strings."""
-    return F.array_remove(F.array_distinct(F.transform(F.split(F.lower(line), SPACES), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    return F.array_remove(F.array_distinct(F.transform(split_words(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def ranked(found: Column, grades: list[int]) -> Column:
@@ -75,6 +85,17 @@ def ranked(found: Column, grades: list[int]) -> Column:
     return F.sort_array(F.transform(found, number))
 
 
+def halfway(grades: list[int]) -> int:
+    """The grade that parts the words, each as often as it was counted, into two halves."""
+    counts = [(grade, 2 ** (grade / 256) - 1) for grade in sorted(grades)]
+    left = sum(n for _, n in counts) / 2
+    for grade, n in counts:
+        left -= n
+        if left <= 0:
+            return grade
+    return 0
+
+
 def flags(nos: Column) -> Column:
     """Ascending line numbers as booleans: true at each of them, up to the last."""
     gap = lambda i: F.element_at(nos, i) - F.coalesce(F.try_element_at(nos, F.nullif(i - 1, F.lit(0))), F.lit(-1)) - 1
@@ -92,7 +113,7 @@ def first_lines(docs: DataFrame) -> DataFrame:
     ``at`` numbers the documents that have such lines by doc and key, with gaps;
     ``first`` flags the lines.
     """
-    lines = docs.select("doc", "key", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    lines = docs.select("doc", "key", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(has_words(F.col("line")))
     digests = lines.select("doc", "key", "no", F.xxhash64("line").alias("high"), F.xxhash64(F.lit(1), "line").alias("low"))
     first = digests.groupBy("high", "low").agg(F.min(F.struct("doc", "key", "no")).alias("first")).select("first.*")
     listed = first.groupBy("doc", "key").agg(F.sort_array(F.collect_list("no")).alias("nos"))
@@ -112,12 +133,13 @@ def described(lines: DataFrame, grades: list[int], threshold: float) -> DataFram
     """A row for each line: at, no, size, 128 bits of parities, and ``prefix``, the numbers of its rarest words."""
     sized = lines.select(*LINE, ranked(hashes(F.col("line")), grades).alias("ids")).withColumn("size", F.size("ids"))
     length = F.least(F.col("size"), F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + SHARED).cast("int")
-    # bits 0 to 5 of a number choose the bit and bit 6 the half; ``both`` is the halves' exclusive or
-    both = F.expr("aggregate(ids, 0L, (bits, id) -> bits ^ shiftleft(1L, cast(id & 63L as int)))")
-    odd = F.expr("aggregate(ids, 0L, (bits, id) -> bits ^ shiftleft(shiftright(id, 6) & 1L, cast(id & 63L as int)))")
+    # bits 0 to 5 of a number choose the bit; the words below ``middle`` make one half and the others the other
+    middle = F.lit(halfway(grades) << 48)
+    sized = sized.withColumn("cut", F.array_position(F.sort_array(F.concat("ids", F.array(middle))), middle).cast("int"))
+    parity = lambda part: f"aggregate({part}, 0L, (bits, id) -> bits ^ shiftleft(1L, cast(id & 63L as int)))"
+    even, odd = F.expr(parity("slice(ids, 1, cut - 1)")), F.expr(parity("slice(ids, cut, size)"))
     prefix = F.when(F.col("size") < SMALL, F.array(F.xxhash64("ids"))).otherwise(F.slice("ids", F.lit(1), length))
-    rows = sized.select(*LINE, "size", both.alias("both"), odd.alias("odd"), prefix.alias("prefix"))
-    return rows.select(*LINE, "size", F.col("both").bitwiseXOR(F.col("odd")).alias("even"), "odd", "prefix")
+    return sized.select(*LINE, "size", even.alias("even"), odd.alias("odd"), prefix.alias("prefix"))
 
 
 def prefixes(lines: DataFrame, upto: int | None = None) -> DataFrame:
@@ -200,7 +222,8 @@ def keyed_rows(lines: DataFrame) -> DataFrame:
     none = F.array().cast("array<bigint>")
     family = F.when(F.col("family") & (F.col("size") >= SMALL), F.col("prefix")).otherwise(none) if "family" in lines.columns else none
     last = F.slice("all", F.greatest(F.col("place") + 1 - PRIOR, F.lit(1)), F.least(F.col("place"), F.lit(PRIOR)))
-    cold = F.filter(last, lambda w: F.shiftright(w, 48) < grade)
+    # without nulls as far as Spark knows, or a later filter by them would work it out a second time
+    cold = F.coalesce(F.when(F.size("all") > 0, F.filter(last, lambda w: F.shiftright(w, 48) < grade)), none)
     common = prefixes(lines.where(F.col("size") >= SMALL).withColumn("prefix", F.filter("prefix", lambda w: F.shiftright(w, 48) >= grade)))
     counts = common.groupBy("word").agg(F.count(F.lit(1)).alias("_n"))
     # hot words are fewer than SIZE / HOT_SHARE for prefixes of SIZE words in the mean, however many lines there are
@@ -219,16 +242,54 @@ def keyed_rows(lines: DataFrame) -> DataFrame:
     return single.unionByName(met)
 
 
+def banded(rows: DataFrame, threshold: float) -> DataFrame:
+    """The rows with ``word`` now standing for a word and a band of sizes, and some again, marked ``up``, in the band above.
+
+    A band is as wide as two times the largest difference in size, so lines at the threshold are in one band or two next to each other.
+    Up go the rows whose words from here on (but for ``SHARED`` less one) suffice for the least size in the band above, which ``near``
+    asks for as well: no pair is lost, and a word's lines do not meet those of very different size.
+    """
+    width = 2 * math.log(1 / threshold) + 1e-6
+    size, place = F.col("size"), F.col("place")
+    band = F.floor(F.log(size.cast("double")) / width).cast("int")
+    least = (size + F.exp((F.col("band") + 1) * width)) * F.lit(threshold / (1 + threshold)) - 1e-6
+    ups = F.when(least <= size - place + F.least(place, F.lit(SHARED - 1)), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    both = rows.withColumn("band", band).withColumn("up", F.explode(ups))
+    return both.withColumn("word", F.hash("word", F.col("band") + F.col("up").cast("int"))).drop("band")
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """The rows with their small numbers in two long ones and nothing that may be null: less to shuffle.
+
+    ``low`` has 16 bits of the place, 16 of the size, the flags and 30 bits of the line number, and ``high`` the other bits, zeros as a rule.
+    """
+    number = lambda name: F.coalesce(F.col(name).cast("long"), F.lit(0))
+    bits = lambda name, n, to: F.shiftleft(number(name).bitwiseAND(F.lit((1 << n) - 1).cast("long")), to)
+    above = lambda name, n, to: F.shiftleft(F.shiftright(number(name), n), to)
+    either = lambda columns: reduce(lambda x, y: x.bitwiseOR(y), columns)
+    low = either([bits("place", 16, 0), bits("size", 16, 16), bits("open", 1, 32), bits("up", 1, 33), bits("no", 30, 34)])
+    high = either([above("place", 16, 0), above("size", 16, 16), above("no", 30, 32)])
+    prior = F.coalesce("prior", F.array().cast("array<bigint>"))
+    return rows.select(high.alias("high"), low.alias("low"), "word", *[number(c).alias(c) for c in (*PARITIES, "at")], prior.alias("prior"))
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    part = lambda name, n, to: F.shiftrightunsigned(name, to).bitwiseAND(F.lit((1 << n) - 1).cast("long"))
+    whole = lambda n, low, high: part("low", n, low).bitwiseOR(F.shiftleft(part("high", 16, high), n)).cast("int")
+    numbers = whole(16, 16, 16).alias("size"), whole(16, 0, 0).alias("place"), whole(30, 34, 32).alias("no")
+    return rows.select("word", "at", *numbers, *PARITIES, (part("low", 1, 32) != 0).alias("open"), (part("low", 1, 33) != 0).alias("up"), "prior")
+
+
 def encounters(lines: DataFrame, threshold: float) -> DataFrame:
     """The pairs (y, x) of ``open`` lines and earlier lines that share prefix words and may be at the threshold, some of them repeated.
 
     Lines of families share many; with ``prior`` they do not meet again under a word that follows one they share. The first they
     share (or the second, if that is hot) follows none, so no pair is lost.
     """
-    rows = dealt(keyed_rows(lines))
+    rows = unpacked(dealt(packed(banded(keyed_rows(lines), threshold))))
     # no ``at`` is negative; naming both sides keeps the condition in the join, as below it would make the two uses differ
     asks = F.col("y.open") | (F.col("x.open") & (F.col("x.at") < 0))
-    both = rows.alias("y").join(rows.alias("x"), (F.col("y.word") == F.col("x.word")) & asks & before("x", "y") & near("y", "x", threshold) & ~F.arrays_overlap("y.prior", "x.prior"))
+    both = rows.alias("y").join(rows.alias("x"), (F.col("y.word") == F.col("x.word")) & asks & before("x", "y") & ~(F.col("x.up") & F.col("y.up")) & near("y", "x", threshold) & ~F.arrays_overlap("y.prior", "x.prior"))
     return both.select(order("y").alias("y"), order("x").alias("x"))
 
 
@@ -237,11 +298,15 @@ def meeting(lines: DataFrame, threshold: float) -> DataFrame:
     return encounters(lines, threshold).distinct()
 
 
-def similar(pairs: DataFrame, texts: DataFrame, first: DataFrame, threshold: float) -> DataFrame:
-    """The later lines y of the pairs (y, x) whose words' Jaccard similarity is the threshold or more."""
+def similar(pairs: DataFrame, texts: DataFrame, first: DataFrame, threshold: float, keep: bool = False) -> DataFrame:
+    """The later lines y of the pairs (y, x) whose words' Jaccard similarity is the threshold or more.
+
+    With ``keep`` the lines' words are stored, for where each of their two uses would deal out all texts.
+    """
     asked = pairs.select("y.*").union(pairs.select("x.*")).groupBy("at").agg(F.sort_array(F.collect_set("no")).alias("nos"))
     wanted = asked.select("at", flags(F.col("nos")).alias("asked")).join(first.select("at", "doc", "key"), "at")
     sets = lines_of(texts, wanted, "asked").select(F.struct(*LINE).alias("line"), hashes(F.col("line")).alias("ids"))
+    sets = stored(sets, "line-sets") if keep else sets
     both = (
         pairs.join(sets.select(F.col("line").alias("y"), F.col("ids").alias("of_y")), "y")
         .join(sets.select(F.col("line").alias("x"), F.col("ids").alias("of_x")), "x")
@@ -265,7 +330,7 @@ def kept_lines(texts: DataFrame, grades: list[int], first: DataFrame, threshold:
     # stored, so that the plan that follows reads it from there instead of dealing the lines out for each of its uses
     marked = stored(lines.join(marks, list(LINE), "left").withColumns({"open": open_, "family": family}).drop("_gone"), "line-prefixes")
     rest = stored(meeting(marked, threshold).join(tried, ["y", "x"], "left_anti"), "line-pairs")
-    removed = matched.union(similar(rest, texts, first, threshold).select("y.*"))
+    removed = matched.union(similar(rest, texts, first, threshold, keep=True).select("y.*"))
     gone = removed.groupBy("at").agg(F.sort_array(F.collect_set("no")).alias("nos")).select("at", flags(F.col("nos")).alias("gone"))
     left = F.zip_with("first", "gone", lambda f, g: f & ~F.coalesce(g, F.lit(False)))
     return first.join(gone, "at", "left").select("doc", "key", F.coalesce(left, F.col("first")).alias("kept"))
@@ -290,21 +355,20 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     own = keyed(docs.select("doc_id", "text")).select("doc", "key", "text")
     grades, first = rarities(own), first_lines(own)
-    texts = once(own)
-    kept = kept_lines(texts, grades, first, threshold)
-    rows = own.groupBy("doc", "key").agg(F.count(F.lit(1)).alias("_rows"))
+    kept = kept_lines(once(own), grades, first, threshold)
+    texts = own.groupBy("doc", "key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("_rows"))
     left = texts.join(kept, ["doc", "key"], "left").withColumn("left", lines_left("text", "kept"))
     counted = left.select(
-        "doc", "key", F.array_join("left", "\n").alias("text"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("lines"), F.coalesce(F.size("left"), F.lit(0)).alias("_left")
+        "doc", "_rows", F.array_join("left", "\n").alias("text"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("lines"), F.coalesce(F.size("left"), F.lit(0)).alias("_left")
     ).withColumn("removed_lines", F.col("lines") - F.col("_left"))
-    return expand(counted.join(rows, ["doc", "key"]), "_rows", "_row").select(
+    return expand(counted, "_rows", "_row").select(
         F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"), "text", "lines", "removed_lines"
     )
 
 
 def lines_left(text: str, kept: str) -> Column:
     """The lines of a text that have no words or are flagged to be kept."""
-    return F.filter(F.split(text, "\n"), lambda line, no: flagged(kept, no) | ~line.rlike(r"[^\x20\x09-\x0D]"))
+    return F.filter(F.split(text, "\n"), lambda line, no: flagged(kept, no) | ~has_words(line))
 
 
 def documents_without_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
