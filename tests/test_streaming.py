@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import random
+import time
+from pathlib import Path
 
 import pytest
 
@@ -103,6 +105,80 @@ def test_sequence_alerts_equal_batch(packets, landed):
     assert rows(got, *ALERT_COLUMNS) == want and len(want) > 50
 
 
+def test_crossings_in_full_slices_and_windows_shorter_than_the_slices_equal_batch(packets, landed):
+    """More packets of a source in a millisecond than the threshold, crossings in a later slice, twins."""
+    burst = [syn(i, 1000 + i % 2, 1) for i in range(30)] + [syn(100 + i, 5300 * (i > 8) + 10 * i, 2, dport=i % 11) for i in range(40)]
+    trace = burst + burst[:5] + [syn(200 + i, 9_990 + i, 3, dport=i) for i in range(25)]
+    for width_ms, threshold in ((5000, 12), (5000, 31), (7, 3)):
+        limits = {"threshold": threshold, "width_ms": width_ms}
+        got = run.drain(landed(trace, files=2, jitter_ms=900), lambda p: processors.stream_flood_alerts(p, **limits), "test-slices")
+        want = rows(syn_floods(packets(trace), **limits), *ALERT_COLUMNS)
+        assert rows(got, *ALERT_COLUMNS) == want and want
+    got = run.drain(landed(trace, files=2, jitter_ms=900), lambda p: processors.stream_port_scan_alerts(p, threshold=10), "test-ports")
+    want = rows(port_scans(packets(trace), threshold=10), *ALERT_COLUMNS)
+    assert rows(got, *ALERT_COLUMNS) == want and len(want) > 2
+
+
+def state_rows(landed, trace, build, name):
+    """Most rows of state at the end of a micro-batch, by operator."""
+    out = build(landed(trace, files=1))
+    root = scratch_dir(out.sparkSession, name)
+    query = run.append_stream(out, f"{root}/out", f"{root}/checkpoint", every="0 seconds")
+    query.processAllAvailable()
+    query.stop()
+    return [max(n) for n in zip(*[[op.numRowsTotal for op in p.stateOperators] for p in query.recentProgress if p.stateOperators])]
+
+
+def test_a_burst_takes_few_rows_of_state(landed):
+    trace = [syn(i, 10_000 + 5 * i, 1) for i in range(400)]
+    assert max(state_rows(landed, trace, processors.stream_flood_alerts, "test-burst")) <= 9
+
+
+def test_state_has_no_packet_twice(landed):
+    """The rows of a span carry a packet's own columns once, and no source."""
+    plan = processors.stream_sequence_alerts(landed([syn(1, 0)]))._jdf.queryExecution().analyzed().toString()
+    gathered = next(line for line in plan.splitlines() if "Aggregate" in line and "collect_list" in line)
+    listed = gathered.split("collect_list(", 1)[1].split(", 0, 0)", 1)[0]
+    assert listed.count("packet_id#") == 1 and listed.count("timestamp_ms#") == 1 and "src_ip#" not in listed
+
+
+def test_a_drain_is_one_run(landed, monkeypatch):
+    """A second run would load all state again beside what the first one still has."""
+    started = []
+    start = run.append_stream
+    monkeypatch.setattr(run, "append_stream", lambda *a, **k: started.append(1) or start(*a, **k))
+    trace = traffic(10, 300)
+    assert run.drain(landed(trace, files=2), lambda p: processors.stream_flood_alerts(p, threshold=5), "test-run").count() > 0
+    assert len(started) == 1
+
+
+def test_stores_set_no_disk_aside(spark):
+    option, other = "spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "spark.sql.streaming.stateStore.rocksdb.compression"
+    spark.conf.set(other, "lz4")
+    try:
+        with run.rocksdb_state(spark):
+            assert spark.conf.get(option) == "false" and spark.conf.get(other) == "lz4"
+        assert spark.conf.get(option, None) is None and spark.conf.get(other) == "lz4"
+    finally:
+        spark.conf.unset(other)
+    with run.rocksdb_state(spark):
+        assert spark.conf.get(other) == "zstd"
+    assert spark.conf.get(other, None) is None
+
+
+def test_shuffle_files_go_with_their_batch(spark, landed):
+    def shuffled():
+        folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {f for folder in folders for f in Path(folder.getPath()).glob("*/shuffle_*.data")}
+
+    before = shuffled()
+    run.drain(landed(traffic(11, 300), files=2), lambda p: processors.stream_flood_alerts(p, threshold=5), "test-shuffle")
+    deadline = time.monotonic() + 20
+    while shuffled() - before and time.monotonic() < deadline:
+        time.sleep(0.2)
+    assert not shuffled() - before
+
+
 def test_three_step_sequence_equals_batch(packets, landed):
     trace = traffic(5)
     rule = SequenceRule("probe-high-port-exploit", "High",

@@ -88,10 +88,16 @@ def gathered_row(names: Sequence[str], time: str, tie: str) -> Column:
     return F.struct(F.col(time).cast("long").alias("t"), F.col(tie).alias("tie"), F.col("_mask").alias("mask"), F.col("_own").alias("own"), F.struct(*names).alias("row"))
 
 
-def folded_matches(gathered: DataFrame, rules: Sequence[tuple[Sequence[Column], int]]) -> DataFrame:
+def folded_matches(
+    gathered: DataFrame,
+    rules: Sequence[tuple[Sequence[Column], int]],
+    own: Callable[[Column], Column] = lambda x: x["own"],
+    row: Callable[[Column], Column] = lambda x: x["row"],
+) -> DataFrame:
     """The matches among ``_rows``, the sorted rows of a key and span: the row's names, ``rule`` and ``started``.
 
-    At least one rule has more than a step. Spans without a row that ends a rule are not folded.
+    At least one rule has more than a step. Spans without a row that ends a rule are not folded. Rows have at least ``t`` and
+    ``mask``; ``own`` and ``row`` tell from one, and from the other columns of ``gathered``, whether it is the span's own and its names.
     """
     offsets = _offsets(rules)
     able = [(r, steps, within) for r, (steps, within) in enumerate(rules) if len(steps) > 1]
@@ -102,7 +108,7 @@ def folded_matches(gathered: DataFrame, rules: Sequence[tuple[Sequence[Column],
 
     counted = gathered.withColumns({ends[r]: fulfilling(offsets[r] + len(steps) - 1) for r, steps, _ in able})
     counted = counted.where(F.greatest(F.lit(0), *[F.col(ends[r]) for r, _, _ in able]) > 0)
-    counted = counted.withColumn("_steps", F.transform("_rows", lambda x, i: F.struct(i.alias("no"), x["t"].alias("t"), x["mask"].alias("mask"), x["own"].alias("own"))))
+    counted = counted.withColumn("_steps", F.transform("_rows", lambda x, i: F.struct(i.alias("no"), x["t"].alias("t"), x["mask"].alias("mask"), own(x).alias("own"))))
     empty = F.struct(*[F.array().cast(PARTIALS).alias(f"r{r}") for r, _, _ in able], F.array().cast(DONE).alias("done"))
 
     def feed(state: Column, x: Column) -> Column:
@@ -115,9 +121,9 @@ def folded_matches(gathered: DataFrame, rules: Sequence[tuple[Sequence[Column],
 
         return _let(each, merged)
 
-    folded = counted.select("_rows", F.aggregate("_steps", empty, feed, lambda state: state["done"]).alias("_done")).where(F.size("_done") > 0)
-    done = folded.select("_rows", F.explode("_done").alias("_d"))
-    return done.select(F.get("_rows", F.col("_d.at"))["row"].alias("_r"), "_d.rule", "_d.started").select("_r.*", "rule", "started")
+    folded = counted.select(*gathered.columns, F.aggregate("_steps", empty, feed, lambda state: state["done"]).alias("_done")).where(F.size("_done") > 0)
+    done = folded.select(*gathered.columns, F.explode("_done").alias("_d"))
+    return done.select(row(F.get("_rows", F.col("_d.at"))).alias("_r"), "_d.rule", "_d.started").select("_r.*", "rule", "started")
 
 
 def rule_set_matches(

@@ -13,14 +13,15 @@ from functools import reduce
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from wiresift.functions.clock import floor_div
 from wiresift.functions.net import syn_only
 from wiresift.functions.steps import StepTracker
 from wiresift.operators.alerts import to_alert
 from wiresift.operators.rates import flood_detail, scan_detail
-from wiresift.operators.rule_set import folded_matches, gathered_row, step_mask
+from wiresift.operators.rule_set import folded_matches, step_mask
 from wiresift.operators.sequence import SPAN_FACTOR, sequence_detail, with_spans
 from wiresift.operators.signature import signature_alerts
 from wiresift.rules import (
@@ -59,6 +60,11 @@ _OPEN = T.StructType([
     T.StructField("serial", T.LongType()),
     T.StructField("started", T.LongType()),
 ])
+# A flood's packets are kept in so many rows a source and window: a row of state takes far more than a packet in it.
+SLICES = 20
+SEEN = ("timestamp_ms", "packet_id", "dst_ip")
+
+
 def _crossings(src_ip: int, rows: list[tuple]) -> pd.DataFrame:
     """(timestamp_ms, packet_id, dst_ip, …) tuples as CROSSING rows."""
     return pd.DataFrame({
@@ -117,14 +123,19 @@ class StepSequence(StatefulProcessor):
         pass
 
 
-def _kth_of_window(parts: DataFrame, width_ms: int, k: int) -> DataFrame:
-    """The k-th packet of each (window, source) as CROSSING rows, at the window's close.
+def _kth_of_window(packets: DataFrame, part: Column, seen: Column, merged: Column, width_ms: int, k: int) -> DataFrame:
+    """The k-th of the packets that stand for each (window, source), as CROSSING rows, at the window's close.
+
+    ``seen`` is what goes on of the packets of a window, source and ``part``, as structs of timestamp_ms, packet_id and dst_ip.
+    A second aggregate behind it, over the window's own time, puts that into one list by ``merged``.
 
-    ``parts`` is a windowed aggregate (window, src_ip, seen) with sorted lists of (timestamp_ms, packet_id, dst_ip).
-    This is a second aggregate behind it, over the window's own time.
+    Source and part are one struct: its fields come behind the window in the key of the state, so that rows of a
+    source and window lie side by side and take little when compressed.
     """
-    timed = parts.select(F.window_time("window").alias("ts"), "src_ip", "seen")
-    whole = timed.groupBy(F.window("ts", f"{width_ms} milliseconds"), "src_ip").agg(F.flatten(F.collect_list("seen")).alias("seen"))
+    window = F.window("ts", f"{width_ms} milliseconds")
+    parts = packets.groupBy(window, F.struct("src_ip", part.alias("part")).alias("of")).agg(seen.alias("seen"))
+    timed = parts.select(F.window_time("window").alias("ts"), "of.src_ip", "seen")
+    whole = timed.groupBy(window, "src_ip").agg(merged.alias("seen"))
     kth = F.get(F.sort_array("seen"), F.lit(k - 1)).alias("p")
     return whole.where(F.size("seen") >= k).select("src_ip", kth).select("p.packet_id", "p.timestamp_ms", "src_ip", "p.dst_ip")
 
@@ -137,15 +148,15 @@ def stream_flood_alerts(
 ) -> DataFrame:
     """The batch flood alerts, packet and destination included, at the window's close.
 
-    The packets of a source and millisecond come together first, and the earliest ``threshold`` of them go
-    on: a window's state is bounded by its milliseconds, however many packets it has.
+    The packets of a source and a short slice of the window come together first, and the earliest ``threshold``
+    of them go on: what a window puts together is bounded by its slices, however many packets it has.
     """
     syns = with_event_time(packets.where(syn_only()).select("src_ip", "packet_id", "timestamp_ms", "dst_ip"), lateness)
-    seen = F.sort_array(F.collect_list(F.struct("timestamp_ms", "packet_id", "dst_ip")))
-    by_ms = syns.groupBy(F.window("ts", f"{width_ms} milliseconds"), "src_ip", "timestamp_ms").agg(F.slice(seen, 1, threshold).alias("seen"))
+    earliest = F.slice(F.sort_array(F.collect_list(F.struct(*SEEN))), 1, threshold)
+    part = floor_div("timestamp_ms", max(1, width_ms // SLICES))
     return to_alert(
-        _kth_of_window(by_ms, width_ms, threshold), SYN_FLOOD_RULE, SYN_FLOOD_SEVERITY,
-        flood_detail(F.lit(threshold), width_ms), "Anomaly", stage=2)
+        _kth_of_window(syns, part, earliest, F.flatten(F.collect_list("seen")), width_ms, threshold),
+        SYN_FLOOD_RULE, SYN_FLOOD_SEVERITY, flood_detail(F.lit(threshold), width_ms), "Anomaly", stage=2)
 
 
 def stream_port_scan_alerts(
@@ -159,11 +170,9 @@ def stream_port_scan_alerts(
     State is the first packet of each port, so at most 65,536 entries per source and window.
     """
     timed = with_event_time(packets.select("src_ip", "packet_id", "timestamp_ms", "dst_ip", "dst_port"), lateness)
-    first = F.array(F.min(F.struct("timestamp_ms", "packet_id", "dst_ip")))
-    by_port = timed.groupBy(F.window("ts", f"{width_ms} milliseconds"), "src_ip", "dst_port").agg(first.alias("seen"))
     return to_alert(
-        _kth_of_window(by_port, width_ms, threshold), PORT_SCAN_RULE, PORT_SCAN_SEVERITY,
-        scan_detail(F.lit(threshold), width_ms), "Anomaly", stage=3)
+        _kth_of_window(timed, F.col("dst_port"), F.min(F.struct(*SEEN)), F.collect_list("seen"), width_ms, threshold),
+        PORT_SCAN_RULE, PORT_SCAN_SEVERITY, scan_detail(F.lit(threshold), width_ms), "Anomaly", stage=3)
 
 
 def stream_all_alerts(
@@ -211,12 +220,15 @@ def stream_sequence_alerts(
     else:
         lead_and_span = F.window("ts", f"{span + within} milliseconds", f"{span} milliseconds", f"{span - within} milliseconds")
         spans = with_event_time(marked, lateness).select(*names, "_mask", lead_and_span.alias("window"))
-        own = spans.withColumn("_own", F.col("timestamp_ms") - F.unix_millis("window.start") >= within)
-        rows = F.sort_array(F.collect_list(gathered_row(names, "timestamp_ms", "packet_id")))
-        gathered = own.groupBy("window", "src_ip").agg(F.bit_or("_mask").alias("_any"), rows.alias("_rows"))
+        # the state has only what differs from row to row
+        packet = F.struct(F.col("timestamp_ms").cast("long").alias("t"), "packet_id", F.col("_mask").alias("mask"), "dst_ip")
+        gathered = spans.groupBy("window", "src_ip").agg(F.bit_or("_mask").alias("_any"), F.sort_array(F.collect_list(packet)).alias("_rows"))
         # spans without a last step end here
         able = gathered.where(F.col("_any").bitwiseAND(F.lit(1 << (len(rules[0][0]) - 1)).cast("long")) != 0)
-        done = folded_matches(able, rules)
+        done = folded_matches(
+            able, rules,
+            own=lambda x: x["t"] - F.unix_millis("window.start") >= within,
+            row=lambda x: F.struct("src_ip", x["t"].alias("timestamp_ms"), x["packet_id"].alias("packet_id"), x["dst_ip"].alias("dst_ip")))
     return to_alert(done, rule.name, rule.severity, sequence_detail(rule), "Cep", stage=4)
 
 
